@@ -52,21 +52,22 @@ def kind_of(doc: Column, path: str) -> Column:
     return F.schema_of_variant(field(doc, path))
 
 
-def blank(doc: Column, path: str) -> Column:
+def blank_value(value: Column) -> Column:
     """Absent, null, false, zero or the empty string."""
-    kind = kind_of(doc, path)
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
     return (
         kind.isNull()
         | (kind == "VOID")
-        | ((kind == "STRING") & (field(doc, path, "string") == ""))
-        | ((kind == "BOOLEAN") & ~field(doc, path, "boolean"))
-        | (
-            (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"))
-            & (field(doc, path, "double") == 0)
-        )
+        | (kind.isin("STRING", "BOOLEAN") & text.isin("", "false") & ((kind == "BOOLEAN") == (text == "false")))
+        | (~kind.isin("STRING", "BOOLEAN") & F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False)))
     )
 
 
+def blank(doc: Column, path: str) -> Column:
+    return blank_value(field(doc, path))
+
+
 def is_array(doc: Column, path: str) -> Column:
     return F.coalesce(kind_of(doc, path).startswith("ARRAY"), F.lit(False))
 

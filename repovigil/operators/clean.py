@@ -7,18 +7,12 @@ framework keeps never reach a shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repovigil.functions.text import (
-    any_of,
-    base_name,
-    contains_any,
-    ends_with_any,
-    last_suffix,
-    utf16_length,
-    within_utf16,
-)
+from repovigil.functions.text import contains_any, utf16_length, within_utf16
 from repovigil.operators import configs as cfg
 from repovigil.operators.detect import detect_frameworks
 
@@ -48,82 +42,83 @@ def with_size(files: DataFrame) -> DataFrame:
     return files.withColumn("size", utf16_length(F.col("content")))
 
 
-def _in_dirs(path: Column, dirs: list[str]) -> Column:
+def _alternatives(entries: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(e) for e in dict.fromkeys(entries)) + ")"
+
+
+def _dir_pattern(dirs: list[str]) -> str:
     # "/d" anywhere covers "/d/"; the root has no leading slash and needs "d/".
-    return any_of([path.startswith(d + "/") | path.contains("/" + d) for d in dict.fromkeys(dirs)])
+    return f"^{_alternatives(dirs)}/|/{_alternatives(dirs)}"
+
+
+def _name_pattern(names: list[str]) -> str:
+    return f"(?:^|/){_alternatives(names)}$"
 
 
-def _in_files(path: Column, name: Column, patterns: list[str]) -> Column:
+def _file_pattern(patterns: list[str]) -> str:
     suffixes = [p[1:] for p in patterns if p.startswith("*")]
     names = [p for p in patterns if not p.startswith("*")]
-    hit = ends_with_any(path, suffixes)
-    return hit | name.isin(names) if names else hit
+    return f"{_alternatives(suffixes)}$|{_name_pattern(names)}"
 
 
-def _by_framework(framework: Column, build, table: dict) -> Column:
-    """``build(extra entries)`` of the row's framework; false for frameworks without any."""
-    chosen = None
-    for fw, extra in table.items():
-        chosen = (F.when if chosen is None else chosen.when)(framework == fw, build(extra))
-    return chosen.otherwise(F.lit(False))
+def _extension_pattern(extensions: list[str]) -> str:
+    # Only the part from the last dot counts: an entry with two dots never matches.
+    return _alternatives([e for e in extensions if e.count(".") == 1]) + "$"
 
 
-def _known(framework: Column) -> Column:
-    """Unlisted names use the generic settings."""
-    return F.when(framework.isin(cfg.FRAMEWORKS), framework).otherwise(F.lit("unknown"))
+_CONFIGS = {
+    fw: {
+        "dirs": _dir_pattern(dirs),
+        "files": _file_pattern(files),
+        "special": _name_pattern(special),
+        "extensions": _extension_pattern(extensions),
+    }
+    for fw, extensions, special, dirs, files, _ in cfg.config_rows()
+}
 
 
-def dropped_by_dir(path: Column, framework: Column) -> Column:
+def _matches(path: Column, framework: Column, *parts: str) -> Column:
+    """Does the path match any of the framework's patterns? Unlisted names are ``unknown``.
+
+    One compiled pattern per framework keeps the generated code small; a chain of comparisons
+    over the same lists outgrows a JVM method.
+    """
     low = F.lower(path)
-    return _in_dirs(low, cfg.BASE_IGNORE_DIRS) | _by_framework(
-        framework, lambda dirs: _in_dirs(low, [d for d in dirs if d not in cfg.BASE_IGNORE_DIRS]), cfg.EXTRA_IGNORE_DIRS
-    )
+    pattern = {fw: "|".join(rules[p] for p in parts) for fw, rules in _CONFIGS.items()}
+    chosen = F.when(framework == cfg.FRAMEWORKS[0], low.rlike(pattern[cfg.FRAMEWORKS[0]]))
+    for fw in cfg.FRAMEWORKS[1:-1]:
+        chosen = chosen.when(framework == fw, low.rlike(pattern[fw]))
+    return chosen.otherwise(low.rlike(pattern["unknown"]))
+
+
+def dropped_by_dir(path: Column, framework: Column) -> Column:
+    return _matches(path, framework, "dirs")
 
 
 def dropped_by_file(path: Column, framework: Column) -> Column:
-    low = F.lower(path)
-    name = base_name(low)
-    return _in_files(low, name, cfg.BASE_IGNORE_FILES) | _by_framework(
-        framework, lambda pats: _in_files(low, name, pats), cfg.EXTRA_IGNORE_FILES
-    )
+    return _matches(path, framework, "files")
 
 
 def is_special(path: Column, framework: Column) -> Column:
-    name = base_name(F.lower(path))
-    return name.isin(cfg.BASE_SPECIAL_FILES) | _by_framework(
-        framework, lambda names: name.isin(names), cfg.EXTRA_SPECIAL_FILES
-    )
+    return _matches(path, framework, "special")
 
 
 def has_extension(path: Column, framework: Column) -> Column:
-    """Only the part from the last dot is compared, so two-dot entries never match."""
-    suffix = last_suffix(base_name(F.lower(path)))
-    return (suffix != "") & (
-        suffix.isin(cfg.BASE_EXTENSIONS)
-        | _by_framework(_known(framework), lambda exts: suffix.isin(exts), cfg.EXTRA_EXTENSIONS)
-    )
+    return _matches(path, framework, "extensions")
 
 
 def kept(path: Column, framework: Column) -> Column:
     """The whole framework filter for one file."""
-    return (
-        ~dropped_by_dir(path, framework)
-        & ~dropped_by_file(path, framework)
-        & (is_special(path, framework) | has_extension(path, framework))
-    )
+    return ~_matches(path, framework, "dirs", "files") & _matches(path, framework, "special", "extensions")
 
 
 def kept_by_some(path: Column) -> Column:
     """False only if every framework drops the path; needs no framework."""
     low = F.lower(path)
-    name = base_name(low)
-    specials = sorted({n for names in cfg.EXTRA_SPECIAL_FILES.values() for n in names} | set(cfg.BASE_SPECIAL_FILES))
-    exts = sorted({e for xs in cfg.EXTRA_EXTENSIONS.values() for e in xs} | set(cfg.BASE_EXTENSIONS))
-    return (
-        ~_in_dirs(low, cfg.BASE_IGNORE_DIRS)
-        & ~_in_files(low, name, cfg.BASE_IGNORE_FILES)
-        & (name.isin(specials) | last_suffix(name).isin(exts))
-    )
+    drop = f"{_dir_pattern(cfg.BASE_IGNORE_DIRS)}|{_file_pattern(cfg.BASE_IGNORE_FILES)}"
+    names = cfg.BASE_SPECIAL_FILES + [n for extra in cfg.EXTRA_SPECIAL_FILES.values() for n in extra]
+    extensions = cfg.BASE_EXTENSIONS + [e for extra in cfg.EXTRA_EXTENSIONS.values() for e in extra]
+    return ~low.rlike(drop) & low.rlike(f"{_name_pattern(names)}|{_extension_pattern(extensions)}")
 
 
 def resolve_framework(detected: DataFrame, forced: DataFrame | None, keep_unknown: bool) -> DataFrame:

@@ -1,9 +1,9 @@
 """Which web framework does each repository use? One scored row per repository.
 
-One scan reduces every file to at most one small signal row: a manifest keeps its text, a source
-file only says which import rules it meets. All later steps aggregate those rows, so file text
-other than manifests is never shuffled, and a repository that holds most files costs no more
-than its share (all aggregates combine map-side).
+One scan turns files into small signal rows: a manifest keeps its text, a source file only says
+which import rule it meets. All later steps aggregate those rows, so file text other than
+manifests is never shuffled, and a repository that holds most files costs no more than its share
+(all aggregates combine map-side).
 """
 
 from __future__ import annotations
@@ -11,37 +11,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repovigil.functions.answers import blank, first_json
+from repovigil.functions.answers import blank_value, first_json
 from repovigil.functions.text import base_name, contains_any, ends_with_any
 
 # ---------------------------------------------------------------------------------------------
 # Indicator order, weights, texts and needles.
-# (position, framework, weight, reason); positions also break ties between frameworks.
-# ---------------------------------------------------------------------------------------------
+# (rule, signal, framework, weight, reason); the order also breaks ties between frameworks.
 INDICATORS = [
-    ("nextjs_pkg", "nextjs", 10, "next package found in package.json"),
-    ("express_pkg", "express", 10, "express package found in package.json"),
-    ("fastify_pkg", "fastify", 10, "fastify package found in package.json"),
-    ("nestjs_pkg", "nestjs", 10, "@nestjs packages found in package.json"),
-    ("next_config", "nextjs", 8, "next.config file found"),
-    ("nest_cli", "nestjs", 8, "nest-cli.json found"),
-    ("pom_spring", "springboot", 10, "Spring Boot dependency found in pom.xml"),
-    ("gradle_spring", "springboot", 10, "Spring Boot dependency found in build.gradle"),
-    ("req_flask", "flask", 10, "Flask found in requirements.txt"),
-    ("req_django", "django", 10, "Django found in requirements.txt"),
-    ("pyproject_flask", "flask", 10, "Flask found in pyproject.toml"),
-    ("pyproject_django", "django", 10, "Django found in pyproject.toml"),
-    ("manage_py", "django", 8, "Django manage.py found"),
-    ("flask_import", "flask", 5, "Flask import found in "),
-    ("express_import", "express", 5, "Express import found in "),
-    ("fastify_import", "fastify", 5, "Fastify import found in "),
-    ("spring_marker", "springboot", 5, "Spring annotation found in "),
-]
-MANIFESTS = [
-    "package.json", "pom.xml", "build.gradle", "build.gradle.kts", "requirements.txt", "pyproject.toml",
-    "manage.py",
+    ("nextjs_pkg", "package", "nextjs", 10, "next package found in package.json"),
+    ("express_pkg", "package", "express", 10, "express package found in package.json"),
+    ("fastify_pkg", "package", "fastify", 10, "fastify package found in package.json"),
+    ("nestjs_pkg", "package", "nestjs", 10, "@nestjs packages found in package.json"),
+    ("next_config", "next_config", "nextjs", 8, "next.config file found"),
+    ("nest_cli", "nest_cli", "nestjs", 8, "nest-cli.json found"),
+    ("pom_spring", "pom", "springboot", 10, "Spring Boot dependency found in pom.xml"),
+    ("gradle_spring", "gradle", "springboot", 10, "Spring Boot dependency found in build.gradle"),
+    ("req_flask", "requirements", "flask", 10, "Flask found in requirements.txt"),
+    ("req_django", "requirements", "django", 10, "Django found in requirements.txt"),
+    ("pyproject_flask", "pyproject", "flask", 10, "Flask found in pyproject.toml"),
+    ("pyproject_django", "pyproject", "django", 10, "Django found in pyproject.toml"),
+    ("manage_py", "manage", "django", 8, "Django manage.py found"),
+    ("flask_import", "flask_import", "flask", 5, "Flask import found in "),
+    ("express_import", "express_import", "express", 5, "Express import found in "),
+    ("fastify_import", "fastify_import", "fastify", 5, "Fastify import found in "),
+    ("spring_marker", "spring_marker", "springboot", 5, "Spring annotation found in "),
 ]
-NEXT_CONFIGS = ["next.config.js", "next.config.mjs", "next.config.ts"]
+# Signal -> file names, the preferred one first.
+NAMED_FILES = {
+    "package": ["package.json"],
+    "pom": ["pom.xml"],
+    "gradle": ["build.gradle", "build.gradle.kts"],
+    "requirements": ["requirements.txt"],
+    "pyproject": ["pyproject.toml"],
+    "manage": ["manage.py"],
+    "next_config": ["next.config.js", "next.config.mjs", "next.config.ts"],
+    "nest_cli": ["nest-cli.json"],
+}
+MANIFESTS = ["package", "pom", "gradle", "requirements", "pyproject", "manage"]
+PACKAGES = {
+    "nextjs_pkg": ["next"],
+    "express_pkg": ["express"],
+    "fastify_pkg": ["fastify"],
+    "nestjs_pkg": ["@nestjs/core", "@nestjs/common"],
+}
 SPRING_BOOT = ["spring-boot", "org.springframework.boot"]
 IMPORT_RULES = {
     "flask_import": ([".py"], ["from flask import", "import flask"]),
@@ -68,60 +80,62 @@ def _import_hit(rule: str) -> Column:
 
 
 def file_signals(files: DataFrame) -> DataFrame:
-    """One row per file that says anything about a framework."""
+    """``(repo_id, ord, path, signal, prio, text)``: one row per thing a file says.
+
+    Files that cannot say anything are dropped by name, in the scan. The rows are generated, not
+    filtered, so that each import test reads the text once.
+    """
     name = base_name(F.lower("path"))
-    rows = files.select(
-        "repo_id",
-        "ord",
-        "path",
-        F.when(name.isin(MANIFESTS), F.lower("path")).alias("manifest"),
-        F.when(name.isin(MANIFESTS), F.col("content")).alias("text"),
-        name.isin(NEXT_CONFIGS).alias("next_config"),
-        (name == "nest-cli.json").alias("nest_cli"),
-        *[_import_hit(rule).alias(rule) for rule in IMPORT_RULES],
+    sources = [e for extensions, _ in IMPORT_RULES.values() for e in extensions]
+    named = [n for names in NAMED_FILES.values() for n in names]
+
+    def said(hit: Column, signal: str, prio: Column, text: Column) -> Column:
+        return F.when(hit, F.struct(F.lit(signal).alias("signal"), prio.alias("prio"), text.alias("text")))
+
+    no_text = F.lit(None).cast("string")
+    signals = [
+        said(
+            name.isin(names),
+            signal,
+            F.array_position(F.array(*[F.lit(n) for n in names]), name).cast("int"),
+            F.col("content") if signal in MANIFESTS else no_text,
+        )
+        for signal, names in NAMED_FILES.items()
+    ]
+    signals += [said(_import_hit(rule), rule, F.lit(1), no_text) for rule in IMPORT_RULES]
+    return files.filter(name.isin(named) | ends_with_any(F.col("path"), sources)).select(
+        "repo_id", "ord", "path", F.inline(F.array_compact(F.array(*signals)))
     )
-    said = F.col("manifest").isNotNull() | F.col("next_config") | F.col("nest_cli")
-    for rule in IMPORT_RULES:
-        said = said | F.col(rule)
-    return rows.filter(said)
 
 
-def repo_signals(files: DataFrame) -> DataFrame:
-    """Per repository: text of each first manifest, config flags, first path of each import rule.
+def first_files(files: DataFrame) -> DataFrame:
+    """``(repo_id, signal, path, text)``: the first file of each signal.
 
-    Paths that differ only in case are one manifest: it stands where its first copy stood and
-    has the text of its last.
+    Manifest paths that differ only in case are one manifest: it stands where its first copy
+    stood and has the text of its last.
     """
-    by_manifest = (
+    rank = F.struct("prio", "ord")
+    copies = (
         file_signals(files)
-        .groupBy("repo_id", "manifest")
-        .agg(
-            F.min("ord").alias("ord"),
-            F.max_by("text", "ord").alias("text"),
-            F.max("next_config").alias("next_config"),
-            F.max("nest_cli").alias("nest_cli"),
-            *[F.min(F.when(F.col(rule), F.struct("ord", "path"))).alias(rule) for rule in IMPORT_RULES],
-        )
+        .groupBy("repo_id", "signal", F.when(F.col("signal").isin(MANIFESTS), F.lower("path")).alias("copy_of"))
+        .agg(F.min(rank).alias("rank"), F.min_by("path", rank).alias("path"), F.max_by("text", "ord").alias("text"))
     )
-    return by_manifest.groupBy("repo_id").agg(
-        *[
-            F.min_by(
-                F.col("text"), F.when(base_name(F.col("manifest")) == name, F.col("ord"))
-            ).alias(name.replace(".", "_"))
-            for name in MANIFESTS
-        ],
-        F.max("next_config").alias("next_config"),
-        F.max("nest_cli").alias("nest_cli"),
-        *[F.min(rule)["path"].alias(rule) for rule in IMPORT_RULES],
+    return copies.groupBy("repo_id", "signal").agg(
+        F.min_by("path", "rank").alias("path"), F.min_by("text", "rank").alias("text")
     )
 
 
-def _dependency(doc: Column, package: str) -> Column:
-    """A non-blank version of ``package``; a development entry overrides a plain one."""
-    path = f"['{package}']"
-    dev, plain = f"$.devDependencies{path}", f"$.dependencies{path}"
-    has_dev = F.try_variant_get(doc, dev, "variant").isNotNull()
-    return F.coalesce(F.when(has_dev, ~blank(doc, dev)).otherwise(~blank(doc, plain)), F.lit(False))
+def _used_packages(text: Column) -> Column:
+    """Known packages with a non-blank version; a development entry overrides a plain one."""
+    doc = _strict_json(text)
+    plain = F.try_variant_get(doc, "$.dependencies", "map<string,variant>")
+    dev = F.try_variant_get(doc, "$.devDependencies", "map<string,variant>")
+    return F.filter(
+        F.array(*[F.lit(p) for names in PACKAGES.values() for p in names]),
+        lambda name: ~blank_value(
+            F.when(F.map_contains_key(dev, name), F.element_at(dev, name)).otherwise(F.element_at(plain, name))
+        ),
+    )
 
 
 def _strict_json(text: Column) -> Column:
@@ -130,44 +144,41 @@ def _strict_json(text: Column) -> Column:
     return F.when(body == first_json(body), F.try_parse_json(body))
 
 
+def _condition(rule: str) -> Column:
+    """The extra test a signal's first file must pass for an indicator."""
+    text = F.col("text")
+    if rule.endswith("_pkg"):
+        return F.arrays_overlap(F.col("packages"), F.array(*[F.lit(p) for p in PACKAGES[rule]]))
+    if rule.endswith("_spring"):
+        return contains_any(text, SPRING_BOOT)
+    if rule == "manage_py":
+        return text.contains("django")
+    if rule.endswith(("_flask", "_django")):
+        return F.lower(text).contains(rule.split("_")[1])
+    return F.lit(True)
+
+
 def indicators(files: DataFrame) -> DataFrame:
     """``(repo_id, rule_ord, rule, framework, weight, reason)``, one row per indicator met."""
-    signals = repo_signals(files).withColumn("package", _strict_json(F.col("package_json")))
-    package = F.col("package")
-    gradle = F.coalesce("build_gradle", "build_gradle_kts")
-    requirements, pyproject = F.lower("requirements_txt"), F.lower("pyproject_toml")
-    met = {
-        "nextjs_pkg": _dependency(package, "next"),
-        "express_pkg": _dependency(package, "express"),
-        "fastify_pkg": _dependency(package, "fastify"),
-        "nestjs_pkg": _dependency(package, "@nestjs/core") | _dependency(package, "@nestjs/common"),
-        "next_config": F.col("next_config"),
-        "nest_cli": F.col("nest_cli"),
-        "pom_spring": contains_any(F.col("pom_xml"), SPRING_BOOT),
-        "gradle_spring": contains_any(gradle, SPRING_BOOT),
-        "req_flask": requirements.contains("flask"),
-        "req_django": requirements.contains("django"),
-        "pyproject_flask": pyproject.contains("flask"),
-        "pyproject_django": pyproject.contains("django"),
-        "manage_py": F.col("manage_py").contains("django"),
-        **{rule: F.col(rule).isNotNull() for rule in IMPORT_RULES},
-    }
-    rows = []
-    for position, (rule, framework, weight, reason) in enumerate(INDICATORS, start=1):
-        text = F.concat(F.lit(reason), F.col(rule)) if rule in IMPORT_RULES else F.lit(reason)
-        rows.append(
+    firsts = first_files(files).withColumn(
+        "packages", F.when(F.col("signal") == "package", _used_packages(F.col("text")))
+    )
+    met = []
+    for position, (rule, signal, framework, weight, reason) in enumerate(INDICATORS, start=1):
+        full = F.concat(F.lit(reason), F.col("path")) if rule in IMPORT_RULES else F.lit(reason)
+        met.append(
             F.when(
-                F.coalesce(met[rule], F.lit(False)),
+                (F.col("signal") == signal) & _condition(rule),
                 F.struct(
                     F.lit(position).alias("rule_ord"),
                     F.lit(rule).alias("rule"),
                     F.lit(framework).alias("framework"),
                     F.lit(weight).cast("bigint").alias("weight"),
-                    text.alias("reason"),
+                    full.alias("reason"),
                 ),
             )
         )
-    return signals.select("repo_id", F.inline(F.array_compact(F.array(*rows))))
+    return firsts.select("repo_id", F.inline(F.array_compact(F.array(*met))))
 
 
 def framework_scores(files: DataFrame) -> DataFrame:

@@ -119,9 +119,8 @@ def clean_files(spark, sf):
     )
 
 
-def first_manifest(spark, sf):
-    signals = detect.repo_signals(_files(spark, sf))
-    return signals.select("repo_id", "package_json", "pom_xml", "requirements_txt")
+def first_file(spark, sf):
+    return detect.first_files(_files(spark, sf))
 
 
 def framework_indicators(spark, sf):
@@ -249,7 +248,7 @@ def _flag_sql(column, name):
 
 SQL = {
     "strip_first_dir": f"""{_FILES} SELECT repo_id, ord,
-        CASE WHEN contains(path, '/') THEN array_to_string(list_slice(string_split(path, '/'), 2, NULL), '/') ELSE path END AS path FROM files_corpus""",
+        CASE WHEN contains(path, '/') THEN array_to_string(string_split(path, '/')[2:], '/') ELSE path END AS path FROM files_corpus""",
     "drop_empty_path": f"""{_FILES} SELECT * FROM (SELECT repo_id, ord, CASE WHEN ends_with(path, '.md') THEN ''
         ELSE regexp_replace(path, '^[^/]*/', '') END AS path FROM files_corpus) WHERE path <> ''""",
     "quick_ignore": f"{_FILES} SELECT repo_id, ord, path FROM files_corpus WHERE NOT {_QUICK}",
@@ -272,11 +271,15 @@ SQL = {
         count(*) FILTER (keep) AS included, count(*) FILTER (NOT keep) AS ignored FROM verdicts GROUP BY repo_id""",
     "clean_archives": _clean_sql(("fw", ""), _ADMITTED),
     "clean_files": _clean_sql(("resolved", f"{_FORCED}, {_ANY},")),
-    "first_manifest": f"""{_FILES}, {_DETECT} SELECT repo_id,
-        first(content ORDER BY ord) FILTER (fname = 'package.json') AS package_json,
-        first(content ORDER BY ord) FILTER (fname = 'pom.xml') AS pom_xml,
-        first(content ORDER BY ord) FILTER (fname = 'requirements.txt') AS requirements_txt FROM names
-        WHERE repo_id IN (SELECT repo_id FROM ind UNION SELECT repo_id FROM pkg) GROUP BY repo_id""",
+    "first_file": f"""{_FILES}, {_DETECT},
+        signals AS (SELECT repo_id, CASE fname WHEN 'package.json' THEN 'package' WHEN 'pom.xml' THEN 'pom' WHEN 'requirements.txt' THEN 'requirements' ELSE 'next_config' END AS signal,
+            ord, path, CASE WHEN fname <> 'next.config.mjs' THEN content END AS text FROM names
+            WHERE fname IN ('package.json', 'pom.xml', 'requirements.txt', 'next.config.mjs')
+          UNION ALL SELECT repo_id, 'flask_import', ord, path, NULL FROM names WHERE path LIKE '%.py' AND regexp_matches(content, 'from flask import|import flask')
+          UNION ALL SELECT repo_id, 'express_import', ord, path, NULL FROM js WHERE regexp_matches(content, 'require[(][''"]express[''"][)]|from [''"]express[''"]')
+          UNION ALL SELECT repo_id, 'fastify_import', ord, path, NULL FROM js WHERE regexp_matches(content, 'require[(][''"]fastify[''"][)]|from [''"]fastify[''"]')
+          UNION ALL SELECT repo_id, 'spring_marker', ord, path, NULL FROM names WHERE path LIKE '%.java' AND regexp_matches(content, '@SpringBootApplication|@RestController|@Controller|import org[.]springframework'))
+        SELECT repo_id, signal, first(path ORDER BY ord) AS path, any_value(text) AS text FROM signals GROUP BY repo_id, signal""",
     "framework_indicators": f"{_FILES}, {_DETECT} SELECT repo_id, CAST(rule_ord AS BIGINT) AS rule_ord, framework, CAST(weight AS BIGINT) AS weight, reason FROM ind",
     "framework_scores": f"{_FILES}, {_DETECT} SELECT repo_id, framework, score, reasons FROM scores",
     "detect_framework": f"{_FILES}, {_DETECT} SELECT * FROM fw",
@@ -284,7 +287,7 @@ SQL = {
 
 QUERIES = {
     "detect_framework": detect_framework,
-    "first_manifest": first_manifest,
+    "first_file": first_file,
     "framework_indicators": framework_indicators,
     "framework_scores": framework_scores,
     "strip_first_dir": strip_first_dir,

@@ -6,7 +6,7 @@ import traceback
 
 sys.path[:0] = ["/root/repo", "/root/repo/tests"]
 import __spark_entry__ as entry_module  # noqa: E402
-from compare import connect, differences  # noqa: E402
+from compare import compare, connect  # noqa: E402
 
 from repovigil.session import local_session  # noqa: E402
 
@@ -28,17 +28,16 @@ def main():
         start = time.time()
         try:
             df = run(spark, sf)
-            if name in sqls:
-                diff = differences(df, sqls[name], con)
-                note = f"{df.count() if diff is None else ''} rows"
-            else:
-                diff, note = None, f"{df.count()} rows, no SQL"
+            rows = [tuple(r) for r in df.collect()]
+            took = time.time() - start
+            diff = compare(df.dtypes, rows, sqls[name], con) if name in sqls else None
+            note = f"{len(rows)} rows{'' if name in sqls else ', no SQL'}"
         except Exception as e:  # report and go on
-            diff, note = f"{type(e).__name__}: {str(e)[:1500]}", ""
+            took, diff, note = time.time() - start, f"{type(e).__name__}: {str(e)[:1500]}", ""
             if "-v" in args:
                 traceback.print_exc()
         bad += diff is not None
-        print(f"{'ok ' if diff is None else 'BAD'} {name} {time.time() - start:.1f}s {note} {diff or ''}", flush=True)
+        print(f"{'ok ' if diff is None else 'BAD'} {name} {took:.1f}s {note} {diff or ''}", flush=True)
     print("bad:", bad, "of", len(queries), "with SQL:", len(sqls))
 
 

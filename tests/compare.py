@@ -55,13 +55,17 @@ KINDS = {
 
 def differences(df, sql: str, con) -> str | None:
     """None if equal, otherwise a short description."""
-    spark_names, spark_rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    return compare(df.dtypes, [tuple(r) for r in df.collect()], sql, con)
+
+
+def compare(dtypes, collected, sql: str, con) -> str | None:
+    spark_names, spark_rows = rows_of([n for n, _ in dtypes], collected)
     rel = con.sql(sql)
     sql_names, sql_rows = rows_of(rel.columns, rel.fetchall())
     if spark_names != sql_names:
         return f"columns {spark_names} != {sql_names}"
     kinds = dict(zip(rel.columns, map(str, rel.types)))
-    odd = {n: (t, kinds[n]) for n, t in df.dtypes if KINDS.get(t, t) != kinds[n]}
+    odd = {n: (t, kinds[n]) for n, t in dtypes if KINDS.get(t, t) != kinds[n]}
     if odd:
         return f"types {odd}"
     if len(spark_rows) != len(sql_rows):
