@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from repovigil.plans import cleaning
+from repovigil.plans import cleaning, navigation
 
-_FAMILIES = [cleaning]
+_FAMILIES = [cleaning, navigation]
 
 QUERIES = {name: run for family in _FAMILIES for name, run in family.QUERIES.items()}
 SQL = {name: text for family in _FAMILIES for name, text in family.SQL.items()}
