@@ -42,22 +42,22 @@ SELECT repo_id, doc_id AS ord,
   || 'm' || CAST(doc_id AS STRING) ||
   CASE WHEN doc_id % 6 = 5 THEN '.py' WHEN doc_id % 6 = 3 THEN '.java' ELSE '.ts' END AS path,
   CASE doc_id % 6
-    WHEN 0 THEN 'import x from ''../services/m' || CAST(doc_id + 2 AS STRING) || '''' || chr(10)
+    WHEN 0 THEN 'import x from ''../services/m' || CAST(doc_id + 20 AS STRING) || '''' || chr(10)
       || 'router.get(''/users/:id'', auth, h)' || chr(10) || 'router.post("/users", validate(body), h)' || chr(10)
       || CASE doc_id % 4 WHEN 0 THEN 'router.post("/auth/login", rateLimit({max: 5}), h)'
                          ELSE 'app.delete(''/orders/:oid'', h)' END || chr(10)
-    WHEN 1 THEN 'const s = require("../lib/m' || CAST(doc_id + 3 AS STRING) || '")' || chr(10)
+    WHEN 1 THEN 'const s = require("../handlers/m' || CAST(doc_id + 20 AS STRING) || '")' || chr(10)
       || '@Get(''health'')' || chr(10) || 'db.query("SELECT * FROM t WHERE id = " + req.params.id)' || chr(10)
       || 'app.use(helmet())' || chr(10)
-    WHEN 2 THEN 'import y from ''../lib/m' || CAST(doc_id + 2 AS STRING) || '.ts''' || chr(10)
+    WHEN 2 THEN 'import y from ''../lib/m' || CAST(doc_id + 20 AS STRING) || '.ts''' || chr(10)
       || 'const h = await bcrypt.hash(password, 12)' || chr(10) || 'logger.info("audit")' || chr(10)
     WHEN 3 THEN '@GetMapping("/payments/{id}")' || chr(10) || '@PostMapping("/payments")' || chr(10)
       || 'MessageDigest.getInstance("MD5")' || chr(10)
-    WHEN 4 THEN 'import z from ''./m' || CAST(doc_id + 6 AS STRING) || '''' || chr(10)
+    WHEN 4 THEN 'import z from ''./m' || CAST(doc_id + 60 AS STRING) || '''' || chr(10)
       || 'el.innerHTML = req.body.html' || chr(10) || 'try { run() } catch (e) { res.status(500) }' || chr(10)
     ELSE '@app.route("/uploads/<int:uid>", methods=["GET", "PUT"])' || chr(10)
       || 'os.system("convert " + request.args.get("f"))' || chr(10) || 'data = pickle.loads(request.data)' || chr(10)
-      || 'from lib import m' || CAST(doc_id - 1 AS STRING) || chr(10)
+      || 'from src.controllers import m' || CAST(doc_id + 20 AS STRING) || chr(10)
   END || text AS content
 FROM (SELECT source AS repo_id, doc_id, text FROM documents) d
 """
