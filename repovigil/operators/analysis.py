@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repovigil.functions.text import any_of, base_name, contains_any, ends_with_any
+from repovigil.functions.text import contains_any, ends_with_any
 from repovigil.operators import rules
 from repovigil.session import materialize
 
@@ -28,9 +28,9 @@ def discover_endpoints(files: DataFrame) -> DataFrame:
 
     per_rule = []
     for name, extensions, pattern, method_group, route_group in rules.ROUTE_RULES:
-        def row(match: Column, at: Column, name=name, pattern=pattern, mg=method_group, rg=route_group) -> Column:
-            method = F.upper(F.regexp_extract(match, pattern, mg)) if mg else F.lit("ANY")
-            return found(name, at, method, F.regexp_extract(match, pattern, rg))
+        def row(match: Column, at: Column) -> Column:  # called at once, inside this iteration
+            method = F.upper(F.regexp_extract(match, pattern, method_group)) if method_group else F.lit("ANY")
+            return found(name, at, method, F.regexp_extract(match, pattern, route_group))
 
         per_rule.append(F.when(ends_with_any(path, extensions), F.transform(_matches(text, pattern), row)))
     folder = F.regexp_extract(path, rules.HANDLER_FILE, 1)
@@ -255,7 +255,7 @@ def scan_vulnerabilities(files: DataFrame) -> DataFrame:
                 gate,
                 F.transform(
                     _hit_lines(text, pattern),
-                    lambda h, kind=kind, severity=severity, title=title, advice=advice: F.struct(
+                    lambda h: F.struct(
                         h["line_no"].alias("line_no"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
                         F.lit(title).alias("title"), h["snippet"].alias("snippet"), F.lit(advice).alias("recommendation"),
                     ),
@@ -276,7 +276,7 @@ def control_evidence(files: DataFrame) -> DataFrame:
                 text.rlike(pattern),
                 F.transform(
                     F.slice(_hit_lines(text, pattern), 1, 1),
-                    lambda h, cid=cid: F.struct(F.lit(cid).alias("control_id"), h["line_no"].alias("line_no"), h["snippet"].alias("snippet")),
+                    lambda h: F.struct(F.lit(cid).alias("control_id"), h["line_no"].alias("line_no"), h["snippet"].alias("snippet")),
                 ),
             )
         )
