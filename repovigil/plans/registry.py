@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from repovigil.plans import analysis_rules, cleaning, job_log, navigation, reporting
+from repovigil.plans import analysis_rules, cleaning, job_log, model_calls, navigation, reporting
 
-_FAMILIES = [cleaning, navigation, reporting, job_log, analysis_rules]
+_FAMILIES = [cleaning, navigation, reporting, job_log, analysis_rules, model_calls]
 
 QUERIES = {name: run for family in _FAMILIES for name, run in family.QUERIES.items()}
 SQL = {name: text for family in _FAMILIES for name, text in family.SQL.items()}
