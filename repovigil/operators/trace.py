@@ -76,8 +76,9 @@ def trace_step(state: DataFrame, files: DataFrame, responder: Responder, max_dep
     answered = materialize(responder(state.filter(F.col("status") == "active")))
     parsed = parse_trace(answered.withColumnRenamed("status", "_state")).withColumnRenamed("status", "status_now")
     fresh = F.filter(F.coalesce("files_to_read_later", _no_strings()), lambda f: ~F.array_contains("files_read", f))
-    parsed = materialize(parsed.withColumn("queue_now", F.concat("queue", fresh)))
-    rows = parsed.join(_read_requests(parsed, files), "repo_id", "left")
+    parsed = parsed.withColumn("queue_now", F.concat("queue", fresh))
+    # written once: the next state and the log both read it
+    rows = materialize(parsed.join(_read_requests(parsed, files), "repo_id", "left"))
 
     broke, bad = F.col("call_error").isNotNull(), F.col("call_error").isNull() & F.col("error").isNotNull()
     pick, tracing = F.col("status_now") == "pick_endpoint", F.col("status_now") == "tracing_endpoint"
@@ -145,12 +146,12 @@ def trace_rounds(
     state = materialize(start_state(trees, model, system))
     ended = state.filter(F.col("status") != "active")
     logs = None
+    # every round reads the paths again, never more of the text than the files asked for
     for _ in range(max_rounds):
         active = state.filter(F.col("status") == "active")
         if active.isEmpty():
             break
         state, log = trace_step(active, files, responder, max_depth)
-        state, log = materialize(state), materialize(log)
         ended = ended.unionByName(state.filter(F.col("status") != "active"))
         logs = log if logs is None else logs.unionByName(log)
     left = state.filter(F.col("status") == "active").withColumn("status", F.lit("round_limit"))
