@@ -36,7 +36,7 @@ def _archives(spark, sf):
 
 
 def read_archives(spark, sf):
-    """Archives are written to shared storage by the executors and read back as files."""
+    """One archive per page, made and unpacked in tasks."""
     entries = archives.unpack_archives(_archives(spark, sf), strip=True)
     return clean.admit_entries(entries, strip=True).select("repo_id", "ord", "path", F.md5("content").alias("content_md5"))
 

@@ -19,6 +19,8 @@ TOO_LARGE = "Repository is too large (max 50MB)"
 NOT_ZIP = "Only .zip files are allowed"
 
 ENTRY_SCHEMA = "repo_id string, ord bigint, path string, content string"
+ENTRY_COLUMNS = ["repo_id", "ord", "path", "content"]
+OUTPUT_CHARS = 4 * 1024 * 1024
 
 
 def gate_errors(length: Column, name: Column | None = None, mimetype: Column | None = None) -> Column:
@@ -53,14 +55,13 @@ def _skip(path: str, strip: bool) -> bool:
     return not shown or any(part in low for part in configs.QUICK_IGNORE)
 
 
-def unpack_archives(archives: DataFrame, strip: bool = False, max_bytes: int = 3 * 1024 * 1024) -> DataFrame:
+def unpack_archives(archives: DataFrame, strip: bool = False, max_units: int = 1024 * 1024) -> DataFrame:
     """``(repo_id, content)`` zip rows -> ``(repo_id, ord, path, content)`` text entries.
 
     Entries come in directory order. Ignored directories are skipped by name before anything is
     inflated, because no filter reaches into a Python reader; so are entries whose header says
-    more than ``max_bytes``: a text within the size cap needs at most three bytes per UTF-16 unit.
-    Unreadable entries and archives are skipped. Bytes that are not UTF-8 become replacement
-    characters.
+    that they exceed the size cap: a text needs at most three bytes per UTF-16 unit. Unreadable
+    entries and archives are skipped. Bytes that are not UTF-8 become replacement characters.
     """
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,15 +70,21 @@ def unpack_archives(archives: DataFrame, strip: bool = False, max_bytes: int = 3
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
                     continue
+                rows, size = [], 0
                 for ord_, entry in enumerate(archive.infolist()):
-                    if entry.is_dir() or entry.file_size > max_bytes or _skip(entry.filename, strip):
+                    if entry.is_dir() or entry.file_size > 3 * max_units or _skip(entry.filename, strip):
                         continue
                     try:
                         text = archive.read(entry).decode("utf-8", errors="replace")
                     except Exception:  # one broken entry does not end the archive
                         continue
-                    # one entry per batch keeps a large archive out of memory
-                    yield pd.DataFrame({"repo_id": [repo_id], "ord": [ord_], "path": [entry.filename], "content": [text]})
+                    rows.append((repo_id, ord_, entry.filename, text))
+                    size += len(text)
+                    if size > OUTPUT_CHARS:  # hand on what is inflated; a large archive never sits in memory whole
+                        yield pd.DataFrame(rows, columns=ENTRY_COLUMNS)
+                        rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=ENTRY_COLUMNS)
 
     return archives.select("repo_id", "content").mapInPandas(unpack, ENTRY_SCHEMA)
 
