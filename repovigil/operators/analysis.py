@@ -19,8 +19,8 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def discover_endpoints(files: DataFrame) -> DataFrame:
-    """``(repo_id, ord, path, rule, pos, method, route)``, one row per method and route."""
+def route_hits() -> Column:
+    """Route definitions in one file, as an array; nothing for files that cannot define any."""
     text, path = F.col("content"), F.col("path")
 
     def found(name: str, match: Column, method: Column, route: Column) -> Column:
@@ -45,11 +45,13 @@ def discover_endpoints(files: DataFrame) -> DataFrame:
             ),
         )
     )
-    hits = (
-        files.filter(F.lower("path").rlike(rules.ROUTE_FILES))
-        .select("repo_id", "ord", "path", F.explode(F.flatten(F.array_compact(F.array(*per_rule)))).alias("hit"))
-        .select("repo_id", "ord", "path", "hit.*")
-    )
+    hits = F.flatten(F.array_compact(F.array(*per_rule)))
+    return F.when(F.lower(path).rlike(rules.ROUTE_FILES), hits)
+
+
+def endpoints_of(rows: DataFrame) -> DataFrame:
+    """``route_hits`` as rows, one per method and route."""
+    hits = rows.select("repo_id", "ord", "path", F.inline("route_hits"))
     # a python route names its methods in a list, GET if there is none
     listed = F.regexp_extract_all("method", F.lit("[A-Z]+"), F.lit(0))
     methods = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
@@ -58,6 +60,11 @@ def discover_endpoints(files: DataFrame) -> DataFrame:
     )
 
 
+def discover_endpoints(files: DataFrame) -> DataFrame:
+    """``(repo_id, ord, path, rule, pos, method, route)``, one row per method and route."""
+    return endpoints_of(files.select("repo_id", "ord", "path", route_hits().alias("route_hits")))
+
+
 def route_entity(route: Column) -> Column:
     """The route without its parameters."""
     kept = F.filter(F.split(route, "/"), lambda s: (s != "") & ~s.rlike(r"^[:{<\[]"))
@@ -108,8 +115,8 @@ def _resolve(folder: Column, spec: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def import_edges(files: DataFrame) -> DataFrame:
-    """``(repo_id, ord, target)``: file ``ord`` imports file ``target`` of the same repository."""
+def imported_modules() -> Column:
+    """Module names a file imports, resolved against its folder."""
     path, text = F.col("path"), F.col("content")
     folder = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
     script = F.when(
@@ -135,11 +142,14 @@ def import_edges(files: DataFrame) -> DataFrame:
             )
         ),
     )
-    wanted = files.select(
-        "repo_id", "ord", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(script, python))))).alias("module")
-    )
+    return F.array_distinct(F.flatten(F.array_compact(F.array(script, python))))
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """``imported_modules`` met with the paths they name."""
+    wanted = rows.select("repo_id", "ord", F.explode("imported_modules").alias("module"))
     modules = (
-        files.select("repo_id", _without_extension(path).alias("module"), F.col("ord").alias("target"))
+        rows.select("repo_id", _without_extension(F.col("path")).alias("module"), F.col("ord").alias("target"))
         .groupBy("repo_id", "module")
         .agg(F.min("target").alias("target"))
     )
@@ -151,13 +161,18 @@ def import_edges(files: DataFrame) -> DataFrame:
     )
 
 
-def trace_imports(files: DataFrame, flows: DataFrame, max_depth: int = rules.MAX_TRACE_DEPTH) -> DataFrame:
+def import_edges(files: DataFrame) -> DataFrame:
+    """``(repo_id, ord, target)``: file ``ord`` imports file ``target`` of the same repository."""
+    return edges_of(files.select("repo_id", "ord", "path", imported_modules().alias("imported_modules")))
+
+
+def trace_imports(edges: DataFrame, flows: DataFrame, max_depth: int = rules.MAX_TRACE_DEPTH) -> DataFrame:
     """``(repo_id, entry, ord, depth)``: files reached from each entry file, each once, entry at 0.
 
     Breadth first; every round joins the frontier with the edges and drops what was seen. Rounds
     are written to the shared checkpoint folder, so a lost executor repeats one round at most.
     """
-    edges = materialize(import_edges(files))
+    edges = materialize(edges)
     frontier = materialize(
         flows.select("repo_id", F.col("ord").alias("entry"), "ord").distinct().withColumn("depth", F.lit(0))
     )
@@ -242,8 +257,8 @@ def _hit_lines(text: Column, pattern: str) -> Column:
     )
 
 
-def scan_vulnerabilities(files: DataFrame) -> DataFrame:
-    """``(repo_id, ord, path, line_no, type, severity, title, snippet, recommendation)``."""
+def vulnerability_hits() -> Column:
+    """Risky lines of one file, as an array."""
     text = F.col("content")
     per_rule = []
     for kind, severity, needed, pattern, title, advice in rules.VULNERABILITY_RULES:
@@ -262,11 +277,16 @@ def scan_vulnerabilities(files: DataFrame) -> DataFrame:
                 ),
             )
         )
-    return files.select("repo_id", "ord", "path", F.inline(F.flatten(F.array_compact(F.array(*per_rule)))))
+    return F.flatten(F.array_compact(F.array(*per_rule)))
 
 
-def control_evidence(files: DataFrame) -> DataFrame:
-    """``(repo_id, ord, path, control_id, line_no, snippet)``: first line that shows a control."""
+def scan_vulnerabilities(files: DataFrame) -> DataFrame:
+    """``(repo_id, ord, path, line_no, type, severity, title, snippet, recommendation)``."""
+    return files.select("repo_id", "ord", "path", F.inline(vulnerability_hits()))
+
+
+def evidence_hits() -> Column:
+    """The first line of one file that shows each control, as an array."""
     text = F.col("content")
     per_control = []
     for entry in rules.CONTROLS:
@@ -280,17 +300,22 @@ def control_evidence(files: DataFrame) -> DataFrame:
                 ),
             )
         )
-    return files.select("repo_id", "ord", "path", F.inline(F.flatten(F.array_compact(F.array(*per_control)))))
+    return F.flatten(F.array_compact(F.array(*per_control)))
+
+
+def control_evidence(files: DataFrame) -> DataFrame:
+    """``(repo_id, ord, path, control_id, line_no, snippet)``: first line that shows a control."""
+    return files.select("repo_id", "ord", "path", F.inline(evidence_hits()))
 
 
-def match_controls(controls: DataFrame, traces: DataFrame, files: DataFrame, frameworks: DataFrame) -> DataFrame:
+def match_controls(controls: DataFrame, traces: DataFrame, evidence: DataFrame, frameworks: DataFrame) -> DataFrame:
     """Each flow's control as implemented (file, snippet), auto_handled (by what) or missing (severity).
 
     Evidence is scanned once per file and met with the flows that reached the file; nearest file
     first. Evidence in a flow wins over the framework's default.
     """
     spark = controls.sparkSession
-    reached = traces.join(control_evidence(files), ["repo_id", "ord"]).groupBy("repo_id", "entry", "control_id").agg(
+    reached = traces.join(evidence, ["repo_id", "ord"]).groupBy("repo_id", "entry", "control_id").agg(
         F.min(F.struct("depth", "ord", "line_no", "path", "snippet")).alias("evidence")
     )
     handled = F.broadcast(  # a constant list

@@ -79,15 +79,16 @@ def _import_hit(rule: str) -> Column:
     return ends_with_any(F.col("path"), extensions) & contains_any(F.col("content"), needles)
 
 
-def file_signals(files: DataFrame) -> DataFrame:
-    """``(repo_id, ord, path, signal, prio, text)``: one row per thing a file says.
-
-    Files that cannot say anything are dropped by name, in the scan. The rows are generated, not
-    filtered, so that each import test reads the text once.
-    """
-    name = base_name(F.lower("path"))
+def may_signal() -> Column:
+    """False for files whose name says that they carry no signal."""
     sources = [e for extensions, _ in IMPORT_RULES.values() for e in extensions]
     named = [n for names in NAMED_FILES.values() for n in names]
+    return base_name(F.lower("path")).isin(named) | ends_with_any(F.col("path"), sources)
+
+
+def signal_hits() -> Column:
+    """What one file says, as an array of ``(signal, prio, text)``."""
+    name = base_name(F.lower("path"))
 
     def said(hit: Column, signal: str, prio: Column, text: Column) -> Column:
         return F.when(hit, F.struct(F.lit(signal).alias("signal"), prio.alias("prio"), text.alias("text")))
@@ -103,12 +104,18 @@ def file_signals(files: DataFrame) -> DataFrame:
         for signal, names in NAMED_FILES.items()
     ]
     signals += [said(_import_hit(rule), rule, F.lit(1), no_text) for rule in IMPORT_RULES]
-    return files.filter(name.isin(named) | ends_with_any(F.col("path"), sources)).select(
-        "repo_id", "ord", "path", F.inline(F.array_compact(F.array(*signals)))
-    )
+    return F.array_compact(F.array(*signals))
 
 
-def first_files(files: DataFrame) -> DataFrame:
+def file_signals(files: DataFrame) -> DataFrame:
+    """``(repo_id, ord, path, signal, prio, text)``: one row per thing a file says.
+
+    The rows are generated, not filtered, so that each import test reads the text once.
+    """
+    return files.filter(may_signal()).select("repo_id", "ord", "path", F.inline(signal_hits()))
+
+
+def first_files(signals: DataFrame) -> DataFrame:
     """``(repo_id, signal, path, text)``: the first file of each signal.
 
     Manifest paths that differ only in case are one manifest: it stands where its first copy
@@ -116,8 +123,7 @@ def first_files(files: DataFrame) -> DataFrame:
     """
     rank = F.struct("prio", "ord")
     copies = (
-        file_signals(files)
-        .groupBy("repo_id", "signal", F.when(F.col("signal").isin(MANIFESTS), F.lower("path")).alias("copy_of"))
+        signals.groupBy("repo_id", "signal", F.when(F.col("signal").isin(MANIFESTS), F.lower("path")).alias("copy_of"))
         .agg(F.min(rank).alias("rank"), F.min_by("path", rank).alias("path"), F.max_by("text", "ord").alias("text"))
     )
     return copies.groupBy("repo_id", "signal").agg(
@@ -158,9 +164,9 @@ def _condition(rule: str) -> Column:
     return F.lit(True)
 
 
-def indicators(files: DataFrame) -> DataFrame:
+def indicators(signals: DataFrame) -> DataFrame:
     """``(repo_id, rule_ord, rule, framework, weight, reason)``, one row per indicator met."""
-    firsts = first_files(files).withColumn(
+    firsts = first_files(signals).withColumn(
         "packages", F.when(F.col("signal") == "package", _used_packages(F.col("text")))
     )
     met = []
@@ -181,10 +187,10 @@ def indicators(files: DataFrame) -> DataFrame:
     return firsts.select("repo_id", F.inline(F.array_compact(F.array(*met))))
 
 
-def framework_scores(files: DataFrame) -> DataFrame:
+def framework_scores(signals: DataFrame) -> DataFrame:
     """``(repo_id, framework, score, first_rule, reasons)``; at most 17 reasons per repository."""
     return (
-        indicators(files)
+        indicators(signals)
         .groupBy("repo_id", "framework")
         .agg(
             F.sum("weight").alias("score"),
@@ -205,14 +211,18 @@ def best_framework(scores: DataFrame) -> DataFrame:
     )
 
 
-def detect_frameworks(files: DataFrame) -> DataFrame:
-    """``(repo_id, framework, confidence, score, indicators)`` for every repository in ``files``."""
-    repos = files.select("repo_id").distinct()
+def frameworks_of(signals: DataFrame, repos: DataFrame) -> DataFrame:
+    """The verdict for every row of ``repos(repo_id)``."""
     score = F.coalesce("best.score", F.lit(0))
-    return repos.join(best_framework(framework_scores(files)), "repo_id", "left").select(
+    return repos.join(best_framework(framework_scores(signals)), "repo_id", "left").select(
         "repo_id",
         F.coalesce("best.framework", F.lit("unknown")).alias("framework"),
         F.when(score >= HIGH_SCORE, "high").when(score >= MEDIUM_SCORE, "medium").otherwise("low").alias("confidence"),
         score.alias("score"),
         F.coalesce("best.reasons", F.array().cast("array<string>")).alias("indicators"),
     )
+
+
+def detect_frameworks(files: DataFrame) -> DataFrame:
+    """``(repo_id, framework, confidence, score, indicators)`` for every repository in ``files``."""
+    return frameworks_of(file_signals(files), files.select("repo_id").distinct())

@@ -32,7 +32,7 @@ def classify_sensitivity(spark, sf):
 
 
 def trace_imports(spark, sf):
-    out = analysis.trace_imports(_app(spark, sf), _flows(spark, sf))
+    out = analysis.trace_imports(analysis.import_edges(_app(spark, sf)), _flows(spark, sf))
     return out.withColumn("depth", F.col("depth").cast("bigint"))
 
 
@@ -47,7 +47,8 @@ def _matched(spark, sf):
     app, flows = _app(spark, sf), _flows(spark, sf)
     controls = analysis.checklist_controls(analysis.build_checklists(flows))
     frameworks = detect.detect_frameworks(app)
-    return analysis.match_controls(controls, analysis.trace_imports(app, flows), app, frameworks)
+    traces = analysis.trace_imports(analysis.import_edges(app), flows)
+    return analysis.match_controls(controls, traces, analysis.control_evidence(app), frameworks)
 
 
 def match_controls(spark, sf):
@@ -147,7 +148,6 @@ def _scan_sql(source):
 _HANDLED = "handled(framework, control_id, handled_by) AS (VALUES " + ", ".join(
     f"('{f}', '{c}', '{b}')" for f, c, b, _ in rules.HANDLED
 ) + ")"
-# the application corpus has no manifests and no framework imports but the Flask-free routes below
 SQL = {
     "discover_endpoints": f"{_FLOWS} SELECT repo_id, ord, path, rule, pos, method, route FROM endpoints",
     "group_crud_flows": f"{_FLOWS} SELECT repo_id, ord, path, entity, flow_name, entry_point, methods, routes FROM flows",

@@ -120,17 +120,17 @@ def clean_files(spark, sf):
 
 
 def first_file(spark, sf):
-    return detect.first_files(_files(spark, sf))
+    return detect.first_files(detect.file_signals(_files(spark, sf)))
 
 
 def framework_indicators(spark, sf):
-    return detect.indicators(_files(spark, sf)).select(
+    return detect.indicators(detect.file_signals(_files(spark, sf))).select(
         "repo_id", F.col("rule_ord").cast("bigint").alias("rule_ord"), "framework", "weight", "reason"
     )
 
 
 def framework_scores(spark, sf):
-    return detect.framework_scores(_files(spark, sf)).select(
+    return detect.framework_scores(detect.file_signals(_files(spark, sf))).select(
         "repo_id", "framework", "score", F.array_join("reasons", "|").alias("reasons")
     )
 

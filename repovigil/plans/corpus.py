@@ -51,7 +51,7 @@ SELECT repo_id, doc_id AS ord,
       || 'app.use(helmet())' || chr(10)
     WHEN 2 THEN 'import y from ''../lib/m' || CAST(doc_id + 20 AS STRING) || '.ts''' || chr(10)
       || 'const h = await bcrypt.hash(password, 12)' || chr(10) || 'logger.info("audit")' || chr(10)
-    WHEN 3 THEN '@GetMapping("/payments/{id}")' || chr(10) || '@PostMapping("/payments")' || chr(10)
+    WHEN 3 THEN CASE WHEN doc_id % 4 = 3 THEN '@RestController' || chr(10) ELSE '' END || '@GetMapping("/payments/{id}")' || chr(10) || '@PostMapping("/payments")' || chr(10)
       || 'MessageDigest.getInstance("MD5")' || chr(10)
     WHEN 4 THEN 'import z from ''./m' || CAST(doc_id + 60 AS STRING) || '''' || chr(10)
       || 'el.innerHTML = req.body.html' || chr(10) || 'try { run() } catch (e) { res.status(500) }' || chr(10)
