@@ -7,9 +7,12 @@ the scan are small hit rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repovigil.functions.tables import constant_table
 from repovigil.functions.text import contains_any, ends_with_any
 from repovigil.operators import rules
 from repovigil.session import materialize
@@ -247,12 +250,12 @@ def _snippet(lines: Column, index: Column) -> Column:
     )
 
 
-def _hit_lines(text: Column, pattern: str) -> Column:
-    """``array<struct<line_no, snippet>>`` of the lines that match."""
+def _hit_lines(text: Column, test: Callable[[Column], Column]) -> Column:
+    """``array<struct<line_no, snippet>>`` of the lines that pass ``test``."""
     lines = F.split(text, "\n")
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
     return F.transform(
-        F.filter(numbered, lambda x: x["line"].rlike(pattern)),
+        F.filter(numbered, lambda x: test(x["line"])),
         lambda x: F.struct((x["i"] + 1).cast("bigint").alias("line_no"), _snippet(lines, x["i"]).alias("snippet")),
     )
 
@@ -262,14 +265,11 @@ def vulnerability_hits() -> Column:
     text = F.col("content")
     per_rule = []
     for kind, severity, needed, pattern, title, advice in rules.VULNERABILITY_RULES:
-        gate = text.rlike(pattern)
-        if needed:
-            gate = contains_any(text, needed) & gate
         per_rule.append(
             F.when(
-                gate,
+                contains_any(text, needed) & text.rlike(pattern),
                 F.transform(
-                    _hit_lines(text, pattern),
+                    _hit_lines(text, lambda line: line.rlike(pattern)),
                     lambda h: F.struct(
                         h["line_no"].alias("line_no"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
                         F.lit(title).alias("title"), h["snippet"].alias("snippet"), F.lit(advice).alias("recommendation"),
@@ -290,12 +290,12 @@ def evidence_hits() -> Column:
     text = F.col("content")
     per_control = []
     for entry in rules.CONTROLS:
-        cid, pattern = entry[0], entry[-1]
+        cid, signs = entry[0], entry[-1]
         per_control.append(
             F.when(
-                text.rlike(pattern),
+                contains_any(text, signs),
                 F.transform(
-                    F.slice(_hit_lines(text, pattern), 1, 1),
+                    F.slice(_hit_lines(text, lambda line: contains_any(line, signs)), 1, 1),
                     lambda h: F.struct(F.lit(cid).alias("control_id"), h["line_no"].alias("line_no"), h["snippet"].alias("snippet")),
                 ),
             )
@@ -319,7 +319,7 @@ def match_controls(controls: DataFrame, traces: DataFrame, evidence: DataFrame,
         F.min(F.struct("depth", "ord", "line_no", "path", "snippet")).alias("evidence")
     )
     handled = F.broadcast(  # a constant list
-        spark.createDataFrame(rules.HANDLED, "framework string, control_id string, handled_by string, explanation string")
+        constant_table(spark, ["framework", "control_id", "handled_by", "explanation"], rules.HANDLED)
     )
     found = F.col("evidence").isNotNull()
     auto = ~found & F.col("handled_by").isNotNull()

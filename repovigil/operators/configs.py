@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repovigil.functions.tables import constant_table
+
 FRAMEWORKS = ["express", "fastify", "nestjs", "springboot", "flask", "django", "nextjs", "unknown"]
 
 # ---------------------------------------------------------------------------------------------
@@ -92,10 +94,7 @@ IMPORTANT_FILES = {
 }
 # ---------------------------------------------------------------------------------------------
 
-CONFIG_SCHEMA = (
-    "framework string, extensions array<string>, special_files array<string>, ignore_dirs array<string>, "
-    "ignore_files array<string>, important_files array<string>"
-)
+CONFIG_COLUMNS = ["framework", "extensions", "special_files", "ignore_dirs", "ignore_files", "important_files"]
 
 
 def _merged(base: list[str], extra: list[str]) -> list[str]:
@@ -118,4 +117,4 @@ def config_rows() -> list[tuple]:
 
 def framework_config(spark: SparkSession) -> DataFrame:
     """The settings as an 8-row dimension; its size is fixed, so it may always be broadcast."""
-    return spark.createDataFrame(config_rows(), CONFIG_SCHEMA)
+    return constant_table(spark, CONFIG_COLUMNS, config_rows())

@@ -12,29 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repovigil.functions.answers import blank_value, first_json
+from repovigil.functions.tables import constant_table
 from repovigil.functions.text import base_name, contains_any, ends_with_any
 
 # ---------------------------------------------------------------------------------------------
 # Indicator order, weights, texts and needles.
-# (rule, signal, framework, weight, reason); the order also breaks ties between frameworks.
+# (signal, mark in the file, framework, weight, reason); the order also breaks ties between frameworks.
 INDICATORS = [
-    ("nextjs_pkg", "package", "nextjs", 10, "next package found in package.json"),
-    ("express_pkg", "package", "express", 10, "express package found in package.json"),
-    ("fastify_pkg", "package", "fastify", 10, "fastify package found in package.json"),
-    ("nestjs_pkg", "package", "nestjs", 10, "@nestjs packages found in package.json"),
-    ("next_config", "next_config", "nextjs", 8, "next.config file found"),
-    ("nest_cli", "nest_cli", "nestjs", 8, "nest-cli.json found"),
-    ("pom_spring", "pom", "springboot", 10, "Spring Boot dependency found in pom.xml"),
-    ("gradle_spring", "gradle", "springboot", 10, "Spring Boot dependency found in build.gradle"),
-    ("req_flask", "requirements", "flask", 10, "Flask found in requirements.txt"),
-    ("req_django", "requirements", "django", 10, "Django found in requirements.txt"),
-    ("pyproject_flask", "pyproject", "flask", 10, "Flask found in pyproject.toml"),
-    ("pyproject_django", "pyproject", "django", 10, "Django found in pyproject.toml"),
-    ("manage_py", "manage", "django", 8, "Django manage.py found"),
-    ("flask_import", "flask_import", "flask", 5, "Flask import found in "),
-    ("express_import", "express_import", "express", 5, "Express import found in "),
-    ("fastify_import", "fastify_import", "fastify", 5, "Fastify import found in "),
-    ("spring_marker", "spring_marker", "springboot", 5, "Spring annotation found in "),
+    ("package", "next", "nextjs", 10, "next package found in package.json"),
+    ("package", "express", "express", 10, "express package found in package.json"),
+    ("package", "fastify", "fastify", 10, "fastify package found in package.json"),
+    ("package", "@nestjs", "nestjs", 10, "@nestjs packages found in package.json"),
+    ("next_config", "", "nextjs", 8, "next.config file found"),
+    ("nest_cli", "", "nestjs", 8, "nest-cli.json found"),
+    ("pom", "spring", "springboot", 10, "Spring Boot dependency found in pom.xml"),
+    ("gradle", "spring", "springboot", 10, "Spring Boot dependency found in build.gradle"),
+    ("requirements", "flask", "flask", 10, "Flask found in requirements.txt"),
+    ("requirements", "django", "django", 10, "Django found in requirements.txt"),
+    ("pyproject", "flask", "flask", 10, "Flask found in pyproject.toml"),
+    ("pyproject", "django", "django", 10, "Django found in pyproject.toml"),
+    ("manage", "django", "django", 8, "Django manage.py found"),
+    ("flask_import", "", "flask", 5, "Flask import found in "),
+    ("express_import", "", "express", 5, "Express import found in "),
+    ("fastify_import", "", "fastify", 5, "Fastify import found in "),
+    ("spring_marker", "", "springboot", 5, "Spring annotation found in "),
 ]
 # Signal -> file names, the preferred one first.
 NAMED_FILES = {
@@ -48,12 +49,7 @@ NAMED_FILES = {
     "nest_cli": ["nest-cli.json"],
 }
 MANIFESTS = ["package", "pom", "gradle", "requirements", "pyproject", "manage"]
-PACKAGES = {
-    "nextjs_pkg": ["next"],
-    "express_pkg": ["express"],
-    "fastify_pkg": ["fastify"],
-    "nestjs_pkg": ["@nestjs/core", "@nestjs/common"],
-}
+PACKAGES = ["next", "express", "fastify", "@nestjs/core", "@nestjs/common"]
 SPRING_BOOT = ["spring-boot", "org.springframework.boot"]
 IMPORT_RULES = {
     "flask_import": ([".py"], ["from flask import", "import flask"]),
@@ -137,7 +133,7 @@ def _used_packages(text: Column) -> Column:
     plain = F.try_variant_get(doc, "$.dependencies", "map<string,variant>")
     dev = F.try_variant_get(doc, "$.devDependencies", "map<string,variant>")
     return F.filter(
-        F.array(*[F.lit(p) for names in PACKAGES.values() for p in names]),
+        F.array(*[F.lit(p) for p in PACKAGES]),
         lambda name: ~blank_value(
             F.when(F.map_contains_key(dev, name), F.element_at(dev, name)).otherwise(F.element_at(plain, name))
         ),
@@ -150,41 +146,32 @@ def _strict_json(text: Column) -> Column:
     return F.when(body == first_json(body), F.try_parse_json(body))
 
 
-def _condition(rule: str) -> Column:
-    """The extra test a signal's first file must pass for an indicator."""
-    text = F.col("text")
-    if rule.endswith("_pkg"):
-        return F.arrays_overlap(F.col("packages"), F.array(*[F.lit(p) for p in PACKAGES[rule]]))
-    if rule.endswith("_spring"):
-        return contains_any(text, SPRING_BOOT)
-    if rule == "manage_py":
-        return text.contains("django")
-    if rule.endswith(("_flask", "_django")):
-        return F.lower(text).contains(rule.split("_")[1])
-    return F.lit(True)
+def _marks() -> Column:
+    """What a signal's first file holds; empty if it holds nothing that counts."""
+    signal, text = F.col("signal"), F.col("text")
+    scopes = F.transform(_used_packages(text), lambda p: F.regexp_replace(p, "^(@nestjs)/.*$", "$1"))
+    names = F.filter(F.array(F.lit("flask"), F.lit("django")), lambda m: F.contains(F.lower(text), m))
+    return (
+        F.when(signal == "package", F.array_distinct(scopes))
+        .when(signal.isin("pom", "gradle"), F.when(contains_any(text, SPRING_BOOT), F.array(F.lit("spring"))))
+        .when(signal.isin("requirements", "pyproject"), names)
+        .when(signal == "manage", F.when(text.contains("django"), F.array(F.lit("django"))))
+        .otherwise(F.array(F.lit("")))
+    )
 
 
 def indicators(signals: DataFrame) -> DataFrame:
-    """``(repo_id, rule_ord, rule, framework, weight, reason)``, one row per indicator met."""
-    firsts = first_files(signals).withColumn(
-        "packages", F.when(F.col("signal") == "package", _used_packages(F.col("text")))
+    """``(repo_id, rule_ord, framework, weight, reason)``, one row per indicator met."""
+    rules = constant_table(
+        signals.sparkSession,
+        ["rule_ord", "signal", "mark", "framework", "weight", "reason"],
+        [(position, *row) for position, row in enumerate(INDICATORS, start=1)],
+    )
+    met = first_files(signals).select("repo_id", "path", "signal", F.explode(_marks()).alias("mark"))
+    named = F.when(F.col("signal").isin(*IMPORT_RULES), F.col("path")).otherwise("")
+    return met.join(F.broadcast(rules), ["signal", "mark"]).select(
+        "repo_id", "rule_ord", "framework", F.col("weight").cast("bigint").alias("weight"), F.concat("reason", named).alias("reason")
     )
-    met = []
-    for position, (rule, signal, framework, weight, reason) in enumerate(INDICATORS, start=1):
-        full = F.concat(F.lit(reason), F.col("path")) if rule in IMPORT_RULES else F.lit(reason)
-        met.append(
-            F.when(
-                (F.col("signal") == signal) & _condition(rule),
-                F.struct(
-                    F.lit(position).alias("rule_ord"),
-                    F.lit(rule).alias("rule"),
-                    F.lit(framework).alias("framework"),
-                    F.lit(weight).cast("bigint").alias("weight"),
-                    full.alias("reason"),
-                ),
-            )
-        )
-    return firsts.select("repo_id", F.inline(F.array_compact(F.array(*met))))
 
 
 def framework_scores(signals: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ SENSITIVITY_RULES = [
 SCRIPT_IMPORT = r"""(?:from[ \t]+|require\([ \t]*|import\([ \t]*)['"](\.[^'"\n]*)['"]"""
 PYTHON_IMPORT = r"(?:^|\n)from[ \t]+([A-Za-z_][A-Za-z0-9_.]*)[ \t]+import[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
 
-# (type, severity, needed substrings (any of them; empty: no cheap test), pattern, title, recommendation)
+# (type, severity, substrings of which a match has at least one, pattern, title, recommendation)
 VULNERABILITY_RULES = [
     ("sql_injection", "critical", ["SELECT", "INSERT", "UPDATE", "DELETE"],
      r"""(?:query|execute|raw)\([^\n]*(?:SELECT|INSERT|UPDATE|DELETE)[^\n]*['"`][ \t]*(?:\+|%|\.format\()""",
@@ -54,8 +54,8 @@ VULNERABILITY_RULES = [
     ("path_traversal", "high", ["readFile", "createReadStream", "sendFile", "open("],
      r"(?:readFile|readFileSync|createReadStream|sendFile|open)\([^\n]*(?:req\.|request\.)",
      "File path from user input", "Resolve the path and check that it stays below its root"),
-    ("hardcoded_secret", "high", [],
-     r"""(?i)(?:api_?key|secret|token|password)[ \t]*[:=][ \t]*["'][^"'\n]{16,}["']""",
+    ("hardcoded_secret", "high", ["key", "Key", "KEY", "ecret", "ECRET", "oken", "OKEN", "assword", "ASSWORD"],
+     r"""(?:api_?key|apiKey|API_?KEY|[sS]ecret|SECRET|[tT]oken|TOKEN|[pP]assword|PASSWORD)[ \t]*[:=][ \t]*["'][^"'\n]{16,}["']""",
      "Secret in source code", "Move the secret to a secret store"),
     ("insecure_deserialization", "critical", ["pickle.load", "yaml.load", "unserialize(", "ObjectInputStream"],
      r"pickle\.loads?\(|yaml\.load\(|unserialize\(|ObjectInputStream",
@@ -73,43 +73,43 @@ VULNERABILITY_RULES = [
     ("sensitive_data_exposure", "medium", ["password", "token", "secret"],
      r"(?:console\.log|logger\.[a-z]+|print)\([^\n]*(?:password|token|secret)",
      "Sensitive value in a log", "Mask sensitive values"),
-    ("insecure_configuration", "medium", [],
-     r"(?i)debug[ \t]*=[ \t]*true|cors\([ \t]*\)|access-control-allow-origin[^\n]*\*",
+    ("insecure_configuration", "medium", ["ebug", "DEBUG", "cors(", "ccess-"],
+     r"(?:[dD]ebug|DEBUG)[ \t]*=[ \t]*[tT]rue|cors\([ \t]*\)|[aA]ccess-[cC]ontrol-[aA]llow-[oO]rigin[^\n]*\*",
      "Unsafe setting", "Restrict the setting to trusted origins and environments"),
     ("other", "low", ["<script>"], r"<script>[^<\n]", "Inline script", "Load scripts from files under a content policy"),
 ]
 
 # (id, name, description, category, required, importance, owasp, applies to (pattern over method and route;
-#  empty: always), evidence pattern)
+#  empty: always), substrings of which one shows the control)
 CONTROLS = [
     ("AUTHN-001", "Authenticated access", "Reject requests without a valid session or token", "authentication", True,
-     "critical", ["A07:2021"], r"auth|login|user|account|order|payment|upload|admin", r"auth[,)(]|passport\.|@login_required|@PreAuthorize"),
+     "critical", ["A07:2021"], r"auth|login|user|account|order|payment|upload|admin", ["auth,", "auth)", "auth(", "passport.", "@login_required", "@PreAuthorize"]),
     ("CRYPT-001", "Password hashing", "Store passwords with an adaptive hash", "cryptography", True,
-     "critical", ["A02:2021"], r"login|password|register|users", r"bcrypt|argon2|pbkdf2|scrypt"),
+     "critical", ["A02:2021"], r"login|password|register|users", ["bcrypt", "argon2", "pbkdf2", "scrypt"]),
     ("INJ-001", "Parameterized queries", "Bind values instead of building statements", "injection_prevention", True,
-     "critical", ["A03:2021"], r":[a-z]+|\{[a-z]+\}|<[a-z:]+>", r"\.prepare\(|parameterized|PreparedStatement"),
+     "critical", ["A03:2021"], r":[a-z]+|\{[a-z]+\}|<[a-z:]+>", [".prepare(", "parameterized", "PreparedStatement"]),
     ("AUTHZ-001", "Ownership check", "Check that the caller owns the record", "authorization", True,
-     "high", ["A01:2021"], r"^(?:PUT|PATCH|DELETE)|,(?:PUT|PATCH|DELETE)", r"isOwner|checkOwner|@PostAuthorize|owner_id"),
+     "high", ["A01:2021"], r"^(?:PUT|PATCH|DELETE)|,(?:PUT|PATCH|DELETE)", ["isOwner", "checkOwner", "@PostAuthorize", "owner_id"]),
     ("INPUT-001", "Input validation", "Check type, length and range of every field", "input_validation", True,
-     "high", ["A03:2021"], r"POST|PUT|PATCH", r"validate\(|joi\.|zod|@Valid"),
+     "high", ["A03:2021"], r"POST|PUT|PATCH", ["validate(", "joi.", "zod.", "@Valid"]),
     ("ACCESS-001", "Role check", "Limit administrative routes to roles", "access_control", True,
-     "high", ["A01:2021"], r"admin|delete|payment", r"hasRole|requireRole|@RolesAllowed"),
+     "high", ["A01:2021"], r"admin|delete|payment", ["hasRole", "requireRole", "@RolesAllowed"]),
     ("ERR-001", "Safe error replies", "Return no internals in errors", "error_handling", True,
-     "medium", ["A05:2021"], r"", r"catch \(|except |@ExceptionHandler"),
+     "medium", ["A05:2021"], r"", ["catch (", "except Exception", "@ExceptionHandler"]),
     ("RATE-001", "Rate limiting", "Limit attempts per client", "rate_limiting", False,
-     "high", ["A07:2021"], r"auth|login|payment|upload", r"rateLimit|limiter|@Throttle"),
+     "high", ["A07:2021"], r"auth|login|payment|upload", ["rateLimit", "limiter", "@Throttle"]),
     ("SESS-001", "Session protection", "Rotate and expire sessions", "session_management", False,
-     "high", ["A07:2021"], r"login|session", r"httpOnly|regenerate\("),
+     "high", ["A07:2021"], r"login|session", ["httpOnly", "regenerate("]),
     ("CSRF-001", "Request forgery protection", "Require a token on state changes", "session_management", False,
-     "high", ["A01:2021"], r"POST|PUT|PATCH|DELETE", r"csrf|csurf"),
+     "high", ["A01:2021"], r"POST|PUT|PATCH|DELETE", ["csrf", "csurf"]),
     ("DATA-001", "Data protection", "Encrypt personal and payment data at rest", "data_protection", False,
-     "high", ["A02:2021"], r"payment|users|account", r"encrypt\(|createCipheriv|Fernet"),
+     "high", ["A02:2021"], r"payment|users|account", ["encrypt(", "createCipheriv", "Fernet"]),
     ("OUT-001", "Output encoding", "Encode values before rendering", "output_encoding", False,
-     "medium", ["A03:2021"], r"GET", r"escape\(|helmet\(|sanitize"),
+     "medium", ["A03:2021"], r"GET", ["escape(", "helmet(", "sanitize"]),
     ("LOG-001", "Audit log", "Record who did what", "logging_monitoring", False,
-     "medium", ["A09:2021"], r"", r"logger\.|audit"),
+     "medium", ["A09:2021"], r"", ["logger.", "audit"]),
     ("SIZE-001", "Size limits", "Limit body and file size", "input_validation", False,
-     "low", ["A04:2021"], r"upload|POST", r"maxFileSize|limit:|MAX_CONTENT_LENGTH"),
+     "low", ["A04:2021"], r"upload|POST", ["maxFileSize", "limit:", "MAX_CONTENT_LENGTH"]),
 ]
 CATEGORIES = [
     "authentication", "authorization", "input_validation", "output_encoding", "cryptography", "session_management",

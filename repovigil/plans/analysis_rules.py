@@ -82,6 +82,10 @@ def _q(text):
     return "'" + text.replace("'", "''") + "'"
 
 
+def _shows(column, control):
+    return "(" + " OR ".join(f"contains({column}, {_q(sign)})" for sign in control[8]) + ")"
+
+
 def _endpoint_sql():
     arms = []
     for name, exts, pattern, mg, rg in rules.ROUTE_RULES:
@@ -124,8 +128,8 @@ walk AS (SELECT DISTINCT repo_id, ord AS entry, ord, 0 AS depth FROM flows
   UNION SELECT w.repo_id, w.entry, e.target, w.depth + 1 FROM walk w JOIN edges e ON e.repo_id = w.repo_id AND e.ord = w.ord WHERE w.depth < 9),
 traces AS (SELECT repo_id, entry, ord, min(depth) AS depth FROM walk GROUP BY ALL)"""
 
-_CATALOG = "catalog(n, control_id, category, required, importance, owasp, applies, evidence) AS (VALUES " + ", ".join(
-    f"({i}, '{c[0]}', '{c[3]}', {str(c[4]).lower()}, '{c[5]}', '{','.join(c[6])}', {_q(c[7])}, {_q(c[8])})"
+_CATALOG = "catalog(n, control_id, category, required, importance, owasp, applies) AS (VALUES " + ", ".join(
+    f"({i}, '{c[0]}', '{c[3]}', {str(c[4]).lower()}, '{c[5]}', '{','.join(c[6])}', {_q(c[7])})"
     for i, c in enumerate(rules.CONTROLS)
 ) + ")"
 _CHECK = f"""{_CATALOG},
@@ -157,7 +161,7 @@ SQL = {
     "match_controls": f"""{_FLOWS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_TRACE}, {_CHECK}, {_HANDLED},
         numbered AS (SELECT repo_id, ord, path, lines, unnest(lines) AS line, unnest(range(len(lines))) AS i
             FROM (SELECT *, string_split(content, chr(10)) AS lines FROM app_corpus)),
-        proof AS ({" UNION ALL ".join(f"SELECT repo_id, ord, path, i, lines, '{c[0]}' AS control_id FROM numbered WHERE regexp_matches(line, {_q(c[8])})" for c in rules.CONTROLS)}),
+        proof AS ({" UNION ALL ".join(f"SELECT repo_id, ord, path, i, lines, '{c[0]}' AS control_id FROM numbered WHERE {_shows('line', c)}" for c in rules.CONTROLS)}),
         firsts AS (SELECT t.repo_id, t.entry, p.control_id, first(p.path ORDER BY t.depth, p.ord, p.i) AS file,
             first(md5(array_to_string(lines[greatest(i, 1):i + 2], chr(10))) ORDER BY t.depth, p.ord, p.i) AS snippet_md5
           FROM traces t JOIN proof p USING (repo_id, ord) GROUP BY ALL),

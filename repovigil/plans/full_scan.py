@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repovigil.plans.analysis_rules import _CHECK, _HANDLED, _TRACE, _endpoint_sql, _q
+from repovigil.plans.analysis_rules import _CHECK, _HANDLED, _TRACE, _endpoint_sql, _q, _shows
 from repovigil.operators import rules
 from repovigil.plans.corpus import APP_CORPUS, view
 from repovigil.plans.scan import scan
@@ -31,7 +31,7 @@ def scan_findings(spark, sf):
 
 
 _PROOF = " UNION ALL ".join(
-    f"SELECT repo_id, ord, '{c[0]}' AS control_id FROM app_corpus WHERE regexp_matches(content, {_q(c[8])})" for c in rules.CONTROLS
+    f"SELECT repo_id, ord, '{c[0]}' AS control_id FROM app_corpus WHERE {_shows('content', c)}" for c in rules.CONTROLS
 )
 _RISKS = " UNION ALL ".join(
     f"SELECT repo_id, ord, '{k}' AS type, '{s}' AS severity FROM numbered WHERE regexp_matches(line, {_q(p)})"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from repovigil.functions.severity import finding_level
 from repovigil.operators import analysis, clean, detect, report
-from repovigil.session import materialize
+from repovigil.session import materialize, written
 
 
 def file_facts(files: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def file_facts(files: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, forced: DataFrame | None = None) -> dict[str, DataFrame]:
     """Result tables of a scan; the run of a repository is its ``repo_id``."""
-    facts = materialize(file_facts(files))
+    facts = written(file_facts(files), "facts")
     signals = facts.select("repo_id", "ord", "path", F.inline("signal_hits"))
     found = detect.frameworks_of(signals, facts.select("repo_id").distinct())
     frameworks = materialize(clean.resolve_framework(found, forced, keep_unknown=True))

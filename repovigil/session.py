@@ -20,6 +20,8 @@ def local_session(cpus: str | int = "*", app: str = "repovigil", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no call site per column expression: it costs more than building the plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -40,8 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="repovigil-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    spark.sparkContext.setCheckpointDir(made)  # found again by the next call
+    return spark.sparkContext.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
@@ -50,13 +52,25 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """Checkpoint ``df`` in the shared folder and cut its lineage.
 
-    Used between rounds of an iteration, and wherever a value must not be computed twice
-    (model answers, sampled partition bounds).
+    Used between rounds of an iteration and wherever a value must not be computed twice (model
+    answers, sampled partition bounds). A lost executor costs its running tasks only.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it from there.
+
+    For wide tables that several later steps read in part: they scan only their columns, and the
+    table's size is known to the join planner.
+    """
+    spark = df.sparkSession
+    folder = fresh_dir(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
