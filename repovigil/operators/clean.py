@@ -157,17 +157,23 @@ def filter_files(files: DataFrame, frameworks: DataFrame) -> DataFrame:
 
 
 def cleaning_stats(files: DataFrame, frameworks: DataFrame) -> DataFrame:
-    """Per repository: rows entering detection, rows kept, and the difference. Paths only."""
-    paths = files.select("repo_id", "path")
-    counted = (
-        paths.join(frameworks.select("repo_id", "framework"), "repo_id", "left")
-        .groupBy("repo_id")
-        .agg(
-            F.count("*").alias("total"),
-            F.count_if(kept(F.col("path"), F.col("framework"))).alias("included"),
-        )
+    """Per repository: rows entering detection, rows kept, and the difference.
+
+    Files are counted under every framework in the scan, and the one that applies is picked per
+    repository: the count combines map-side, and no file row is shuffled to learn its framework.
+    """
+    path = F.col("path")
+    counted = files.groupBy("repo_id").agg(
+        F.count("*").alias("total"),
+        *[F.count_if(kept_by_some(path) & kept(path, F.lit(fw))).alias(fw) for fw in cfg.FRAMEWORKS],
+    )
+    known = F.when(F.col("framework").isin(cfg.FRAMEWORKS), F.col("framework")).otherwise(F.lit("unknown"))
+    by_name = F.create_map(*[x for fw in cfg.FRAMEWORKS for x in (F.lit(fw), F.col(fw))])
+    return (
+        counted.join(frameworks.select("repo_id", "framework"), "repo_id", "left")
+        .withColumn("included", F.element_at(by_name, known))
+        .select("repo_id", "total", "included", (F.col("total") - F.col("included")).alias("ignored"))
     )
-    return counted.withColumn("ignored", F.col("total") - F.col("included"))
 
 
 def clean_files(files: DataFrame, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
