@@ -87,7 +87,7 @@ def similar_files(requests: DataFrame, files: DataFrame, k: int = SIMILAR_FILES)
         "repo_id", "ord", "path", F.explode(F.array_distinct(substrings)).alias("segment")
     )
     # an empty segment is contained in every path
-    everywhere = files.select("repo_id", "ord", "path", F.lit("").alias("segment"))
+    everywhere = first_k(files.select("repo_id", "ord", "path"), ["repo_id"], k).withColumn("segment", F.lit(""))
     # a file may hold a segment in several components
     matched = (
         pieces.unionByName(everywhere)

@@ -267,6 +267,8 @@ SQL = {
     "extension_filter": _flag_sql("ext_ok", "has_extension"),
     "filter_files": f"""{_FILES}, {_RULES}, {_DETECT}, {_flags('fw')}
         SELECT repo_id, ord, path, framework, md5(content) AS content_md5 FROM verdicts WHERE keep""",
+    "sort_by_path": f"""{_FILES}, {_RULES}, {_DETECT}, {_flags('fw')} SELECT repo_id, ord, path,
+        row_number() OVER (PARTITION BY repo_id ORDER BY path COLLATE en, ord) - 1 AS pos FROM verdicts WHERE keep""",
     "cleaning_stats": f"""{_FILES}, {_RULES}, {_DETECT}, {_flags('fw')} SELECT repo_id, count(*) AS total,
         count(*) FILTER (keep) AS included, count(*) FILTER (NOT keep) AS ignored FROM verdicts GROUP BY repo_id""",
     "clean_archives": _clean_sql(("fw", ""), _ADMITTED),
