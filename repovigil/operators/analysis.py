@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repovigil.functions.skew import salted_lookup
 from repovigil.functions.tables import constant_table
 from repovigil.functions.text import contains_any, ends_with_any
 from repovigil.operators import rules
@@ -323,10 +324,10 @@ def match_controls(controls: DataFrame, traces: DataFrame, evidence: DataFrame,
     )
     found = F.col("evidence").isNotNull()
     auto = ~found & F.col("handled_by").isNotNull()
+    matched = controls.withColumnRenamed("ord", "entry").join(reached, ["repo_id", "entry", "control_id"], "left")
+    by_repo = frameworks.select("repo_id", "framework")
     return (
-        controls.withColumnRenamed("ord", "entry")
-        .join(reached, ["repo_id", "entry", "control_id"], "left")
-        .join(frameworks.select("repo_id", "framework"), "repo_id", "left")
+        salted_lookup(matched, by_repo, "repo_id", ["flow_name", "control_id"], "left")
         .join(handled, ["framework", "control_id"], "left")
         .select(
             "repo_id", "flow_name", "control_id", F.col("name").alias("control_name"), "required",

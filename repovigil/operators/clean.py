@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repovigil.functions.skew import salted_lookup
 from repovigil.functions.text import contains_any, utf16_length, within_utf16
 from repovigil.operators import configs as cfg
 from repovigil.operators.detect import detect_frameworks
@@ -144,16 +145,13 @@ def resolve_framework(detected: DataFrame, forced: DataFrame | None, keep_unknow
 def filter_files(files: DataFrame, frameworks: DataFrame) -> DataFrame:
     """Files kept under their repository's framework.
 
-    Rows that no framework keeps are dropped in the scan. For the others the join with one row
-    per repository is left to the optimizer: broadcast while the framework table is small,
-    shuffled (with skew splitting) beyond that.
+    Rows that no framework keeps are dropped in the scan. The others meet one row per repository:
+    by broadcast while that table is small, in salted slices beyond that, so that a repository
+    with most of the files is spread like any other rows.
     """
-    by_repo = frameworks.select("repo_id", "framework")
-    return (
-        files.filter(kept_by_some(F.col("path")))
-        .join(by_repo, "repo_id")
-        .filter(kept(F.col("path"), F.col("framework")))
-    )
+    some = files.filter(kept_by_some(F.col("path")))
+    judged = salted_lookup(some, frameworks.select("repo_id", "framework"), "repo_id", ["ord", "path"])
+    return judged.filter(kept(F.col("path"), F.col("framework")))
 
 
 def cleaning_stats(files: DataFrame, frameworks: DataFrame) -> DataFrame:

@@ -42,13 +42,13 @@ def retry_rounds(flows: DataFrame, responder: Responder, task: Task, max_attempt
 
     Adds ``success``, ``retries``, ``error`` (of the last attempt) and the parsed fields;
     ``messages`` is the conversation. Only flows still without a valid answer enter the next
-    round. Answers are written before they are read, so no call happens twice.
+    round. A round is written once, with its answers, before anything reads it: no call happens
+    twice.
     """
     pending = flows.withColumn("attempt", F.lit(0))
     finished: list[DataFrame] = []
     for attempt in range(max_attempts):
-        answered = materialize(responder(pending))
-        parsed = task.parse(answered)
+        parsed = task.parse(responder(pending))
         error = F.coalesce(F.col("call_error"), F.col("error"))
         parsed = parsed.withColumn("error", error)
         good = F.coalesce(F.col("error").isNull() & (F.col("status") == "completed"), F.lit(False))
@@ -65,8 +65,7 @@ def retry_rounds(flows: DataFrame, responder: Responder, task: Task, max_attempt
                 "retries": F.when(good, F.lit(attempt)).otherwise(F.lit(attempt + 1)),
             }
         ).drop("text", "call_error", "json", "attempt")
-        # a few narrow columns decide who goes on; the round's table is read twice from storage
-        parsed = materialize(parsed) if attempt + 1 < max_attempts else parsed
+        parsed = materialize(parsed)
         finished.append(parsed if attempt + 1 == max_attempts else parsed.filter("success"))
         if attempt + 1 < max_attempts:
             pending = parsed.filter(~F.col("success")).select(*flows.columns).withColumn("attempt", F.lit(attempt + 1))

@@ -279,7 +279,7 @@ outcome AS (SELECT conv_id, w IS NOT NULL AS success, coalesce(w, 3)::BIGINT AS
 SELECT conv_id, 'flow-' || conv_id AS flow_name, {columns} FROM outcome"""
 
 
-_REPOS = f"{with_views('files_corpus')}, r AS (SELECT repo_id, CAST(substr(repo_id, 4) AS INT) % 3 AS k, min(path) FILTER (path LIKE 'src/routes/%') AS a, max(path) FILTER (path LIKE 'src/routes/%') AS b FROM files_corpus GROUP BY repo_id)"
+_REPOS = f"{with_views('files_corpus')}, r AS (SELECT repo_id, CAST(substr(repo_id, 4) AS INT) % 3 AS k, bool_or(path = 'README.md') AS readme, min(path) FILTER (path LIKE 'src/routes/%') AS a, max(path) FILTER (path LIKE 'src/routes/%') AS b FROM files_corpus GROUP BY repo_id)"
 
 SQL = {
     "render_checklist_prompts": f"""{cleaning._FILES}, {cleaning._DETECT}, {_TREES}, flows AS ({FLOWS})
@@ -321,7 +321,7 @@ SQL = {
     "flow_profiles": f"""{_REPOS} SELECT repo_id, CAST(1 AS BIGINT) AS pos, 'A of ' || repo_id AS flow_name, 'p' AS purpose, 'GET /a' AS entry_point,
         'high' AS sensitivity_level, 'id' AS input_types, '' AS output_types FROM r WHERE k <> 2""",
     "trace_transcripts": f"""{_REPOS} SELECT repo_id, CAST(1 AS BIGINT) AS endpoint_no, 'GET /a' AS endpoint, CAST(8 AS BIGINT) AS n_messages,
-          CASE WHEN a = b THEN a ELSE a || ',' || b END || ',./' || a AS files_read FROM r
+          CASE WHEN a <> b THEN a || ',' || b WHEN readme THEN a || ',README.md' ELSE a END || ',./' || a AS files_read FROM r
         UNION ALL SELECT repo_id, 2, CASE k WHEN 1 THEN 'missing.ts' ELSE 'unknown' END, CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END, '' FROM r""",
 }
 QUERIES = {

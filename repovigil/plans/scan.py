@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repovigil.functions.skew import salted_lookup
 from repovigil.functions.severity import finding_level
 from repovigil.operators import analysis, clean, detect, report
 from repovigil.session import materialize, written
@@ -38,7 +39,9 @@ def scan(files: DataFrame, forced: DataFrame | None = None) -> dict[str, DataFra
     found = detect.frameworks_of(signals, facts.select("repo_id").distinct())
     frameworks = materialize(clean.resolve_framework(found, forced, keep_unknown=True))
     by_repo = frameworks.select("repo_id", "framework")
-    judged = facts.drop("signal_hits").join(by_repo, "repo_id").withColumn("kept", clean.kept(F.col("path"), F.col("framework")))
+    judged = salted_lookup(facts.drop("signal_hits"), by_repo, "repo_id", ["ord", "path"]).withColumn(
+        "kept", clean.kept(F.col("path"), F.col("framework"))
+    )
     kept = judged.filter("kept")
 
     flows = materialize(analysis.group_crud_flows(analysis.endpoints_of(kept)))
