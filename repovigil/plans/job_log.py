@@ -31,7 +31,12 @@ def job_log(spark, sf):
 
 def _now(spark, sf):
     """A fixed clock: the last event's time."""
-    return F.lit(from_sql(spark, sf, "SELECT max(ts) AS now FROM events").first()["now"]).cast("timestamp_ntz")
+    return _at(from_sql(spark, sf, "SELECT max(ts) AS now FROM events").first()["now"])
+
+
+def _at(moment):
+    """A time without zone, through its text: no zone of the session or of Python comes in."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def job_state(spark, sf):
@@ -60,7 +65,7 @@ def expire_jobs(spark, sf):
     """The clock stands at the last first completion, so some jobs are old and some are not."""
     log = job_log(spark, sf)
     last = jobs.job_times(log).agg(F.max("completed_at")).first()[0]
-    return jobs.expire_jobs(log, F.lit(last).cast("timestamp_ntz"))
+    return jobs.expire_jobs(log, _at(last))
 
 
 def stage_progress(spark, sf):

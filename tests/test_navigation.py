@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from repovigil.functions.skew import SALTS, salted_lookup
 from repovigil.operators import lookup, tree
 from repovigil.operators.order import ordered_positions
-from pyspark.sql import functions as F
 
 
 def drawn(paths, depth):
@@ -71,6 +73,16 @@ def test_positions_span_partitions(spark):
         assert [got[r[2]] for r in ranked] == list(range(len(ranked)))
 
 
+def test_salted_lookup_is_a_plain_join(spark):
+    rows = spark.createDataFrame([("hot" if i % 4 else f"k{i}", i) for i in range(400)] + [("none", -1)], "k string, i int")
+    names = rows.select("k").distinct().filter("k <> 'none'").withColumn("name", F.upper("k"))
+    for how in ("inner", "left"):
+        got = sorted(map(str, salted_lookup(rows, names, "k", ["i"], how).collect()))
+        assert got == sorted(map(str, rows.join(names, "k", how).collect()))
+    slices = rows.filter("k = 'hot'").select(F.pmod(F.xxhash64("i"), F.lit(SALTS))).distinct().count()
+    assert slices == SALTS
+
+
 def ask(spark, wanted):
     return spark.createDataFrame(
         [("r", i, f, again) for i, (f, again) in enumerate(wanted)], "repo_id string, request_id bigint, file string, already_read boolean"
