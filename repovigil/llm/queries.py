@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repovigil.llm import bpe, decontaminate, lines
+from repovigil.llm import bpe, decontaminate, jaccard, lines
 from repovigil.llm.common import table
 
 #: Folder of the public tokenizer files; the same on every executor.
@@ -23,6 +23,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.link_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_report(found)
@@ -65,6 +70,7 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {"op6_line_dedup": _SQL_OP6, "op10_decontaminate": _SQL_OP10}
