@@ -31,7 +31,6 @@ from repovigil.session import written
 MIN_DOCS = 10
 MIN_CHARS = 1
 SHARD_KEYS = 500_000
-PART_ROWS = 2_000_000
 
 
 def _key(line: bytes) -> bytes:
@@ -128,10 +127,15 @@ def _shard_of(shards: int):
     return F.pmod(F.xxhash64(F.col("line"), F.lit("shard")), F.lit(shards)).cast("int")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def frequent_lines(
+    docs: DataFrame, min_docs: int, min_chars: int, count_copies: bool = True, shard_keys: int = SHARD_KEYS
+) -> DataFrame:
     """(digest, lines array<long>): the frequent lines of each distinct text that has any."""
     spark = docs.sparkSession
-    found = written(docs.mapInArrow(_occurrences(min_chars), "line long, digest binary, copies long"), "lines")
+    found = docs.mapInArrow(_occurrences(min_chars), "line long, digest binary, copies long")
+    if not count_copies:
+        found = found.select("line", "digest").distinct().withColumn("copies", F.lit(1).cast("bigint"))
+    found = written(found, "lines")
     counts = written(found.groupBy("line").agg(F.sum("copies").alias("docs")), "line-counts")
     shards = max(shuffle_partitions(spark), -(-counts.count() // shard_keys))
     arrays = written(
@@ -143,8 +147,9 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, shard_keys: i
     )
     # texts are distinct here but for copies that different tasks met
     probes = found.select(_shard_of(shards).alias("shard"), "line", "digest")
-    # rows per shard are few numbers; a shard with a very frequent line gets several parts
-    parts = probes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("parts"))
+    # a shard with a very frequent line gets several parts, of twice the rows of a usual shard at most
+    usual = max(1, 2 * found.count() // shards)
+    parts = probes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(usual)).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # one row a shard
     heads = arrays.join(parts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
@@ -172,18 +177,20 @@ def drop_frequent_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
+    count_copies: bool = True,
 ) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, *keep), one row per row of ``docs``.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at
     least ``min_chars`` code points (1 or more) in at least ``min_docs`` rows (2 to 65535) lose all their
     lines; the others stay as they are, joined by a line feed. Each row counts as a document, also
-    one that repeats an id. A null or empty text is one empty line.
+    one that repeats an id; without ``count_copies`` rows of equal text count as one, so that the lines
+    of a text that exists often, but only as copies, stay. A null or empty text is one empty line.
     """
     if not (2 <= min_docs <= 65535 and min_chars >= 1):
         raise ValueError("min_docs must be 2 to 65535, min_chars 1 or more")
     rows = id_text(docs, id_col, text_col)
-    rare = frequent_lines(rows, min_docs, min_chars)
+    rare = frequent_lines(rows, min_docs, min_chars, count_copies)
     others = [F.col(c).alias(f"keep{k}") for k, c in enumerate(keep)]
     texts = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *others
