@@ -121,6 +121,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_
 
 
 _FOUND = "doc_id long, text string, starts array<int>, ends array<int>, items array<long>, anonymous boolean"
+_NAMES = ["doc_id", "text", "starts", "ends", "items", "anonymous"]
 
 
 def _scan(shared):
@@ -139,8 +140,9 @@ def _scan(shared):
             ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(starts, ints), pa.array(ends, ints),
-                 pa.array(items, longs), pa.array(anonymous, pa.bool_())],
-                ["doc_id", "text", "starts", "ends", "items", "anonymous"],
+                 pa.array(items, longs), pa.array(anonymous, pa.bool_()),
+                 *(batch.column(k) for k in range(6, batch.num_columns))],
+                [*_NAMES, *(f"keep{k}" for k in range(batch.num_columns - 6))],
             )
 
     return step
@@ -155,8 +157,9 @@ def find_benchmark(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, text, starts, ends, items, anonymous), one row per row of ``docs``.
+    """(doc_id, text, starts, ends, items, anonymous, *keep), one row per row of ``docs``.
 
     ``starts`` and ``ends`` are the word spans of all windows found, ``items`` the sorted distinct
     ids of their items; ``anonymous`` says that an item without an id was found too. A null or
@@ -164,15 +167,17 @@ def find_benchmark(
     """
     spark = docs.sparkSession
     none = F.array().cast("array<int>")
-    out = id_text(docs, doc_col, text_col).select(
-        "doc_id", "text", none.alias("starts"), none.alias("ends"),
-        F.array().cast("array<bigint>").alias("items"), F.lit(False).alias("anonymous"),
+    out = docs.select(
+        F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        none.alias("starts"), none.alias("ends"), F.array().cast("array<bigint>").alias("items"),
+        F.lit(False).alias("anonymous"), *[F.col(c).alias(f"keep{k}") for k, c in enumerate(keep)],
     )
+    schema = _FOUND + "".join(f", keep{k} {dict(out.dtypes)[f'keep{k}']}" for k in range(len(keep)))
     for k, patterns in enumerate(_blocks(benchmark, item_col, item_text_col, width, block_words)):
         if k:
             out = written(out, "decontaminate")
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(patterns)), _FOUND)
-    return out
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(patterns)), schema)
+    return out.withColumnsRenamed({f"keep{k}": c for k, c in enumerate(keep)})
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repovigil.llm import sketch
-from repovigil.llm.common import as_bytes, id_text, shuffle_partitions, slices, words_of
+from repovigil.llm.common import as_bytes, id_text, shuffle_partitions, slices, text_digest, words_of
 from repovigil.llm.components import components
 from repovigil.llm.mphf import mix
 from repovigil.session import written
@@ -287,11 +287,12 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
 def link_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, sig, component_id), one row per row of ``docs``.
+    """(doc_id, n_shingles, sig, digest, component, component_id), one row per row of ``docs``.
 
-    ``sig`` is an id of the shingle set. ``component_id`` is the smallest id that links reach, null
+    ``sig`` is an id of the shingle set, ``digest`` one of the text, ``component`` one of the
+    component. ``component_id`` is the smallest id that links reach, null
     if none of them has one. A text without words has no shingles, no ``sig``, and links with
-    nothing: its component is its own id. Rows with a null id take part; repeated rows are copies.
+    nothing: it has no ``component``, and ``component_id`` is its own id. Rows with a null id take part; repeated rows are copies.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -367,10 +368,34 @@ def link_components(
     members = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     members = members.join(label.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     lowest = members.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_set = members.join(lowest, "label").select("sig", "component_id")
+    by_set = members.join(lowest, "label").select("sig", F.col("label").alias("component"), "component_id")
     return rows.join(by_set, "sig", "left").select(
         "doc_id",
         F.col("n").cast("bigint").alias("n_shingles"),
         "sig",
+        "digest",
+        "component",
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, columns: list[str], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``columns`` of one row of each component, and of every row whose text has no words.
+
+    The row with the smallest ``doc_id`` stays (then the smallest digest of the text, rows without an id
+    last; of rows that agree in both, any one). ``columns`` must hold ``doc_id`` and ``text``.
+    """
+    linked = link_components(docs, words, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    chosen = linked.where("component is not null").groupBy("component").agg(F.min(first).alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.digest").alias("chosen_digest"))
+    own = docs.select(*[F.col(c).alias(f"own{k}") for k, c in enumerate(columns)])
+    doc_id, text = F.col(f"own{columns.index('doc_id')}"), F.col(f"own{columns.index('text')}")
+    named = own.withColumn("digest", text_digest(text)).withColumn("id", doc_id.cast("bigint"))
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = named.where(~wordless).join(
+        chosen, (F.col("digest") == F.col("chosen_digest")) & F.col("id").eqNullSafe(F.col("chosen_id"))
+    )
+    kept = kept.dropDuplicates(["digest", "id"])  # repeated rows of one id and text
+    out = [f"own{k}" for k in range(len(columns))]
+    return kept.select(*out).unionByName(own.where(wordless)).toDF(*columns)

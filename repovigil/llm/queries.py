@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repovigil.llm import bpe, decontaminate, jaccard, lines
+from repovigil.llm import bpe, cotrain, decontaminate, jaccard, lines
 from repovigil.llm.common import table
 
 #: Folder of the public tokenizer files; the same on every executor.
@@ -19,6 +19,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10))
 
@@ -69,6 +74,7 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
