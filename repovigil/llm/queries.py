@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repovigil.llm import bpe, cotrain, decontaminate, jaccard, lines
+from repovigil.llm import bpe, cotrain, decontaminate, jaccard, lines, shards, topk
 from repovigil.llm.common import table
 
 #: Folder of the public tokenizer files; the same on every executor.
@@ -15,6 +16,14 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -33,6 +42,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_report(found)
@@ -72,11 +85,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
+_SQL_OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q,
+                  row_number() OVER () AS r
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS query_id, a.r AS ar, b.vec_id, b.r AS br,
+                  CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+     o AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, br) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shards": op1_shards,
     "op3_bpe": op3_bpe,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_top_k": op8_top_k,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op6_line_dedup": _SQL_OP6, "op10_decontaminate": _SQL_OP10}
+SQL = {"op8_top_k": _SQL_OP8, "op6_line_dedup": _SQL_OP6, "op10_decontaminate": _SQL_OP10}
