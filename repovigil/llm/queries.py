@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repovigil.llm import bpe, cotrain, decontaminate, jaccard, lines, shards, topk
+from repovigil.llm import bpe, cotrain, decontaminate, jaccard, lattice, lines, shards, topk
 from repovigil.llm.common import table
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op9_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_report(found)
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_top_k": op8_top_k,
+    "op9_lattice_score": op9_lattice_score,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {"op8_top_k": _SQL_OP8, "op6_line_dedup": _SQL_OP6, "op10_decontaminate": _SQL_OP10}
