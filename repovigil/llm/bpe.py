@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from repovigil.llm.common import id_text, slices
 
 CACHE_WORDS = 400_000
+CACHE_CHARS = 64
 _NEVER = 1 << 60
 #: str.split also splits at these four, which are not white space in Unicode.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -110,39 +111,62 @@ class MergeAutomaton:
         return True
 
     def encode(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word, by table-driven transitions."""
+        """Tokens of one pre-split word, by table-driven transitions.
+
+        From each position the arcs are tried longest first. A position that no arc leads on from is
+        never entered again: the token that ends there is the same for every way to reach it.
+        """
         n = len(word)
         path = [self.inner[b] for b in word[:-1]]
         path.append(self.final[word[-1]])
-        last = [-1] * (n + 1)
-        start = [0] * (n + 1)
-        follows = self.follows
-        for p in range(n):
-            before = last[p]
-            node, q = self.trie, p
+        follows, trie = self.follows, self.trie
+        dead: set[int] = set()
+        out: list[int] = []
+        arcs: list[list[tuple[int, int]]] = []
+        starts: list[int] = []
+        p = 0
+        while True:
+            node, q, found = trie, p, []
             while q < n:
                 node = node.get(path[q])
                 if node is None:
                     break
                 q += 1
                 token = node.get(-1)
-                if token is None or last[q] >= 0:
-                    continue
-                if p:
-                    key = before << 20 | token
-                    ok = follows.get(key)
-                    if ok is None:
-                        if len(follows) > 2_000_000:
-                            follows.clear()
-                        ok = follows[key] = self.may_follow(token, before)
-                    if not ok:
+                if token is not None:
+                    found.append((token, q))
+            arcs.append(found)
+            # the longest arc that survived; steps back where none is left
+            while True:
+                options = arcs[-1]
+                before = out[-1] if out else -1
+                step = 0
+                while options:
+                    token, q = options.pop()
+                    if q in dead:
                         continue
-                last[q], start[q] = token, p
-        out, q = [], n
-        while q:
-            out.append(last[q])
-            q = start[q]
-        return out[::-1]
+                    if before >= 0:
+                        key = before << 20 | token
+                        ok = follows.get(key)
+                        if ok is None:
+                            if len(follows) > 1_000_000:
+                                follows.clear()
+                            ok = follows[key] = self.may_follow(token, before)
+                        if not ok:
+                            continue
+                    step = q
+                    break
+                if step:
+                    out.append(token)
+                    starts.append(p)
+                    break
+                dead.add(p)
+                arcs.pop()
+                out.pop()
+                p = starts.pop()
+            p = step
+            if p == n:
+                return out
 
     def decode(self, ids: list[int]) -> list[str]:
         return [self.label[i] for i in ids]
@@ -161,7 +185,8 @@ class WordBpe:
         self.automaton.label.update({i: t for t, i in self.special.items()})
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.cache = _Chunks(self)
 
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a text without white space."""
@@ -173,7 +198,14 @@ class WordBpe:
             # lower case of each character alone: a final sigma is no special case
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             for word in self.pattern.findall(plain):
-                out += self.automaton.encode(word.encode())
+                ids = self.known.get(word)
+                if ids is None:
+                    if len(self.known) >= CACHE_WORDS:
+                        self.known.clear()
+                    ids = self.automaton.encode(word.encode())
+                    if len(word) <= CACHE_CHARS:
+                        self.known[word] = ids
+                out += ids
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -186,17 +218,30 @@ class WordBpe:
 
     def encoded(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, ids joined by a space, decoded text."""
-        cache, found = self.cache, []
-        for c in self._chunks(text):
-            entry = cache.get(c)
-            if entry is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                ids = self.chunk(c)
-                entry = cache[c] = (len(ids), " ".join(map(str, ids)), " ".join(self.automaton.decode(ids)))
-            if entry[0]:
-                found.append(entry)
-        return sum(e[0] for e in found), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+        cache = self.cache
+        cache.bound()
+        found = [cache[c] for c in self._chunks(text)]
+        ids = " ".join([e[0] for e in found])
+        return ids.count(" ") + bool(ids), ids, " ".join([e[1] for e in found])
+
+
+class _Chunks(dict):
+    """Ids and labels, each joined by a space, of chunks without white space; every chunk has a token."""
+
+    def __init__(self, bpe: WordBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def bound(self) -> None:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+
+    def __missing__(self, chunk: str) -> tuple[str, str]:
+        ids = self.bpe.chunk(chunk)
+        entry = (" ".join(map(str, ids)), " ".join(self.bpe.automaton.decode(ids)))
+        if len(chunk) <= CACHE_CHARS:
+            self[chunk] = entry
+        return entry
 
 
 _LOADED: dict[str, WordBpe] = {}
