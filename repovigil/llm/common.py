@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,79 @@ def arrow_map(
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def mix(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A well mixed 64-bit hash of 64-bit keys, another one for each seed."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+_BASE = 0xD6E8FEB86659FD93
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE, np.uint8))
+#: A random value for each byte; A-Z have those of a-z.
+_BYTE = mix(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64), 12345)
+_PIECE = 1 << 21
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        size = max(size, _PIECE)
+        _POWERS[:] = [
+            np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64))
+        ]
+    return _POWERS[0], _POWERS[1]
+
+
+def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start offsets of the words in a buffer of bytes, all at once.
+
+    A word's hash is a polynomial in its bytes modulo 2^64 with random byte values, read off running
+    sums; it does not depend on the word's place.
+    """
+    space = _IS_SPACE[data]
+    edge = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start], 0), start
+
+
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words: A-Z lower-cased, split at ASCII white space.
+
+    Texts are hashed together in buffers of about 2 MB; a longer text in pieces cut at white space.
+    """
+    pending: list[bytes] = []
+    size = 0
+    for text in [*texts, None]:
+        if text is None or size + len(text) > _PIECE:
+            if pending:
+                h, start = _hash_words(np.frombuffer(b" ".join(pending), np.uint8))
+                ends = np.cumsum([len(t) + 1 for t in pending])
+                cuts = [0, *np.searchsorted(start, ends)]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield h[a:b]
+            pending, size = [], 0
+        if text is None:
+            return
+        if len(text) <= _PIECE:
+            pending.append(text)
+            size += len(text) + 1
+            continue
+        data, parts, at = np.frombuffer(text, np.uint8), [], 0
+        while at < len(data):
+            stop = min(len(data), at + _PIECE)
+            if stop < len(data):  # on to the next white space
+                while stop < len(data) and not _IS_SPACE[data[stop : stop + _PIECE]].any():
+                    stop = min(len(data), stop + _PIECE)
+                stop += int(np.argmax(_IS_SPACE[data[stop : stop + _PIECE]])) if stop < len(data) else 0
+            parts.append(_hash_words(data[at:stop])[0])
+            at = stop
+        yield np.concatenate(parts)

@@ -30,52 +30,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repovigil.llm import sketch
-from repovigil.llm.common import as_bytes, id_text, shuffle_partitions, slices, text_digest, words_of
+from repovigil.llm.common import as_bytes, id_text, mix, shuffle_partitions, slices, text_digest, word_hashes
 from repovigil.llm.components import components
-from repovigil.llm.mphf import mix
 from repovigil.session import written
 
 WORDS = 5
 PERCENT = 80
 SALT_ROWS = 1_000_000
 MOST_LIGHT = 40
-_CACHE = 300_000
+_SEEN = 300_000
+_CELLS = 32
 
 
-class Shingler:
-    """Shingle sets of texts as sorted arrays of 64-bit hashes."""
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text as a sorted array of 64-bit hashes.
 
-    def __init__(self, words: int):
-        self.words = words
-        self.cache: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        if len(self.cache) >= _CACHE:
-            self.cache.clear()
-        h = self.cache[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def sequence(self, text: bytes) -> np.ndarray:
-        words, get, new = words_of(text), self.cache.get, self._hash
-        return np.fromiter((get(w) or new(w) for w in words), np.uint64, len(words))
-
-    def shingles(self, text: bytes) -> np.ndarray:
-        """Distinct shingles; a text of fewer words is one shingle, a text without words has none."""
-        seq = self.sequence(text)
-        k = min(self.words, len(seq))
-        if not k:
-            return seq
-        rows = len(seq) - k + 1
+    A text of fewer words is one shingle, a text without words has none.
+    """
+    for seq in word_hashes(texts):
+        k = min(words, len(seq))
+        rows = len(seq) - k + 1 if k else 0
         h = np.zeros(rows, np.uint64)
         for i in range(k):
             h = mix(h ^ seq[i : i + rows], k)
-        return np.unique(h)
+        h.sort()
+        yield h[np.r_[True, h[1:] != h[:-1]]] if rows > 1 else h
 
 
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def shape(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 32 cells of the hash range, 255 at most a cell."""
+    cells = np.bincount((shingles >> np.uint64(5)).astype(np.int64) % _CELLS, minlength=_CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
 def least_overlap(size: int, percent: int) -> int:
     """Shingles that a set of ``size`` shares with any linked set that is not larger."""
     return -(-percent * size // 100)
@@ -109,30 +100,31 @@ def _describe(words: int):
     """First pass: a narrow row for each document, and the sketch of the task's shingles."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, seen = Shingler(words), np.zeros(sketch.BUCKETS, np.uint32), set()
-        names = ["doc_id", "n", "sig", "digest", "slice", "counts"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        counts, seen = np.zeros(sketch.BUCKETS, np.uint32), set()
+        names = ["doc_id", "n", "sig", "digest", "shape", "slice", "counts"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
         for batch in slices(batches):
-            sizes, sigs, digests, fresh = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                own = shingler.shingles(text)
+            sizes, sigs, digests, shapes, fresh = [], [], [], [], []
+            texts = as_bytes(batch.column(1))
+            for text, own in zip(texts, shingle_sets(texts, words)):
                 sig = set_id(own) if len(own) else None
                 if sig is not None and sig not in seen:
-                    if len(seen) >= _CACHE:
+                    if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(sig)
                     fresh.append(own)
                 sizes.append(len(own))
                 sigs.append(sig)
                 digests.append(hashlib.md5(text).digest())
+                shapes.append(shape(own))
             if fresh:
                 np.add.at(counts, sketch.bucket_of(np.concatenate(fresh)), 1)
             empty = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, t) for v, t in zip((sizes, sigs, digests), kinds[1:4])), *empty], names
+                [batch.column(0), *(pa.array(v, t) for v, t in zip((sizes, sigs, digests, shapes), kinds[1:5])), *empty], names
             )
         found = [*sketch.to_slices(counts)]
-        none = [pa.nulls(len(found), t) for t in kinds[:4]]
+        none = [pa.nulls(len(found), t) for t in kinds[:5]]
         yield pa.RecordBatch.from_arrays(
             [*none, pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names
         )
@@ -144,15 +136,14 @@ def _keys(words: int, percent: int, light: int, shared):
     """Second pass: rows (key, salt, sig, n) for the subsets of light and the rarest shingles of heavy sets."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, seen = Shingler(words), shared.value, set()
+        counts, seen = shared.value, set()
         for batch in slices(batches):
             keys, salts, sigs, sizes = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                own = shingler.shingles(text)
+            for own in shingle_sets(as_bytes(batch.column(1)), words):
                 n = len(own)
                 if not n or (sig := set_id(own)) in seen:
                     continue
-                if len(seen) >= _CACHE:
+                if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(sig)
                 salt = sig & 0xFFFFFFFF
@@ -223,19 +214,20 @@ def _sets(words: int, shared):
     """Third pass: the shingles of texts whose digest the sketch of wanted digests knows."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, seen = Shingler(words), shared.value, set()
+        counts, seen = shared.value, set()
         for batch in slices(batches):
-            digests, sets = [], []
+            digests, texts = [], []
             for text in as_bytes(batch.column(1)):
                 d = hashlib.md5(text).digest()
                 if d in seen or not counts[sketch.bucket_of(np.frombuffer(d[:8], np.uint64))[0]]:
                     continue
-                if len(seen) >= _CACHE:
+                if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(d)
                 digests.append(d)
-                sets.append(shingler.shingles(text).tobytes())
+                texts.append(text)
             if digests:
+                sets = [s.tobytes() for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "items"]
                 )
@@ -254,6 +246,27 @@ def _digest_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     )
 
 
+def _possible(percent: int):
+    """Pairs (a, b, sizes, shapes) whose shapes do not differ by more shingles than linked sets may."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 20_000):
+            if not batch.num_rows:
+                continue
+            n1, n2 = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            one, two = (
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _CELLS).astype(np.int32)
+                for k in (4, 5)
+            )
+            differ = np.abs(one - two).sum(1)
+            # both >= percent * all / 100 and all + both = n1 + n2: at most this many are in one set alone
+            most = (n1 + n2) * (100 - percent) // (100 + percent)
+            rows = pa.array(np.flatnonzero(differ <= most))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
+
+    return step
+
+
 def _compare(percent: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -276,12 +289,28 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(joined.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
-def _pairs(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of (sig, n, sig2, n2) whose sizes allow a link, smaller id first."""
+def _pairs(joined: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of (sig, n, sig2, n2) whose sizes and shapes allow a link, smaller id first."""
     fits = (F.col("sig") != F.col("sig2")) & (
         F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     )
-    return joined.where(fits).select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
+    pairs = joined.where(fits).select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
+    one = shapes.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("shape").alias("s1"))
+    two = shapes.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("shape").alias("s2"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2")
+    return written(both.mapInArrow(_possible(percent), "a long, b long"), "pairs")
+
+
+def _sets_of(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(sig, items): the shingles of the sets in ``pairs``, from one text each."""
+    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = written(
+        rows.join(sigs, "sig").groupBy("sig").agg(F.min("digest").alias("digest")), "wanted"
+    )
+    few = sketch.merged(wanted.select("digest").mapInArrow(_digest_sketch, "slice int, counts binary"))
+    shared = texts.sparkSession.sparkContext.broadcast(few)
+    found = texts.mapInArrow(_sets(words, shared), "digest binary, items binary").join(wanted, "digest")
+    return written(found.groupBy("sig").agg(F.first("items").alias("items")), "sets")
 
 
 def link_components(
@@ -300,11 +329,11 @@ def link_components(
     texts = id_text(docs, id_col, text_col)
     first = written(
         texts.mapInArrow(
-            _describe(words), "doc_id long, n int, sig long, digest binary, slice int, counts binary"
+            _describe(words), "doc_id long, n int, sig long, digest binary, shape binary, slice int, counts binary"
         ),
         "shingle-sets",
     )
-    rows = first.where("slice is null").select("doc_id", "n", "sig", "digest")
+    rows = first.where("slice is null").select("doc_id", "n", "sig", "digest", "shape")
     load = sketch.merged(first.where("slice is not null"))
     # of all light sizes, one number each
     known = rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"))
@@ -323,19 +352,6 @@ def link_components(
         .mapInArrow(_shared_only, "key long, sig long, n int"),
         "shingle-lists",
     )
-    # one text for each set that is in a list
-    wanted = written(
-        rows.join(lists.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("digest").alias("digest")), "wanted"
-    )
-    few = sketch.merged(wanted.select("digest").mapInArrow(_digest_sketch, "slice int, counts binary"))
-    sets = written(
-        texts.mapInArrow(_sets(words, spark.sparkContext.broadcast(few)), "digest binary, items binary")
-        .join(wanted, "digest")
-        .groupBy("sig")
-        .agg(F.first("items").alias("items")),
-        "sets",
-    )
-
     # two members of each list against all
     chosen = lists.groupBy("key").agg(
         *(F.min(F.struct(F.xxhash64("sig", "key", F.lit(k)).alias("h"), "sig", "n")).alias(f"c{k}") for k in range(2))
@@ -343,8 +359,10 @@ def link_components(
     centers = chosen.select("key", F.explode(F.array_distinct(F.array("c0", "c1"))).alias("c")).select(
         "key", F.col("c.sig").alias("sig2"), F.col("c.n").alias("n2")
     )
-    pairs = written(_pairs(lists.join(centers, "key"), percent), "pairs")
-    links = _links(pairs, sets, percent)
+    shapes = rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("shape").alias("shape"))
+    shapes = written(shapes.join(lists.select("sig").distinct(), "sig", "left_semi"), "shapes")
+    pairs = _pairs(lists.join(centers, "key"), shapes, percent)
+    links = _links(pairs, _sets_of(pairs, rows, texts, words), percent)
     label = components(links)
 
     # members outside the main component of their list against its other components
@@ -361,9 +379,9 @@ def link_components(
         "key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2")
     )
     across = open_.join(rest, "key").where("label <> label2")
-    more = written(_pairs(across, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = written(_pairs(across, shapes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        label = components(links.unionByName(_links(more, sets, percent)))
+        label = components(links.unionByName(_links(more, _sets_of(more, rows, texts, words), percent)))
 
     members = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     members = members.join(label.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))

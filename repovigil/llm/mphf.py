@@ -11,19 +11,12 @@ import io
 
 import numpy as np
 
+from repovigil.llm.common import mix
+
 _GAMMA = 2.0
 _LEVELS = 64
 
 
-def mix(keys: np.ndarray, seed: int) -> np.ndarray:
-    """A well mixed 64-bit hash of 64-bit keys, another one for each seed."""
-    with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 class CountIndex:
     """Counts of a fixed set of keys, without the keys: places, 16-bit fingerprints, 16-bit counts."""
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repovigil.llm import bpe, cotrain, decontaminate, jaccard, lattice, lines, shards, topk
+from repovigil.llm import bpe, cotrain, decontaminate, extract, jaccard, lattice, lines, shards, topk
 from repovigil.llm.common import table
 
 #: Folder of the public tokenizer files; the same on every executor.
@@ -29,6 +29,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
@@ -106,6 +110,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op3_bpe": op3_bpe,
+    "op4_extract": op4_extract,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
