@@ -125,7 +125,7 @@ def _choose(keyed: DataFrame, ranges: int, total: int, rows: int) -> Splitters:
         if not parts:
             break
         table = keyed.sparkSession.createDataFrame(
-            [(k, float(loads[k][0]), float(loads[k][1]), OVERSAMPLE * p) for k, p in parts.items()],
+            [(k, float(loads[k][0]), float(loads[k][1]), float(OVERSAMPLE * p)) for k, p in parts.items()],
             "range int, bytes double, records double, want double",
         )
         inside = _ranged(keyed, splitters).join(F.broadcast(table), "range")  # at most one row a range
