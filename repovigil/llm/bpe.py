@@ -7,8 +7,9 @@ Merge gadgets
     automaton accepts exactly the segmentations that the merges produce, one for every string, so a
     token may follow another iff its arc survived.
 
-    States are kept as versions: a state is its parent version plus one removed arc. A removed arc
-    concerns a later symbol w = v + ... only if w was made after the removal, which the ranks tell.
+    The state behind w is the state behind v as it was at rank r, so it is kept as that reference and
+    the arcs it loses itself; w may be read where u could at rank r, so an arc lost at u later than r
+    does not concern it. A merge whose u can no longer be followed by v adds nothing.
 
 Encoding
     A word is read through the trie of token strings. For every prefix exactly one token ends the
@@ -59,56 +60,45 @@ class MergeAutomaton:
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + end] for s in symbols]
         base = [*self.inner, *self.final]
-        # versions of states: parent, removed arc, rank of the removal; state 0 has all arcs
-        self.parent, self.removed, self.rank = [-1], [-1], [-1]
-        self.behind = dict.fromkeys(base, 0)
+        self.lost: dict[int, dict[int, int]] = {}  # arcs that the state behind a symbol lost, and when
         self.left: dict[int, int] = {}
-        self.born = dict.fromkeys(base, -1)
+        self.right: dict[int, int] = {}
+        self.born: dict[int, int] = {}
         spelled: dict[int, tuple[int, ...]] = {s: (s,) for s in base}
         for r, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            self._gadget(r, u, v, w)
-            spelled.setdefault(w, spelled[u] + spelled[v])
+            if u in spelled and v in spelled and w not in spelled and self.may_follow(v, u):
+                self._gadget(r, u, v, w)
+                spelled[w] = spelled[u] + spelled[v]
         self.trie: dict = {}
         for token, path in spelled.items():
             node = self.trie
             for s in path:
                 node = node.setdefault(s, {})
             node[-1] = token
-        # the arcs a state has lost, with the rank of the loss
-        self.lost: dict[int, dict[int, int]] = {}
         self.follows: dict[int, bool] = {}
 
     def _gadget(self, r: int, u: int, v: int, w: int) -> None:
-        target = self.behind[v]
-        self.parent.append(self.behind[u])
-        self.removed.append(v)
-        self.rank.append(r)
-        self.behind[u] = len(self.parent) - 1
-        if w not in self.behind:
-            self.behind[w], self.left[w], self.born[w] = target, u, r
-
-    def _losses(self, token: int) -> dict[int, int]:
-        if token not in self.lost:
-            found: dict[int, int] = {}
-            state = self.behind[token]
-            while state:
-                found[self.removed[state]] = self.rank[state]
-                state = self.parent[state]
-            self.lost[token] = found
-        return self.lost[token]
+        self.lost.setdefault(u, {})[v] = r
+        self.left[w], self.right[w], self.born[w] = u, v, r
 
     def may_follow(self, token: int, after: int) -> bool:
         """Does the state behind ``after`` still have an arc for ``token``?"""
-        losses, until = self._losses(after), _NEVER
-        while losses:
-            r = losses.get(token)
-            if r is not None and r <= until:
-                return False
-            if token not in self.left:
+        state, before = after, _NEVER
+        while True:
+            lost = self.lost.get(state)
+            if lost:
+                arc, until = token, _NEVER
+                while True:
+                    r = lost.get(arc)
+                    if r is not None and r < before and r <= until:
+                        return False
+                    if arc not in self.left:
+                        break
+                    until, arc = self.born[arc], self.left[arc]
+            if state not in self.right:
                 return True
-            until, token = self.born[token], self.left[token]
-        return True
+            before, state = self.born[state], self.right[state]
 
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one pre-split word, by table-driven transitions.
