@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # An escaped character, a structural character, a run of plain text, or a lone final backslash.
@@ -43,6 +43,14 @@ def first_json(text: Column) -> Column:
     return F.when(start > 0, F.substr(tail, F.lit(1), width))
 
 
+def last_key_wins(df: DataFrame) -> None:
+    """Let the session's JSON parser take the last of repeated keys, as model answers and manifests expect.
+
+    The parser has a session option for it and refuses such objects by default.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def field(doc: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(doc, path, kind)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repovigil.functions.skew import salted_lookup
 from repovigil.functions.tables import constant_table
-from repovigil.functions.text import contains_any, ends_with_any
+from repovigil.functions.text import any_of, contains_any, ends_with_any
 from repovigil.operators import rules
 from repovigil.session import materialize
 
@@ -251,34 +251,41 @@ def _snippet(lines: Column, index: Column) -> Column:
     )
 
 
-def _hit_lines(text: Column, test: Callable[[Column], Column]) -> Column:
-    """``array<struct<line_no, snippet>>`` of the lines that pass ``test``."""
-    lines = F.split(text, "\n")
+def _with_lines(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(lines)`` with the text cut once, however often ``use`` refers to the lines."""
+    return F.get(F.transform(F.array(F.split(text, "\n")), use), F.lit(0))
+
+
+def _passing(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """Positions of the lines that pass ``test``."""
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    return F.transform(
-        F.filter(numbered, lambda x: test(x["line"])),
-        lambda x: F.struct((x["i"] + 1).cast("bigint").alias("line_no"), _snippet(lines, x["i"]).alias("snippet")),
-    )
+    return F.transform(F.filter(numbered, lambda x: test(x["line"])), lambda x: x["i"])
+
+
+def _hit(lines: Column, index: Column) -> Column:
+    return F.struct((index + 1).cast("bigint").alias("line_no"), _snippet(lines, index).alias("snippet"))
 
 
 def vulnerability_hits() -> Column:
     """Risky lines of one file, as an array."""
     text = F.col("content")
-    per_rule = []
-    for kind, severity, needed, pattern, title, advice in rules.VULNERABILITY_RULES:
-        per_rule.append(
-            F.when(
-                contains_any(text, needed) & text.rlike(pattern),
-                F.transform(
-                    _hit_lines(text, lambda line: line.rlike(pattern)),
-                    lambda h: F.struct(
-                        h["line_no"].alias("line_no"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
-                        F.lit(title).alias("title"), h["snippet"].alias("snippet"), F.lit(advice).alias("recommendation"),
-                    ),
-                ),
-            )
-        )
-    return F.flatten(F.array_compact(F.array(*per_rule)))
+
+    def rows(lines: Column) -> Column:
+        per_rule = []
+        for kind, severity, needed, pattern, title, advice in rules.VULNERABILITY_RULES:
+            def row(index: Column) -> Column:  # called at once, inside this iteration
+                hit = _hit(lines, index)
+                return F.struct(
+                    hit["line_no"].alias("line_no"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
+                    F.lit(title).alias("title"), hit["snippet"].alias("snippet"), F.lit(advice).alias("recommendation"),
+                )
+
+            found = F.transform(_passing(lines, lambda line: line.rlike(pattern)), row)
+            per_rule.append(F.when(contains_any(text, needed) & text.rlike(pattern), found))
+        return F.flatten(F.array_compact(F.array(*per_rule)))
+
+    some = any_of([contains_any(text, rule[2]) for rule in rules.VULNERABILITY_RULES])
+    return F.when(some, _with_lines(text, rows))
 
 
 def scan_vulnerabilities(files: DataFrame) -> DataFrame:
@@ -289,19 +296,22 @@ def scan_vulnerabilities(files: DataFrame) -> DataFrame:
 def evidence_hits() -> Column:
     """The first line of one file that shows each control, as an array."""
     text = F.col("content")
-    per_control = []
-    for entry in rules.CONTROLS:
-        cid, signs = entry[0], entry[-1]
-        per_control.append(
-            F.when(
-                contains_any(text, signs),
-                F.transform(
-                    F.slice(_hit_lines(text, lambda line: contains_any(line, signs)), 1, 1),
-                    lambda h: F.struct(F.lit(cid).alias("control_id"), h["line_no"].alias("line_no"), h["snippet"].alias("snippet")),
-                ),
-            )
-        )
-    return F.flatten(F.array_compact(F.array(*per_control)))
+
+    def rows(lines: Column) -> Column:
+        per_control = []
+        for entry in rules.CONTROLS:
+            cid, signs = entry[0], entry[-1]
+
+            def row(index: Column) -> Column:  # called at once, inside this iteration
+                hit = _hit(lines, index)
+                return F.struct(F.lit(cid).alias("control_id"), hit["line_no"].alias("line_no"), hit["snippet"].alias("snippet"))
+
+            first = F.slice(_passing(lines, lambda line: contains_any(line, signs)), 1, 1)
+            per_control.append(F.when(contains_any(text, signs), F.transform(first, row)))
+        return F.flatten(F.array_compact(F.array(*per_control)))
+
+    some = any_of([contains_any(text, entry[-1]) for entry in rules.CONTROLS])
+    return F.when(some, _with_lines(text, rows))
 
 
 def control_evidence(files: DataFrame) -> DataFrame:
@@ -316,8 +326,11 @@ def match_controls(controls: DataFrame, traces: DataFrame, evidence: DataFrame,
     first. Evidence in a flow wins over the framework's default.
     """
     spark = controls.sparkSession
-    reached = traces.join(evidence, ["repo_id", "ord"]).groupBy("repo_id", "entry", "control_id").agg(
-        F.min(F.struct("depth", "ord", "line_no", "path", "snippet")).alias("evidence")
+    nearest = traces.join(evidence.select("repo_id", "ord", "control_id"), ["repo_id", "ord"])
+    nearest = nearest.groupBy("repo_id", "entry", "control_id").agg(F.min(F.struct("depth", "ord"))["ord"].alias("ord"))
+    # one line of each control and file: only the nearest file's text is fetched
+    reached = nearest.join(evidence, ["repo_id", "ord", "control_id"]).select(
+        "repo_id", "entry", "control_id", F.struct("path", "snippet").alias("evidence")
     )
     handled = F.broadcast(  # a constant list
         constant_table(spark, ["framework", "control_id", "handled_by", "explanation"], rules.HANDLED)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repovigil.functions.answers import blank_value, first_json
+from repovigil.functions.answers import blank_value, first_json, last_key_wins
 from repovigil.functions.tables import constant_table
 from repovigil.functions.text import base_name, contains_any, ends_with_any
 
@@ -162,6 +162,7 @@ def _marks() -> Column:
 
 def indicators(signals: DataFrame) -> DataFrame:
     """``(repo_id, rule_ord, framework, weight, reason)``, one row per indicator met."""
+    last_key_wins(signals)
     rules = constant_table(
         signals.sparkSession,
         ["rule_ord", "signal", "mark", "framework", "weight", "reason"],

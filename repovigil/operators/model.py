@@ -47,14 +47,19 @@ def _answered(df: DataFrame) -> DataFrame:
 
 
 def replay(responses: DataFrame, keys: list[str] | None = None) -> Responder:
-    """Known answers ``responses(keys..., text)``, by default keyed by ``prompt_hash``."""
+    """Known answers ``responses(keys..., text)``, by default keyed by ``prompt_hash``.
+
+    Of several answers for one key the smallest text counts, so a call never gives two rows.
+    """
+    by = keys or ["prompt_hash"]
+    known = responses.groupBy(*by).agg(F.min("text").alias("text"))
     if keys:
-        return lambda prompts: _answered(prompts.join(responses.select(*keys, "text"), keys, "left"))
+        return lambda prompts: _answered(prompts.join(known, keys, "left"))
 
     def by_hash(prompts: DataFrame) -> DataFrame:
         return _answered(
             prompts.withColumn("prompt_hash", prompt_hash())
-            .join(responses.select("prompt_hash", "text"), "prompt_hash", "left")
+            .join(known, "prompt_hash", "left")
             .drop("prompt_hash")
         )
 

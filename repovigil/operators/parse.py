@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repovigil.functions.answers import blank, field, first_json, is_array, is_number
+from repovigil.functions.answers import blank, field, first_json, is_array, is_number, last_key_wins
 
 # Refusal texts and answer schemas.
 NO_JSON = "No JSON found in agent response"
@@ -29,6 +29,7 @@ PROFILE_FIELDS = {
 
 def _opened(answers: DataFrame, column: str) -> DataFrame:
     """Two steps, so that the text is cut once and parsed once."""
+    last_key_wins(answers)
     return answers.withColumn("json", first_json(F.col(column))).withColumn("doc", F.try_parse_json("json"))
 
 

@@ -123,7 +123,7 @@ def _flow_values() -> dict[str, Column]:
 
 
 def render_checklist_prompts(flows: DataFrame, frameworks: DataFrame, trees: DataFrame) -> DataFrame:
-    """Flows (``repo_id``, profile fields) with ``prompt``; null if the tree is too large for a prompt."""
+    """Flows (``repo_id``, profile fields) with ``prompt``."""
     facts = frameworks.select("repo_id", "framework", "confidence", "indicators").join(
         trees.select("repo_id", "tree"), "repo_id"
     )

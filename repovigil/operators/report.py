@@ -99,17 +99,20 @@ def _cost(kind: str, table: dict[str, int]) -> Column:
     return points
 
 
-def security_score(rows: DataFrame, by: list[str]) -> DataFrame:
+def security_score(rows: DataFrame, by: list[str], runs: DataFrame | None = None) -> DataFrame:
     """0-100: start at 100, subtract per finding, add a bonus for implemented controls, clamp.
 
     The share of implemented controls counts implemented, missing and auto-handled controls; it
-    is 0 without controls. The bonus limits are strict.
+    is 0 without controls. The bonus limits are strict. ``runs`` names all keys; one without rows has
+    nothing to subtract or add.
     """
     summed = rows.groupBy(*by).agg(
         F.sum(_cost("vulnerability", VULNERABILITY_COST) + _cost("missing", MISSING_COST)).alias("deduction"),
         _count("implemented").alias("implemented"),
         F.count_if(F.col("kind") != "vulnerability").alias("controls"),
     )
+    if runs is not None:
+        summed = runs.select(*by).distinct().join(summed, by, "left").fillna(0, ["deduction", "implemented", "controls"])
     # share > p %  <=>  100 * implemented > p * controls, in whole numbers
     bonus = F.lit(0)
     for percent, points in reversed(BONUS):

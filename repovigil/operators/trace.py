@@ -13,7 +13,7 @@ from repovigil.operators import lookup
 from repovigil.operators.model import MESSAGES, Responder, message, user_prompt
 from repovigil.operators.parse import parse_trace
 from repovigil.operators.prompts import trace_prompt
-from repovigil.session import materialize
+from repovigil.session import fresh_dir, materialize
 
 # Answered calls per endpoint, and the last-call warning.
 MAX_DEPTH = 10
@@ -32,13 +32,13 @@ def _no_strings() -> Column:
 
 
 def start_state(trees: DataFrame, model: str, system: str) -> DataFrame:
-    """One active row per repository; a tree too large for a prompt cannot be traced by a model."""
+    """One active row per repository."""
     return trees.select(
         "repo_id",
         F.lit(model).alias("model"),
         F.lit(system).alias("system"),
         "tree",
-        F.when(F.col("tree").isNull(), "tree_too_large").otherwise("active").alias("status"),
+        F.lit("active").alias("status"),
         F.lit(1).alias("endpoint_no"),
         F.lit(0).alias("depth"),
         F.lit(1).alias("call_no"),
@@ -111,6 +111,7 @@ def trace_step(state: DataFrame, files: DataFrame, responder: Responder, max_dep
     )
     status = (
         F.when(broke, "failed")
+        .when(bad & (F.size("messages") <= 1), "no_messages")
         .when(bad, "active")
         .when(none, "finished")
         .when(pick & ~got, "finished")
@@ -135,27 +136,37 @@ def trace_step(state: DataFrame, files: DataFrame, responder: Responder, max_dep
 
 def trace_rounds(
     files: DataFrame, trees: DataFrame, responder: Responder, model: str, system: str,
-    max_depth: int = MAX_DEPTH, max_rounds: int = 200,
+    max_depth: int = MAX_DEPTH,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(profiles, final states, log)``.
 
-    Unreadable answers cost no depth, so a bad model could go on for ever: repositories still
-    active after ``max_rounds`` are reported as ``round_limit``. A failed call ends its
-    repository and discards the endpoints found in it.
+    A repository goes on until its model has found no more endpoints. An unreadable answer costs no
+    depth but takes the last message away; a repository without messages left makes no progress and ends as
+    ``no_messages``. A failed call ends its repository and discards the endpoints found in it.
+
+    Every round appends its log and the states that ended to two folders, so the plan of a round does
+    not grow with the number of rounds.
     """
-    state = materialize(start_state(trees, model, system))
-    ended = state.filter(F.col("status") != "active")
-    logs = None
+    spark = files.sparkSession
+    state = start_state(trees, model, system)
+    ends, logs = fresh_dir(spark, "trace-ends"), fresh_dir(spark, "trace-log")
+    log_schema = None
     # every round reads the paths again, never more of the text than the files asked for
-    for _ in range(max_rounds):
-        active = state.filter(F.col("status") == "active")
+    while True:
+        active = materialize(state.filter(F.col("status") == "active"))
         if active.isEmpty():
             break
         state, log = trace_step(active, files, responder, max_depth)
-        ended = ended.unionByName(state.filter(F.col("status") != "active"))
-        logs = log if logs is None else logs.unionByName(log)
-    left = state.filter(F.col("status") == "active").withColumn("status", F.lit("round_limit"))
-    final = ended.unionByName(left)
+        log_schema = log.schema
+        log.write.mode("append").parquet(logs)
+        state.filter(F.col("status") != "active").write.mode("append").parquet(ends)
+    if log_schema is None:  # no repository at all
+        empty, log = trace_step(active, files, responder, max_depth)
+        empty.write.parquet(ends)
+        log.write.parquet(logs)
+        log_schema = log.schema
+    final = spark.read.schema(active.schema).parquet(ends)
+    logs = spark.read.schema(log_schema).parquet(logs)
     profiles = (
         logs.filter(F.col("status_now") == "completed")
         .join(final.filter(F.col("status") == "failed").select("repo_id"), "repo_id", "left_anti")

@@ -2,12 +2,12 @@
 
 A rendered tree is a table of lines, not one string per repository, so that a repository with a
 third of all files is spread over tasks like any other rows. ``tree_text`` folds the lines of
-trees that fit a stated size into one string for prompts.
+each tree into one string for prompts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repovigil.operators.order import ordered_positions
@@ -18,8 +18,7 @@ BRANCH, LAST_BRANCH, BAR, GAP = "├── ", "└── ", "│   ", "    "
 TRUNCATED = "/..."
 # Names that are whole numbers below this come first among siblings, in numeric order.
 NUMERIC_NAME_LIMIT = 4294967295
-
-TREE_TEXT_LIMIT = 16 * 1024 * 1024
+CHUNK_LINES = 5000
 
 
 def _path_nodes(files: DataFrame, max_depth: int) -> DataFrame:
@@ -134,18 +133,21 @@ def render_tree(files: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
     return ordered_positions(lines, ["repo_id"], [F.col("keys")], "line_no").select("repo_id", "line_no", "line")
 
 
-def tree_text(lines: DataFrame, limit: int = TREE_TEXT_LIMIT) -> DataFrame:
-    """``(repo_id, tree, tree_chars)``; ``tree`` is null where it exceeds ``limit`` characters.
+def tree_text(lines: DataFrame) -> DataFrame:
+    """``(repo_id, tree, tree_chars)``: the lines of each tree as one text.
 
-    A model prompt is one value, so the lines of one tree meet in one row here. The size is
-    checked first: only trees within the limit are folded, larger ones stay a table of lines.
+    A model prompt is one value, so a tree of any size becomes one here; whether it is too long is
+    for the model to say. Lines are joined in chunks that many tasks share, and the chunks then meet.
     """
-    sizes = lines.groupBy("repo_id").agg(F.sum(F.length("line") + 1).alias("tree_chars"))
-    fitting = sizes.filter(F.col("tree_chars") <= limit)
-    text = (
-        lines.join(fitting.select("repo_id"), "repo_id", "left_semi")
-        .groupBy("repo_id")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-        .select("repo_id", F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("tree"))
+    chunk = F.floor(F.col("line_no") / CHUNK_LINES)
+
+    def joined(column: str, order: str) -> Column:
+        return F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]), "\n"
+        ).alias("text")
+
+    chunks = lines.groupBy("repo_id", chunk.alias("chunk")).agg(joined("line", "line_no"))
+    tree = chunks.groupBy("repo_id").agg(joined("text", "chunk"))
+    return tree.select("repo_id", F.concat("text", F.lit("\n")).alias("tree")).withColumn(
+        "tree_chars", F.length("tree").cast("bigint")
     )
-    return sizes.join(text, "repo_id", "left").select("repo_id", "tree", "tree_chars")

@@ -6,25 +6,35 @@ from pyspark.sql import functions as F
 
 from repovigil.plans.analysis_rules import _CHECK, _HANDLED, _TRACE, _endpoint_sql, _q, _shows
 from repovigil.operators import rules
-from repovigil.plans.corpus import APP_CORPUS, view
+from repovigil.plans.corpus import APP_CORPUS, from_sql, view
 from repovigil.plans.scan import scan
 
 
+_QUIET = """SELECT 'quiet-' || source AS repo_id, doc_id AS ord, 'notes/n' || CAST(doc_id AS STRING) || '.ts' AS path,
+  CAST(doc_id AS STRING) AS content FROM documents"""
+
+
 def scan_scores(spark, sf):
     """Score, grade and counts of each repository of the application corpus."""
-    out = scan(view(spark, sf, "app_corpus"))
+    out = scan(_quiet_corpus(spark, sf))
     repo = F.col("run_id").alias("repo_id")
     flows = out["flows"].groupBy("repo_id").agg(F.count("*").alias("flows"))
     findings = out["findings"].groupBy(repo).agg(F.count("*").alias("findings"))
     return (
         out["scores"].withColumnRenamed("run_id", "repo_id")
         .join(out["stats"], "repo_id")
-        .join(flows, "repo_id")
-        .join(findings, "repo_id")
+        .join(flows, "repo_id", "left")
+        .join(findings, "repo_id", "left")
+        .fillna(0, ["flows", "findings"])
         .join(out["frameworks"].select("repo_id", "framework"), "repo_id")
     )
 
 
+def _quiet_corpus(spark, sf):
+    """The application corpus, and for every source a second repository of plain texts without any code."""
+    return view(spark, sf, "app_corpus").unionByName(from_sql(spark, sf, _QUIET))
+
+
 def scan_findings(spark, sf):
     """Findings by flow, type and level."""
     return scan(view(spark, sf, "app_corpus"))["findings"].groupBy("run_id", "flow_name", "type", "severity").agg(F.count("*").alias("n"))
@@ -54,10 +64,11 @@ leveled AS (SELECT repo_id, flow_name, type, CASE WHEN severity IN ('critical',
 
 SQL = {
     "scan_findings": f"{_SCAN} SELECT repo_id AS run_id, flow_name, type, severity, count(*) AS n FROM leveled GROUP BY ALL",
-    "scan_scores": f"""{_SCAN},
+    "scan_scores": f"""{_SCAN.replace(f"all_files AS ({APP_CORPUS})", f"all_files AS ({APP_CORPUS} UNION ALL {_QUIET})")},
+repos AS (SELECT DISTINCT repo_id FROM all_files),
 cost AS (SELECT repo_id, sum(CASE severity WHEN 'critical' THEN 15 WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END) AS d FROM vulns GROUP BY repo_id
   UNION ALL SELECT repo_id, sum(CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 5 WHEN 'medium' THEN 3 ELSE 1 END) FROM results WHERE kind = 'missing' GROUP BY repo_id),
-share AS (SELECT repo_id, count(*) FILTER (kind = 'implemented') AS i, count(*) AS c FROM results GROUP BY repo_id),
+share AS (SELECT repo_id, count(*) FILTER (kind = 'implemented') AS i, count(kind) AS c FROM repos LEFT JOIN results USING (repo_id) GROUP BY repo_id),
 scored AS (SELECT repo_id, CAST(coalesce((SELECT sum(d) FROM cost WHERE cost.repo_id = share.repo_id), 0) AS BIGINT) AS deduction,
   CAST(CASE WHEN i * 100 > 80 * c THEN 10 WHEN i * 100 > 60 * c THEN 5 WHEN i * 100 > 40 * c THEN 2 ELSE 0 END AS BIGINT) AS bonus FROM share),
 final AS (SELECT *, greatest(0, least(100, 100 - deduction + bonus)) AS score FROM scored)

@@ -47,7 +47,7 @@ def expire_jobs_stream(spark, sf):
     out = fresh_dir(spark, "expired")
     events = _log_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     query = (
-        stream.expired_stream(events)
+        stream.expired_stream(events, "0 seconds")
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", out)

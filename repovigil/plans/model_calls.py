@@ -42,10 +42,10 @@ ANSWERS = (
     + " ".join(f"WHEN {i} THEN '{arm.replace(chr(39), chr(39) * 2)}'" for i, arm in enumerate(ARMS))
     + " END AS text, (conv_id * 7 + turn) % 16 AS arm FROM conversations"
 )
-# The n-th answer of a conversation answers attempt n.
+# Every three turns of a conversation answer the three attempts of one flow.
 ATTEMPTS = """
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS attempt, text, arm
-FROM ({answers}) a WHERE turn % 2 = 1
+SELECT conv_id * 1000000 + CAST(floor(n / 3) AS BIGINT) AS conv_id, CAST(n % 3 AS INT) AS attempt, text, arm
+FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, text, arm FROM ({answers}) a) b
 """
 TRACE_SCRIPT = f"""
 SELECT repo_id, call_no, CASE call_no
@@ -58,7 +58,7 @@ SELECT repo_id, call_no, CASE call_no
   END AS text
 FROM (SELECT repo_id, CAST(substr(repo_id, 4) AS INT) AS rn, min(CASE WHEN path LIKE 'src/routes/%' THEN path END) AS a,
         max(CASE WHEN path LIKE 'src/routes/%' THEN path END) AS b FROM ({FILES_CORPUS}) c GROUP BY repo_id) r
-CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) v(call_no)
+LATERAL VIEW explode(sequence(1, 6)) v AS call_no
 """
 
 
@@ -158,7 +158,7 @@ def parse_report(spark, sf):
 def _retried(task):
     def run(spark, sf):
         answers = from_sql(spark, sf, ATTEMPTS.format(answers=ANSWERS)).drop("arm")
-        flows = from_sql(spark, sf, "SELECT DISTINCT conv_id FROM conversations").select(
+        flows = answers.select("conv_id").distinct().select(
             "conv_id",
             F.concat(F.lit("flow-"), "conv_id").alias("flow_name"),
             F.lit("gpt-w").alias("model"),
@@ -265,7 +265,7 @@ _REPORT_ERR = {**_COMMON, **_UNFIT, 4: "result missing 'implemented' array", 5:
 def _retry_sql(errors, bad_messages, columns):
     # expected errors by arm; a missing answer is a failed call
     return f"""WITH answers AS ({ATTEMPTS.format(answers=ANSWERS)}),
-convs AS (SELECT DISTINCT conv_id FROM conversations),
+convs AS (SELECT DISTINCT conv_id FROM answers),
 tries AS (SELECT c.conv_id, t.attempt, arm, CASE WHEN a.conv_id IS NULL THEN 'Unknown error' ELSE {_by_arm(errors)} END AS err
   FROM convs c CROSS JOIN (VALUES (0), (1), (2)) t(attempt) LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.attempt = t.attempt),
 kinds AS (SELECT *, CASE WHEN err IS NOT NULL THEN 'bad' WHEN arm = 10 THEN 'refused' ELSE 'good' END AS kind FROM tries),

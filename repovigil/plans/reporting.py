@@ -33,7 +33,7 @@ SELECT l_orderkey % 50 AS run_id, l_orderkey AS pos, 'flow-' || CAST(l_orderkey
       'severity', CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'high' ELSE 'critical' END,
       'title', 'T' || CAST(l_suppkey AS STRING), 'description', 'D' || CAST(l_partkey AS STRING),
       'location', named_struct('file', 'src/s' || CAST(l_suppkey AS STRING) || '.ts')))
-    FILTER (WHERE l_linestatus = 'O' AND l_partkey % 10 = 0)) AS vulnerabilities
+    FILTER (WHERE l_linestatus = 'O')) AS vulnerabilities
 FROM lineitem GROUP BY l_orderkey
 """
 FILES = "SELECT doc_id % 50 AS run_id FROM documents"
@@ -76,8 +76,8 @@ def severity_totals(spark, sf):
 def stage_status(spark, sf):
     """Runs are customers; some have no orders or parts, some failed."""
     runs = table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"))
-    profiles = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("run_id"))
-    lists = table(spark, sf, "part").filter("p_size > 10").select(F.col("p_partkey").alias("run_id"))
+    profiles = table(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"))
+    lists = table(spark, sf, "part").select(F.col("p_partkey").alias("run_id"))
     errors = table(spark, sf, "customer").filter("c_acctbal < 0").select(
         F.col("c_custkey").alias("run_id"),
         F.expr("CASE c_custkey % 3 WHEN 0 THEN 'discovery' WHEN 1 THEN 'checklists' ELSE 'inspection' END").alias("stage"),
@@ -153,7 +153,7 @@ _CHECKLISTS = """checklists AS (SELECT p_partkey % 50 AS run_id, p_partkey AS po
   p_size % 5 + 1 AS n_req, p_size % 3 AS n_rec FROM part)"""
 _LINES = """rep AS (SELECT l_orderkey % 50 AS run_id, count(DISTINCT l_orderkey) AS reports,
   count(*) FILTER (l_returnflag = 'A') AS implemented, count(*) FILTER (l_returnflag = 'N') AS missing,
-  count(*) FILTER (l_linestatus = 'O' AND l_partkey % 10 = 0) AS vulnerabilities,
+  count(*) FILTER (l_linestatus = 'O') AS vulnerabilities,
   count(DISTINCT l_orderkey) FILTER (l_orderkey % 4 = 0) AS critical_reports,
   count(DISTINCT l_orderkey) FILTER (l_orderkey % 4 = 1) AS high_reports FROM lineitem GROUP BY 1)"""
 _METRICS = f"""{_CHECKLISTS}, {_LINES}, ids AS (SELECT range AS run_id FROM range(50)),
@@ -180,13 +180,13 @@ SQL = {
           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1,
           ['sql_injection', 'xss', 'hardcoded_secret'][l_suppkey % 3 + 1], ['info', 'warning', 'critical', 'critical'][CAST(l_quantity AS BIGINT) % 4 + 1],
           'T' || l_suppkey || ': D' || l_partkey, 'src/s' || l_suppkey || '.ts'
-        FROM lineitem WHERE l_linestatus = 'O' AND l_partkey % 10 = 0""",
+        FROM lineitem WHERE l_linestatus = 'O'""",
     "run_metrics": f"WITH {_METRICS} SELECT * FROM metrics",
     "control_totals": f"WITH {_CHECKLISTS}, {_TOTALS} SELECT * FROM totals",
     "severity_totals": f"WITH {_LINES} SELECT * FROM rep",
     "stage_status": """WITH f AS (SELECT c_custkey AS run_id, c_name, CASE WHEN c_acctbal < 0 THEN c_custkey % 3 ELSE -1 END AS bad,
-          (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS e,
-          (SELECT count(*) FROM part WHERE p_partkey = c_custkey AND p_size > 10) AS c FROM customer),
+          (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS e,
+          (SELECT count(*) FROM part WHERE p_partkey = c_custkey) AS c FROM customer),
         g AS (SELECT *, bad <> 0 AND e > 0 AS has_e FROM f)
         SELECT run_id, CASE bad WHEN 0 THEN 'failed' ELSE 'completed' END AS discovery,
           CASE WHEN NOT has_e THEN 'skipped' WHEN bad = 1 THEN 'failed' ELSE 'completed' END AS checklists,

@@ -69,6 +69,8 @@ def scan(files: DataFrame, forced: DataFrame | None = None) -> dict[str, DataFra
         F.concat("title", F.lit(": "), "recommendation").alias("message"), F.col("path").alias("file"),
     )
     stats = judged.groupBy("repo_id").agg(F.count("*").alias("total"), F.count_if("kept").alias("included"))
+    # files that every framework drops give a repository too
+    stats = frameworks.select("repo_id").join(stats, "repo_id", "left").fillna(0, ["total", "included"])
     return {
         "frameworks": frameworks,
         "stats": stats.withColumn("ignored", F.col("total") - F.col("included")),
@@ -78,5 +80,7 @@ def scan(files: DataFrame, forced: DataFrame | None = None) -> dict[str, DataFra
         "vulnerabilities": vulnerabilities,
         "findings": missing.unionAll(risks),
         "summaries": report.report_summary(outcomes, ["run_id", "flow_name"]),
-        "scores": report.with_grade(report.security_score(outcomes, ["run_id"])),
+        "scores": report.with_grade(
+            report.security_score(outcomes, ["run_id"], frameworks.select(F.col("repo_id").alias("run_id")))
+        ),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ NOT_ZIP = "Only .zip files are allowed"
 
 ENTRY_SCHEMA = "repo_id string, ord bigint, path string, content string"
 ENTRY_COLUMNS = ["repo_id", "ord", "path", "content"]
+MAX_FILE_UNITS = 1024 * 1024
 OUTPUT_CHARS = 4 * 1024 * 1024
 
 
@@ -37,16 +39,19 @@ def archive_gate(archives: DataFrame) -> DataFrame:
     return archives.withColumn("error", gate_errors(F.col("length"), F.col("name"), F.col("mimetype")))
 
 
-def scan_archives(spark: SparkSession, folder: str, pattern: str = "*.zip") -> tuple[DataFrame, DataFrame]:
-    """``(accepted, refused)`` archives of a folder as ``(repo_id, length, content)``.
+def scan_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, refused)`` files of a folder as ``(repo_id, length, content)`` and ``(repo_id, length, error)``.
 
-    The size test is a predicate of the scan: bytes of refused archives are not read.
+    ``repo_id`` is the path below ``folder`` without ``.zip``, so equal names in different folders stay
+    apart. Name and size tests are predicates of the scan: bytes of refused files are not read.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    rows = found.withColumn("repo_id", F.regexp_extract("path", r"([^/]*?)(?:\.zip)?$", 1))
-    accepted = rows.filter(F.col("length") <= MAX_ARCHIVE_BYTES).select("repo_id", "length", "content")
-    refused = rows.filter(F.col("length") > MAX_ARCHIVE_BYTES).select("repo_id", "length", gate_errors(F.col("length")).alias("error"))
-    return accepted, refused
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/") + "/"
+    inside = F.expr("substring(path, instr(path, {0}) + length({0}))".format("'" + below.replace("'", "\\'") + "'"))
+    error = gate_errors(F.col("length"), F.col("path"))
+    rows = found.withColumns({"repo_id": F.regexp_replace(inside, r"\.zip$", ""), "error": error})
+    accepted = rows.filter(F.col("error").isNull()).select("repo_id", "length", "content")
+    return accepted, rows.filter(F.col("error").isNotNull()).select("repo_id", "length", "error")
 
 
 def _skip(path: str, strip: bool) -> bool:
@@ -55,7 +60,7 @@ def _skip(path: str, strip: bool) -> bool:
     return not shown or any(part in low for part in configs.QUICK_IGNORE)
 
 
-def unpack_archives(archives: DataFrame, strip: bool = False, max_units: int = 1024 * 1024) -> DataFrame:
+def unpack_archives(archives: DataFrame, strip: bool = False, max_units: int = MAX_FILE_UNITS) -> DataFrame:
     """``(repo_id, content)`` zip rows -> ``(repo_id, ord, path, content)`` text entries.
 
     Entries come in directory order. Ignored directories are skipped by name before anything is
@@ -89,7 +94,9 @@ def unpack_archives(archives: DataFrame, strip: bool = False, max_units: int = 1
     return archives.select("repo_id", "content").mapInPandas(unpack, ENTRY_SCHEMA)
 
 
-def read_archives(spark: SparkSession, folder: str, strip: bool = False) -> DataFrame:
-    """All entries of the accepted archives below ``folder``."""
+def read_archives(
+    spark: SparkSession, folder: str, strip: bool = False, max_units: int = MAX_FILE_UNITS
+) -> DataFrame:
+    """All entries of the accepted archives below ``folder``; pass a cleaning's own ``max_units`` on."""
     accepted, _ = scan_archives(spark, folder)
-    return unpack_archives(accepted, strip)
+    return unpack_archives(accepted, strip, max_units)

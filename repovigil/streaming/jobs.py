@@ -61,12 +61,12 @@ def write_frames(events: DataFrame, folder: str, checkpoint: str):
     )
 
 
-def expired_stream(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def expired_stream(events: DataFrame, delay: str) -> DataFrame:
     """``(job_id, completed_at)`` of each job one hour after it first finished, by event time.
 
     ``events`` needs ``ts`` as a zoned timestamp. Only final status events reach the state, so a
-    chatty job costs nothing here. The state of a job goes with its timer; events later than the
-    watermark are dropped.
+    chatty job costs nothing here. The state of a job goes with its timer. ``delay`` is how far events may
+    be out of order: a final event that comes later still is dropped, so its job never expires.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

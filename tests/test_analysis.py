@@ -130,3 +130,39 @@ def test_files_and_results_round_trip(spark, files):
     assert file_source.read_files(spark, folder + "/out/files").count() == 2
     assert sinks.write_transcripts(rows, folder + "/t", ["repo_id"]) is True
     assert sinks.write_transcripts(rows, folder + "/t", ["no such column"]) is False
+
+
+def test_archives_of_one_name_stay_apart(spark):
+    folder = tempfile.mkdtemp(prefix="zips-")
+    for owner in ("alice", "bob"):
+        os.makedirs(os.path.join(folder, owner))
+        with zipfile.ZipFile(os.path.join(folder, owner, "main.zip"), "w") as z:
+            z.writestr("a.ts", owner)
+            z.writestr("big.ts", "x" * 4_000_000)
+    with open(os.path.join(folder, "notes.txt"), "w") as f:
+        f.write("no archive")
+    got = {(r.repo_id, r.path): r.content for r in archives.read_archives(spark, folder).collect()}
+    assert got == {("alice/main", "a.ts"): "alice", ("bob/main", "a.ts"): "bob"}
+    wide = archives.read_archives(spark, folder, max_units=5_000_000)
+    assert wide.count() == 4
+    _, refused = archives.scan_archives(spark, folder)
+    assert [(r.repo_id, r.error) for r in refused.collect()] == [("notes.txt", archives.NOT_ZIP)]
+
+
+def test_snippets_take_linear_time(spark):
+    import time
+
+    def seconds(lines):
+        df = spark.createDataFrame([("r", 0, "a.ts", "eval(req.body)\n" * lines)], "repo_id string, ord bigint, path string, content string")
+        start = time.perf_counter()
+        assert analysis.scan_vulnerabilities(df).count() >= lines
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 4 * seconds(10_000) + 2
+
+
+def test_a_repository_without_findings_scores_100(files):
+    out = scan(files([("bare", "a.ts", "const x = 1"), ("dropped", "a.bin", "?")]))
+    assert {(r.run_id, r.score, r.grade) for r in out["scores"].collect()} == {("bare", 100, "A"), ("dropped", 100, "A")}
+    assert {(r.repo_id, r.total, r.included) for r in out["stats"].collect()} >= {("bare", 1, 1)}

@@ -108,7 +108,7 @@ def test_inspection_says_nothing_after_a_bad_answer(spark):
     assert (row.success, row.retries, len(row.messages)) == (False, 3, 1)
 
 
-def traced(files, answer, max_depth=10, max_rounds=30):
+def traced(files, answer, max_depth=10):
     rows = files([("r", "a.ts", "A"), ("r", "b.ts", "B"), ("r", "empty.ts", "")])
     trees = materialize(tree.tree_text(tree.render_tree(rows)))
 
@@ -116,7 +116,7 @@ def traced(files, answer, max_depth=10, max_rounds=30):
         out = answer([dict(m) for m in messages])
         return out if isinstance(out, str) else json.dumps(out)
 
-    profiles, final, log = trace.trace_rounds(rows, trees, model.live(call, 1), "gpt", "s", max_depth, max_rounds)
+    profiles, final, log = trace.trace_rounds(rows, trees, model.live(call, 1), "gpt", "s", max_depth)
     return profiles.collect(), final.first(), log
 
 
@@ -139,9 +139,29 @@ def test_missing_pick_ends_and_empty_file_counts_as_missing(files):
     assert profiles == [] and final.status == "finished" and final.call_no == 2
 
 
-def test_unreadable_answers_cost_no_depth_and_stop_at_the_round_limit(files):
-    profiles, final, _ = traced(files, lambda m: "what?", max_rounds=3)
-    assert (final.status, final.depth, final.call_no, len(final.messages)) == ("round_limit", 0, 4, 0)
+def test_unreadable_answers_cost_no_depth_and_end_without_messages(files):
+    profiles, final, _ = traced(files, lambda m: "what?")
+    assert (final.status, final.depth, final.call_no, len(final.messages)) == ("no_messages", 0, 2, 0)
+
+
+def test_tracing_goes_on_until_nothing_is_left(files):
+    def answer(messages):
+        done = messages[0]["content"].count("- GET /")
+        if done == 8:
+            return {"status": "not_found"}
+        return {"status": "completed", "result": {"flow_name": f"F{done}", "entry_point": f"GET /{done}"}}
+
+    profiles, final, _ = traced(files, answer)
+    assert final.status == "finished" and sorted(p.flow_name for p in profiles) == [f"F{k}" for k in range(8)]
+
+
+def test_repeated_keys_and_repeated_answers(spark):
+    rows = spark.createDataFrame([(0, '{"status":"error","status":"completed","result":{"flow_name":"A","required_controls":[],"recommended_controls":[],"references":[]}}')], "id int, text string")
+    got = parse.parse_checklist(rows).first()
+    assert got.error is None and got.status == "completed"
+    twice = spark.createDataFrame([(0, 0, "b"), (0, 0, "a")], "id int, attempt int, text string")
+    asked = spark.createDataFrame([(0, 0)], "id int, attempt int")
+    assert [r.text for r in model.replay(twice, ["id", "attempt"])(asked).collect()] == ["a"]
 
 
 def test_missing_file_serves_the_queue(files):

@@ -57,10 +57,12 @@ def test_later_write_replaces(files):
         assert lines(tree.render_tree(files([("r", p, "") for p in paths]))) == drawn(paths, 10)
 
 
-def test_tree_text_is_withheld_beyond_the_limit(files):
-    rows = tree.render_tree(files([("small", "a", ""), ("large", "a" * 50, "")]))
-    got = {r.repo_id: r for r in tree.tree_text(rows, limit=20).collect()}
-    assert got["small"].tree == "└── a\n" and got["large"].tree is None and got["large"].tree_chars == 55
+def test_tree_text_of_any_size(files):
+    rows = tree.render_tree(files([("small", "a", "")] + [("large", f"f{i:05}", "") for i in range(12_000)]))
+    got = {r.repo_id: r for r in tree.tree_text(rows).collect()}
+    assert got["small"].tree == "└── a\n"
+    assert got["large"].tree == "".join(f"{'└── ' if i == 11_999 else '├── '}f{i:05}\n" for i in range(12_000))
+    assert got["large"].tree_chars == len(got["large"].tree)
 
 
 def test_positions_span_partitions(spark):
