@@ -23,6 +23,13 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _below(prefix: Column, route: Column) -> Column:
+    """A method's route below its class's path; unchanged if the class has none."""
+    base, rest = (F.regexp_replace(c, "^/+|/+$", "") for c in (prefix, route))
+    joined = F.concat(F.lit("/"), base, F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise(F.lit("")))
+    return F.when(base != "", joined).otherwise(route)
+
+
 def route_hits() -> Column:
     """Route definitions in one file, as an array; nothing for files that cannot define any."""
     text, path = F.col("content"), F.col("path")
@@ -34,7 +41,10 @@ def route_hits() -> Column:
     for name, extensions, pattern, method_group, route_group in rules.ROUTE_RULES:
         def row(match: Column, at: Column) -> Column:  # called at once, inside this iteration
             method = F.upper(F.regexp_extract(match, pattern, method_group)) if method_group else F.lit("ANY")
-            return found(name, at, method, F.regexp_extract(match, pattern, route_group))
+            route = F.regexp_extract(match, pattern, route_group)
+            if name in rules.CLASS_PREFIX:
+                route = _below(F.regexp_extract(text, rules.CLASS_PREFIX[name], 1), route)
+            return found(name, at, method, route)
 
         per_rule.append(F.when(ends_with_any(path, extensions), F.transform(_matches(text, pattern), row)))
     folder = F.regexp_extract(path, rules.HANDLER_FILE, 1)
@@ -106,7 +116,7 @@ def group_crud_flows(endpoints: DataFrame) -> DataFrame:
 
 
 def _without_extension(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"\.[A-Za-z0-9]+$", ""), "/index$", "")
+    return F.regexp_replace(F.regexp_replace(path, r"\.[A-Za-z0-9]+$", ""), "/(?:index|__init__)$", "")
 
 
 def _resolve(folder: Column, spec: Column) -> Column:
@@ -127,33 +137,60 @@ def imported_modules() -> Column:
         ends_with_any(path, [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"]),
         F.transform(
             F.regexp_extract_all(text, F.lit(rules.SCRIPT_IMPORT), F.lit(1)),
-            lambda spec: _without_extension(_resolve(folder, spec)),
+            lambda spec: _without_extension(
+                F.when(
+                    spec.startswith(rules.SOURCE_ALIAS),
+                    F.concat(F.lit(rules.SOURCE_FOLDER + "/"), F.substr(spec, F.lit(len(rules.SOURCE_ALIAS) + 1))),
+                ).otherwise(_resolve(folder, spec))
+            ),
         ),
     )
+    def from_import(match: Column) -> Column:
+        dots, base, names = (F.regexp_extract(match, rules.PYTHON_FROM, k) for k in (1, 2, 3))
+        near = _resolve(folder, F.repeat(F.lit("../"), F.greatest(F.length(dots) - 1, F.lit(0))))
+        package = F.array_join(
+            F.filter(F.array(F.when(dots != "", near).otherwise(F.lit("")), F.translate(base, ".", "/")), lambda p: p != ""), "/"
+        )
+        inside = F.transform(_listed(names), lambda n: F.regexp_replace(F.concat(package, F.lit("/"), n), "^/", ""))
+        return F.array_append(inside, package)
+
     python = F.when(
         path.endswith(".py"),
+        F.concat(
+            F.flatten(F.transform(_matches(text, rules.PYTHON_FROM), from_import)),
+            F.flatten(
+                F.transform(
+                    F.regexp_extract_all(text, F.lit(rules.PYTHON_MODULES), F.lit(1)),
+                    lambda names: F.transform(_listed(names), lambda n: F.translate(n, ".", "/")),
+                )
+            ),
+        ),
+    )
+    jvm = F.when(
+        ends_with_any(path, [".java", ".kt"]),
         F.flatten(
             F.transform(
-                _matches(text, rules.PYTHON_IMPORT),
-                lambda m: F.array(
-                    F.concat(
-                        F.translate(F.regexp_extract(m, rules.PYTHON_IMPORT, 1), ".", "/"),
-                        F.lit("/"),
-                        F.regexp_extract(m, rules.PYTHON_IMPORT, 2),
-                    ),
-                    F.translate(F.regexp_extract(m, rules.PYTHON_IMPORT, 1), ".", "/"),
-                ),
+                F.regexp_extract_all(text, F.lit(rules.JVM_IMPORT), F.lit(1)),
+                # a member may be imported: its class is one name shorter
+                lambda name: F.array(F.translate(name, ".", "/"), F.translate(F.regexp_replace(name, r"\.[^.]*$", ""), ".", "/")),
             )
         ),
     )
-    return F.array_distinct(F.flatten(F.array_compact(F.array(script, python))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(script, python, jvm))))
+
+
+def _listed(names: Column) -> Column:
+    """Names of a comma-separated list, without their aliases."""
+    return F.filter(F.transform(F.split(names, ","), lambda n: F.regexp_extract(n, r"^[ \t]*([A-Za-z0-9_.]+)", 1)), lambda n: n != "")
 
 
 def edges_of(rows: DataFrame) -> DataFrame:
     """``imported_modules`` met with the paths they name."""
     wanted = rows.select("repo_id", "ord", F.explode("imported_modules").alias("module"))
+    plain = _without_extension(F.col("path"))
+    names = F.array_distinct(F.array(plain, F.regexp_replace(plain, rules.JVM_ROOT, "")))
     modules = (
-        rows.select("repo_id", _without_extension(F.col("path")).alias("module"), F.col("ord").alias("target"))
+        rows.select("repo_id", F.explode(names).alias("module"), F.col("ord").alias("target"))
         .groupBy("repo_id", "module")
         .agg(F.min("target").alias("target"))
     )

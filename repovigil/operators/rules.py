@@ -18,14 +18,27 @@ ROUTE_FILES = r"(?:route|controller|handler|api|app|server|main|index|urls|views
 # (name, extensions, pattern, method group, route group); group 0 means "not in the text".
 ROUTE_RULES = [
     ("script_router", [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"],
-     r"""(?:app|router|server|fastify)\.(get|post|put|patch|delete)\([ \t]*['"`]([^'"`\n]*)['"`]""", 1, 2),
-    ("decorator", [".ts"], r"""@(Get|Post|Put|Patch|Delete)\([ \t]*['"]([^'"\n]*)['"]""", 1, 2),
+     r"""(?:app|[rR]outer|server|fastify)\.(get|post|put|patch|delete)\([ \t]*['"`]([^'"`\n]*)['"`]""", 1, 2),
+    ("script_chain", [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"],
+     r"""\.route\([ \t]*['"`]([^'"`\n]*)['"`][ \t]*\)\.(get|post|put|patch|delete)\(""", 2, 1),
+    ("script_object", [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"],
+     r"""\.route\([ \t]*\{[^}\n]*method:[ \t]*['"]([A-Z]+)['"][^}\n]*url:[ \t]*['"]([^'"\n]*)['"]""", 1, 2),
+    ("decorator", [".ts"], r"""@(Get|Post|Put|Patch|Delete)\([ \t]*(?:['"]([^'"\n]*)['"])?""", 1, 2),
     ("mapping", [".java", ".kt"],
-     r"""@(Get|Post|Put|Patch|Delete)Mapping\([ \t]*(?:value[ \t]*=[ \t]*)?"([^"\n]*)\"""", 1, 2),
+     r"""@(Get|Post|Put|Patch|Delete)Mapping(?:\([ \t]*(?:(?:value|path)[ \t]*=[ \t]*)?"([^"\n]*)\")?""", 1, 2),
+    ("request_mapping", [".java", ".kt"],
+     r"""@RequestMapping\([ \t]*(?:(?:value|path)[ \t]*=[ \t]*)?"([^"\n]*)"[^)\n]*RequestMethod\.([A-Z]+)""", 2, 1),
     ("python_route", [".py"],
      r"""@[a-z_]+\.route\([ \t]*['"]([^'"\n]*)['"](?:,[ \t]*methods[ \t]*=[ \t]*\[([^\]\n]*)\])?""", 2, 1),
-    ("python_path", [".py"], r"""[^a-z_.A-Z]path\([ \t]*['"]([^'"\n]*)['"]""", 0, 1),
+    ("python_verb", [".py"], r"""@[a-z_]+\.(get|post|put|patch|delete)\([ \t]*['"]([^'"\n]*)['"]""", 1, 2),
+    ("python_path", [".py"], r"""[^a-z_.A-Z](?:re_)?path\([ \t]*r?['"]([^'"\n]*)['"]""", 0, 1),
 ]
+# The path that a class puts before the routes of its methods, by rule.
+CLASS_PREFIX = {
+    "decorator": r"""@Controller\([ \t]*['"]([^'"\n]*)['"]""",
+    "mapping": r"""@RequestMapping\([ \t]*(?:(?:value|path)[ \t]*=[ \t]*)?"([^"\n]*)"[ \t]*\)""",
+}
+CLASS_PREFIX["request_mapping"] = CLASS_PREFIX["mapping"]
 # A route handler file names its route by its own directory.
 HANDLER_FILE = r"(?:^|/)app/(?:(.*)/)?route\.(?:ts|js)$"
 HANDLER_EXPORT = r"export[ \t]+(?:async[ \t]+)?function[ \t]+(GET|POST|PUT|PATCH|DELETE)[ \t]*\("
@@ -37,8 +50,15 @@ SENSITIVITY_RULES = [
     ("low", r"health|status|ping|public|static|docs|version"),
 ]
 
-SCRIPT_IMPORT = r"""(?:from[ \t]+|require\([ \t]*|import\([ \t]*)['"](\.[^'"\n]*)['"]"""
-PYTHON_IMPORT = r"(?:^|\n)from[ \t]+([A-Za-z_][A-Za-z0-9_.]*)[ \t]+import[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
+# Relative module names and those below the alias of the source folder.
+SCRIPT_IMPORT = r"""(?:from[ \t]+|require\([ \t]*|import\([ \t]*|import[ \t]+)['"]((?:\.|@/)[^'"\n]*)['"]"""
+SOURCE_ALIAS = "@/"
+SOURCE_FOLDER = "src"
+PYTHON_FROM = r"(?:^|\n)[ \t]*from[ \t]+(\.*)([A-Za-z0-9_.]*)[ \t]+import[ \t]+\(?[ \t]*([A-Za-z_][A-Za-z0-9_, \t]*)"
+PYTHON_MODULES = r"(?:^|\n)[ \t]*import[ \t]+([A-Za-z_][A-Za-z0-9_., \t]*)"
+JVM_IMPORT = r"(?:^|\n)[ \t]*import[ \t]+(?:static[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*)"
+# Folders that a class name does not mention.
+JVM_ROOT = r"^(?:.*/)?src/(?:main|test)/(?:java|kotlin)/"
 
 # (type, severity, substrings of which a match has at least one, pattern, title, recommendation)
 VULNERABILITY_RULES = [

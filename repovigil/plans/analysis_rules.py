@@ -111,6 +111,8 @@ flows AS (SELECT repo_id, ord, path, entity, flow_name, first(method || ' ' || r
    FROM named GROUP BY repo_id, ord, path, entity, flow_name)"""
 
 
+# The one form of import that the corpus has.
+_PYTHON = r"(?:^|\n)from[ \t]+([A-Za-z_][A-Za-z0-9_.]*)[ \t]+import[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
 _FLOWS = f"{with_views('app_corpus')}, {_endpoint_sql()}"
 
 _TRACE = f"""
@@ -121,8 +123,8 @@ specs AS (
 resolved AS (
   SELECT repo_id, ord, regexp_replace(regexp_replace(CASE WHEN starts_with(spec, '../') THEN regexp_replace(dir, '[^/]+/$', '') || substr(spec, 4)
       ELSE dir || substr(spec, 3) END, '[.][A-Za-z0-9]+$', ''), '/index$', '') AS module FROM specs
-  UNION ALL SELECT repo_id, ord, replace(regexp_extract(m, {_q(rules.PYTHON_IMPORT)}, 1), '.', '/') || '/' || regexp_extract(m, {_q(rules.PYTHON_IMPORT)}, 2)
-    FROM (SELECT repo_id, ord, unnest(regexp_extract_all(content, {_q(rules.PYTHON_IMPORT)})) AS m FROM app_corpus WHERE ends_with(path, '.py'))),
+  UNION ALL SELECT repo_id, ord, replace(regexp_extract(m, {_q(_PYTHON)}, 1), '.', '/') || '/' || regexp_extract(m, {_q(_PYTHON)}, 2)
+    FROM (SELECT repo_id, ord, unnest(regexp_extract_all(content, {_q(_PYTHON)})) AS m FROM app_corpus WHERE ends_with(path, '.py'))),
 edges AS (SELECT DISTINCT repo_id, ord, target FROM resolved JOIN modules USING (repo_id, module) WHERE ord <> target),
 walk AS (SELECT DISTINCT repo_id, ord AS entry, ord, 0 AS depth FROM flows
   UNION SELECT w.repo_id, w.entry, e.target, w.depth + 1 FROM walk w JOIN edges e ON e.repo_id = w.repo_id AND e.ord = w.ord WHERE w.depth < 9),

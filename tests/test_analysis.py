@@ -29,7 +29,7 @@ def test_routes_of_every_dialect(files):
         ("UserController.java", "GET", "/u/{id}"), ("UserController.java", "POST", "/u"),
         ("app.py", "GET", "/a"), ("app.py", "GET", "/b/<int:i>"), ("app.py", "POST", "/b/<int:i>"),
         ("src/routes/u.ts", "GET", "/users/:id"), ("src/routes/u.ts", "PATCH", "/x"), ("src/routes/u.ts", "POST", "/users"),
-        ("urls.py", "ANY", "health/"),
+        ("urls.py", "ANY", "health/"), ("urls.py", "ANY", "no"),
         ("users.controller.ts", "DELETE", ":id"),
         ("web/app/api/items/route.ts", "GET", "/api/items"), ("web/app/api/items/route.ts", "POST", "/api/items"),
     ]
@@ -132,6 +132,43 @@ def test_files_and_results_round_trip(spark, files):
     assert sinks.write_transcripts(rows, folder + "/t", ["no such column"]) is False
 
 
+def test_routes_of_more_dialects(files):
+    rows = files([
+        ("r", "src/users.controller.ts", "@Controller('users')\nclass A {\n @Get()\n all() {}\n @Post(':id/x')\n b() {} }"),
+        ("r", "api/UserController.java", '@RequestMapping("/api")\nclass A {\n@GetMapping\nvoid a();\n@PostMapping("/u")\nvoid b();\n@RequestMapping(value = "/w", method = RequestMethod.PUT)\nvoid c(); }'),
+        ("r", "api/views.py", '@bp.get("/a")\ndef a(): pass\nurlpatterns = [ re_path(r"^b/", v)]'),
+        ("r", "src/routes/f.js", "fastify.route({ method: 'GET', url: '/f' })\napp.route('/w').get(h)\nusersRouter.delete('/u/:id', h)"),
+    ])
+    got = sorted((r.path, r.method, r.route) for r in analysis.discover_endpoints(rows).collect())
+    assert got == [
+        ("api/UserController.java", "GET", "/api"), ("api/UserController.java", "POST", "/api/u"), ("api/UserController.java", "PUT", "/api/w"),
+        ("api/views.py", "ANY", "^b/"), ("api/views.py", "GET", "/a"),
+        ("src/routes/f.js", "DELETE", "/u/:id"), ("src/routes/f.js", "GET", "/f"), ("src/routes/f.js", "GET", "/w"),
+        ("src/users.controller.ts", "GET", "/users"), ("src/users.controller.ts", "POST", "/users/:id/x"),
+    ]
+
+
+def test_imports_of_every_form(files):
+    rows = files([
+        ("r", "src/a.ts", "import './side'\nimport x from '@/lib/x'\nconst y = require('../other/y')"),
+        ("r", "src/side.ts", ""), ("r", "src/lib/x.ts", ""), ("r", "other/y/index.js", ""),
+        ("r", "pkg/m.py", "import pkg.util, os\nfrom . import near\nfrom .deep import one as o, two\nfrom ..top import z\nfrom pkg.many import (p, q)"),
+        ("r", "pkg/util.py", ""), ("r", "pkg/near.py", ""), ("r", "pkg/deep/__init__.py", ""), ("r", "pkg/deep/two.py", ""),
+        ("r", "top.py", ""), ("r", "pkg/many/q.py", ""),
+        ("r", "app/src/main/java/com/x/A.java", "package com.x;\nimport com.x.svc.B;\nimport static com.x.C.run;\nimport java.util.List;"),
+        ("r", "app/src/main/java/com/x/svc/B.java", ""), ("r", "app/src/main/kotlin/com/x/C/run.kt", ""),
+    ])
+    paths = {r.ord: r.path for r in rows.collect()}
+    got = {(paths[r.ord], paths[r.target]) for r in analysis.import_edges(rows).collect()}
+    assert got == {
+        ("src/a.ts", "src/side.ts"), ("src/a.ts", "src/lib/x.ts"), ("src/a.ts", "other/y/index.js"),
+        ("pkg/m.py", "pkg/util.py"), ("pkg/m.py", "pkg/near.py"), ("pkg/m.py", "pkg/deep/__init__.py"),
+        ("pkg/m.py", "pkg/deep/two.py"), ("pkg/m.py", "top.py"), ("pkg/m.py", "pkg/many/q.py"),
+        ("app/src/main/java/com/x/A.java", "app/src/main/java/com/x/svc/B.java"),
+        ("app/src/main/java/com/x/A.java", "app/src/main/kotlin/com/x/C/run.kt"),
+    }
+
+
 def test_archives_of_one_name_stay_apart(spark):
     folder = tempfile.mkdtemp(prefix="zips-")
     for owner in ("alice", "bob"):
