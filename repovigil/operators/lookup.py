@@ -12,6 +12,7 @@ from repovigil.functions.text import strip_leading
 
 # Number of suggestions and the three reply formats.
 SIMILAR_FILES = 5
+TEXT_BUCKETS = 65_536
 AGAIN_HEAD = "You've already read this file. Here it is again:\n\n**File: "
 AGAIN_TAIL = "\n```\n\nPlease continue tracing or complete the analysis."
 FOUND_HEAD = "**File: "
@@ -35,7 +36,8 @@ def first_k(df: DataFrame, group: list[str], k: int, order: str = "ord") -> Data
 def lookup_files(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Requests with ``path``, ``content`` and ``found``; an empty file counts as not found.
 
-    The match runs on paths alone; text joins only the rows that were hit.
+    The match runs on paths alone. Before texts are shuffled to the rows that were hit, a broadcast of the
+    hit rows' hash buckets, ``TEXT_BUCKETS`` numbers at most, keeps nearly all other texts where they are.
     """
     wanted = requests.withColumn("_key", strip_leading(F.col("file")))
     hits = (
@@ -44,7 +46,10 @@ def lookup_files(requests: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy("repo_id", "_key")
         .agg(F.min("ord").alias("ord"))
     )
-    texts = files.select("repo_id", "ord", "path", "content").join(hits, ["repo_id", "ord"])
+    bucket = F.pmod(F.xxhash64("repo_id", "ord"), F.lit(TEXT_BUCKETS)).alias("_bucket")
+    few = F.broadcast(hits.select(bucket).distinct())
+    texts = files.select("repo_id", "ord", "path", "content", bucket).join(few, "_bucket", "left_semi")
+    texts = texts.drop("_bucket").join(hits, ["repo_id", "ord"])
     return (
         wanted.join(texts.select("repo_id", "_key", "path", "content"), ["repo_id", "_key"], "left")
         .withColumn("found", F.coalesce(F.col("content") != "", F.lit(False)))

@@ -72,7 +72,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A new, not yet existing path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete the folders that this process has written intermediate tables to; returns their number.
+
+    For the end of a run, when results are written: DataFrames that read such tables no longer work.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _MADE:
+        path = hadoop(_MADE.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
 
 
 def materialize(df: DataFrame) -> DataFrame:

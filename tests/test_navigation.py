@@ -116,3 +116,31 @@ def test_messages(spark, files):
     assert got[0].startswith("**File: a.ts**\n```\ntext\n```\n\nContinue tracing")
     assert got[1].startswith("You've already read this file. Here it is again:\n\n**File: a.ts**\n```\ntext")
     assert got[2].startswith("File not found: b.ts\n\nAvailable files matching pattern:\n- b.ts\n\nPlease request")
+
+
+def test_lookup_leaves_unmatched_texts_where_they_are(spark, files):
+    """With broadcast joins off, the exchange that carries text lies behind the bucket filter."""
+    rows = files([("r", f"f{i}.ts", f"text {i}") for i in range(200)])
+    wanted = spark.createDataFrame([("r", 1, "f7.ts"), ("r", 2, "nope.ts")], "repo_id string, request_id int, file string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lookup.lookup_files(wanted, rows)
+        assert {(r.request_id, r.found, r.content) for r in out.collect()} == {(1, True, "text 7"), (2, False, None)}
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [_bucket" in plan
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path):
+    import os
+
+    from repovigil import session
+
+    made = session.written(spark.range(3).toDF("id"), "gone")
+    folder = made.inputFiles()[0].split("/part-")[0].removeprefix("file://")
+    assert os.path.isdir(folder) and made.count() == 3
+    kept, session._MADE[:] = session._MADE[:-1], session._MADE[-1:]  # only this one: others still in use
+    assert session.remove_intermediate(spark) == 1 and not os.path.exists(folder)
+    session._MADE[:] = kept
