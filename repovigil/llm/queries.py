@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repovigil.llm import bpe, cotrain, decontaminate, extract, jaccard, lattice, lines, shards, topk
+from repovigil.llm import bpe, cotrain, decontaminate, extract, jaccard, lattice, lines, passages, shards, topk
 from repovigil.llm.common import table
 
 #: Folder of the public tokenizer files; the same on every executor.
@@ -25,6 +25,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -109,6 +113,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
+    "op2_passages": op2_passages,
     "op3_bpe": op3_bpe,
     "op4_extract": op4_extract,
     "op5_quality_classifier": op5_quality_classifier,
