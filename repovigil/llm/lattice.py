@@ -15,8 +15,9 @@ One more arc spans the whole of a word (or the end) that the training documents
 the word in all their tokens. The arcs of pieces together weigh what the training documents leave to
 unseen words, the share of words seen once, so all token probabilities sum to one.
 
-Words are counted over all training documents. The most frequent ones, at most ``TOP_WORDS``, are
-broadcast; the rarer words of a document are looked up in the full table by a join of word hashes.
+Every distinct word of the documents is one row of a table, with its count in the training documents and the
+log probability of its lattice, computed once. The most frequent ones, at most ``TOP_WORDS``, are
+broadcast; the rarer words of a document are looked up in the table by a join of word hashes.
 """
 
 from __future__ import annotations
@@ -36,9 +37,8 @@ from repovigil.llm.common import as_bytes, id_text, slices, words_of
 from repovigil.session import written
 
 TOP_WORDS = 200_000
-EM_ROUNDS = 2
+EM_ROUNDS = 1
 SMOOTHING = 0.1
-_CACHE = 300_000
 _FLUSH = 300_000
 _MARK = "▁"
 _LN10 = math.log(10)
@@ -153,25 +153,45 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) of a task, in portions; the empty word counts the ends of documents."""
+    """(word, training count) of a task, in portions; the empty word counts the ends of documents."""
     counts: Counter = Counter()
+    others: set[bytes] = set()
 
     def portion():
+        new = [w for w in others if w not in counts]
         return pa.RecordBatch.from_arrays(
-            [pa.array([*counts], pa.binary()).cast(pa.string()), pa.array([*counts.values()], pa.int64())],
+            [pa.array([*counts, *new], pa.binary()).cast(pa.string()), pa.array([*counts.values()] + [0] * len(new), pa.int64())],
             ["word", "count"],
         )
 
     for batch in slices(batches, 500):
-        for text in as_bytes(batch.column(1)):
-            counts.update(words_of(text))
-            counts[b""] += 1
-        if len(counts) >= _FLUSH:
+        for text, held_out in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            if held_out:
+                others.update(words_of(text))
+            else:
+                counts.update(words_of(text))
+                counts[b""] += 1
+        if len(counts) + len(others) >= _FLUSH:
             yield portion()
             counts.clear()
+            others.clear()
     yield portion()
 
 
+def _by_pieces(shared):
+    """Adds to rows (word, count) the natural log of the word's probability by pieces alone."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice: Lattice = shared.value
+        for batch in batches:
+            logs = [lattice.log_probability(_MARK + w) if w else 0.0 for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(logs, pa.float64())], ["word", "count", "pieces"]
+            )
+
+    return step
+
+
 def _expect(shared):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice: Lattice = shared.value
@@ -217,53 +237,36 @@ def _hash(word: bytes) -> int:
 
 _SCORED = (
     "doc_id long, digest binary, n_tokens long, n_known long, base double, score double, tail_hash array<long>, "
-    "tail_times array<int>, tail_pieces array<double>"
+    "tail_times array<int>"
 )
 
 
 def _score(shared):
-    """Scores of the end and the frequent words; of the rarer ones hash, times and log10 by pieces alone."""
+    """Scores of the end and the frequent words; hashes and times of the rarer ones."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, top, end, unseen = shared.value
-        known: dict[bytes, tuple[float, float | None]] = {}
-
-        def look(w: bytes) -> tuple[float, float | None]:
-            pieces, own = lattice.log_probability(_MARK + w.decode()), top.get(w)
-            if own is None:
-                entry = pieces / _LN10, None
-            else:
-                base, whole = own
-                entry = _log_sum([whole, unseen + pieces]) / _LN10, base
-            if len(w) <= 64:
-                if len(known) >= _CACHE:
-                    known.clear()
-                known[w] = entry
-            return entry
-
+        top, end = shared.value
         for batch in slices(batches, 500):
             rows = []
             for text in as_bytes(batch.column(1)):
                 words = words_of(text)
                 base, n_known, score = end
-                hashes, times, pieces = [], [], []
+                hashes, times = [], []
                 for w, n in Counter(words).items():
-                    lp, b = known.get(w) or look(w)
-                    if b is None:
+                    entry = top.get(w)
+                    if entry is None:
                         hashes.append(_hash(w))
                         times.append(n)
-                        pieces.append(lp)
                     else:
                         n_known += n
-                        base += n * b
-                        score += n * lp
-                rows.append((hashlib.md5(text).digest(), len(words) + 1, n_known, base, score, hashes, times, pieces))
-            columns = [*zip(*rows)] or [()] * 8
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
-                     pa.list_(pa.float64())]
+                        base += n * entry[0]
+                        score += n * entry[1]
+                rows.append((hashlib.md5(text).digest(), len(words) + 1, n_known, base, score, hashes, times))
+            columns = [*zip(*rows)] or [()] * 7
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))],
-                ["doc_id", "digest", "n_tokens", "n_known", "base", "score", "tail_hash", "tail_times", "tail_pieces"],
+                ["doc_id", "digest", "n_tokens", "n_known", "base", "score", "tail_hash", "tail_times"],
             )
 
     return step
@@ -286,51 +289,53 @@ def score(
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
-    train = rows.where(~is_held_out(F.col("doc_id")))
-    counts = train.mapInArrow(_count_words, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
-    counts = written(counts.where("count > 0").withColumn("hash", F.xxhash64("word")), "word-counts")
+    marked = rows.withColumn("held_out", is_held_out(F.col("doc_id")))
+    counts = marked.mapInArrow(_count_words, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    counts = written(counts, "word-counts")
     is_end = F.col("word") == ""
-    total, distinct, ends, once = counts.agg(
+    total, distinct, ends, once = counts.where("count > 0").agg(
         F.coalesce(F.sum("count"), F.lit(0)),
         F.count("*"),
         F.coalesce(F.sum(F.when(is_end, F.col("count"))), F.lit(0)),
         F.count(F.when(~is_end & (F.col("count") == 1), 1)),
     ).first()
     unseen = (once + 1) / (total + 1)
-    lattice = fit_lattice(counts, read_pieces(vocabulary), rounds)
+    lattice = fit_lattice(counts.where("count > 0"), read_pieces(vocabulary), rounds)
+    fitted = spark.sparkContext.broadcast(lattice)
+    words = counts.mapInArrow(_by_pieces(fitted), "word string, count long, pieces double")
+    words = written(words.withColumn("hash", F.xxhash64("word")), "word-scores")
     scale = total + 0.1 * (distinct + 1)
 
     # the counts from which on at most top_words words remain; one row for each count that occurs
     least, so_far = None, 0
-    for n, words in counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).limit(top_words).collect():
-        so_far += words
+    sizes = words.where("count > 0").groupBy("count").agg(F.count("*").alias("words"))
+    for n, size in sizes.orderBy(F.desc("count")).limit(top_words).collect():
+        so_far += size
         if so_far > top_words:
             break
         least = n
-    frequent = [] if least is None else counts.where(F.col("count") >= least).where("word <> ''").select("word", "count").collect()
+    frequent = []
+    if least is not None:
+        frequent = words.where(F.col("count") >= least).where(~is_end).select("word", "count", "pieces").collect()
     whole = lambda n: math.log((1 - unseen) * n / total) if n and unseen < 1 else -math.inf
-    top = {r[0].encode(): (math.log10((r[1] + 0.1) / scale), whole(r[1])) for r in frequent}
-    end_score = _log_sum([whole(ends), math.log(unseen) + lattice.end]) / _LN10
-    end = (math.log10((ends + 0.1) / scale), int(ends > 0), end_score)
+    both = lambda n, pieces: _log_sum([whole(n), math.log(unseen) + pieces]) / _LN10
+    top = {r[0].encode(): (math.log10((r[1] + 0.1) / scale), both(r[1], r[2])) for r in frequent}
+    end = (math.log10((ends + 0.1) / scale), int(ends > 0), both(ends, lattice.end))
 
-    shared = spark.sparkContext.broadcast((lattice, top, end, math.log(unseen)))
+    shared = spark.sparkContext.broadcast((top, end))
     scored = written(rows.mapInArrow(_score(shared), _SCORED), "lm-scores")
     # rarer words, once for each text
-    tails = scored.where(F.size("tail_hash") > 0).select("digest", "tail_hash", "tail_times", "tail_pieces")
-    tails = tails.dropDuplicates(["digest"]).select(
-        "digest", F.explode(F.arrays_zip("tail_hash", "tail_times", "tail_pieces")).alias("t")
-    )
-    tails = tails.select(
-        "digest", F.col("t.tail_hash").alias("hash"), F.col("t.tail_times").alias("times"), F.col("t.tail_pieces").alias("pieces")
-    )
-    looked = tails.join(counts.select("hash", "count"), "hash", "left")
-    by_pieces = F.col("pieces") + math.log10(unseen)
+    tails = scored.where(F.size("tail_hash") > 0).select("digest", "tail_hash", "tail_times")
+    tails = tails.dropDuplicates(["digest"]).select("digest", F.explode(F.arrays_zip("tail_hash", "tail_times")).alias("t"))
+    tails = tails.select("digest", F.col("t.tail_hash").alias("hash"), F.col("t.tail_times").alias("times"))
+    looked = tails.join(words.select("hash", "count", "pieces"), "hash")
+    by_pieces = F.col("pieces") / _LN10 + math.log10(unseen)
     own_arc = (1 - unseen) * F.col("count") / float(max(total, 1))
-    both = F.when(F.col("count").isNull(), by_pieces).otherwise(F.log10(own_arc + F.pow(F.lit(10.0), by_pieces)))
+    summed = F.when(F.col("count") == 0, by_pieces).otherwise(F.log10(own_arc + F.pow(F.lit(10.0), by_pieces)))
     sums = looked.groupBy("digest").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("count", F.lit(0)) + 0.1) / scale)).alias("tail_base"),
-        F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("times") * both).alias("tail_score"),
+        F.sum(F.col("times") * F.log10((F.col("count") + 0.1) / scale)).alias("tail_base"),
+        F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
+        F.sum(F.col("times") * summed).alias("tail_score"),
     )
     return scored.join(sums, "digest", "left").select(
         "doc_id",
