@@ -1,14 +1,12 @@
 """Exact top-k inner products by the three-phase uniform threshold method.
 
 Vectors are cut into column blocks, the nodes; a row's score is the sum of its scores at the nodes.
-Scores at a node are counted from the node's lowest score for the query, so they are not negative.
-
-1. Every node hands on its k best rows for each query. The sums of what is known of a row are lower
-   bounds, and the k-th of them over the number of nodes is a safe cutoff: a row that is below the cutoff
-   at every node is below the k-th best.
-2. The cutoffs are broadcast and every node hands on all rows that reach them. A row's known scores and
-   the cutoff for the others bound its score from both sides; rows whose upper bound is below the
-   k-th lower bound go.
+
+1. Every node hands on its best rows for each query, ``LISTS`` times k of them. The exact scores of
+   these rows give a lower bound of the k-th best score, and that bound over the number of nodes is a safe
+   cutoff: a row that is below it at every node is below the bound.
+2. The cutoffs are broadcast and every node hands on all scores that reach them. A row's known scores and
+   the cutoff for the others bound its score from above; rows whose bound is too low go.
 3. The exact scores of the rows left decide.
 
 Queries are taken in blocks of bounded size, each a broadcast against one pass over all rows; tasks
@@ -26,7 +24,8 @@ from pyspark.sql import functions as F
 
 from repovigil.session import written
 
-NODES = 4
+NODES = 2
+LISTS = 10
 QUERY_BLOCK = 4096
 _ROWS = 2048
 _QUERIES = 256
@@ -101,50 +100,47 @@ def _blocks(batches, width: int):
             yield part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1).to_pylist(), width)
 
 
-def _local_best(shared, k: int):
-    """Phase 1: the task's k best rows and its lowest score for each query and node (uid null)."""
+def _local_best(shared, length: int):
+    """Phase 1: the task's best rows for each query and node."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Queries = shared.value
-        n, m = len(q.uids), len(q.nodes)
-        best = np.full((m, n, k), np.iinfo(np.int64).min)
-        who = np.full((m, n, k), -1, np.int64)
-        low = np.full((m, n), np.iinfo(np.int64).max)
+        n, m, none = len(q.uids), len(q.nodes), np.iinfo(np.int64).min
+        best = np.full((m, n, length), none)
+        who = np.full((m, n, length), -1, np.int64)
         for uids, rows in _blocks(batches, q.width):
             for lo in range(0, n, _QUERIES):
                 hi = min(n, lo + _QUERIES)
                 own = q.uids[lo:hi, None] == uids[None, :]
                 for j, (a, b) in enumerate(q.nodes):
                     s = q.scores(rows, lo, hi, a, b)
-                    low[j, lo:hi] = np.minimum(low[j, lo:hi], np.where(own, np.iinfo(np.int64).max, s).min(1, initial=np.iinfo(np.int64).max))
-                    s = np.where(own, np.iinfo(np.int64).min, s)
-                    both = np.concatenate([best[j, lo:hi], s], 1)
-                    ids = np.concatenate([who[j, lo:hi], np.broadcast_to(uids, s.shape)], 1)
-                    top = np.argpartition(-both.astype(np.float64), k - 1, 1)[:, :k]
+                    s[own] = none
+                    # rows that beat the worst of some list so far
+                    some = np.flatnonzero((s > best[j, lo:hi].min(1)[:, None]).any(0))
+                    both = np.concatenate([best[j, lo:hi], s[:, some]], 1)
+                    ids = np.concatenate([who[j, lo:hi], np.broadcast_to(uids[some], (hi - lo, len(some)))], 1)
+                    top = np.argpartition(both, -length, 1)[:, -length:]
                     best[j, lo:hi] = np.take_along_axis(both, top, 1)
                     who[j, lo:hi] = np.take_along_axis(ids, top, 1)
-        j, i, t = np.nonzero(best > np.iinfo(np.int64).min)
+        j, i, t = np.nonzero(best > none)
         if len(j):
             yield _entries(i, j, who[j, i, t], best[j, i, t])
-        j, i = np.nonzero(low < np.iinfo(np.int64).max)
-        if len(j):
-            yield _entries(i, j, pa.nulls(len(j), pa.int64()), low[j, i])
 
     return step
 
 
 def _sufficient(shared, shared_cuts):
-    """Phase 2: every score that reaches its query's and node's cutoff, counted from the lowest."""
+    """Phase 2: every score that reaches its query's cutoff."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Queries = shared.value
-        low, cut = shared_cuts.value
+        cut = shared_cuts.value
         for uids, rows in _blocks(batches, q.width):
             for lo in range(0, len(q.uids), _QUERIES):
                 hi = min(len(q.uids), lo + _QUERIES)
                 own = q.uids[lo:hi, None] == uids[None, :]
                 for j, (a, b) in enumerate(q.nodes):
-                    s = q.scores(rows, lo, hi, a, b) - low[j, lo:hi, None]
+                    s = q.scores(rows, lo, hi, a, b)
                     i, r = np.nonzero((s >= cut[lo:hi, None]) & ~own)
                     if len(i):
                         yield _entries(i + lo, np.full(len(i), j), uids[r], s[i, r])
@@ -171,10 +167,11 @@ def _resolve(shared):
     return step
 
 
-def _kth(value: Column, name: str, rows: DataFrame, k: int) -> DataFrame:
-    """(query, name): the k-th largest value of each query, nothing for queries with fewer rows."""
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(value.desc()))
-    return rows.withColumn("nth", rank).where(F.col("nth") == k).select("query", value.alias(name))
+def _exact(pairs: DataFrame, vectors: DataFrame, shared) -> DataFrame:
+    """Exact scores of pairs (query, uid)."""
+    return pairs.join(vectors, "uid").select("query", "uid", "vec_id", "vector").mapInArrow(
+        _resolve(shared), "query int, uid long, vec_id long, score long"
+    )
 
 
 def _search(vectors: DataFrame, queries: Queries, k: int) -> DataFrame:
@@ -183,38 +180,27 @@ def _search(vectors: DataFrame, queries: Queries, k: int) -> DataFrame:
     n, m = len(queries.uids), len(queries.nodes)
     narrow = vectors.select("uid", "vector")
 
-    local = written(narrow.mapInArrow(_local_best(shared, k), _ENTRY), "topk-local")
-    lows = local.where("uid is null").groupBy("query", "node").agg(F.min("score").alias("low"))
-    low = np.zeros((m, n), np.int64)
-    for r in lows.collect():  # a number for each query of the block and node
-        low[r[1], r[0]] = r[2]
+    local = narrow.mapInArrow(_local_best(shared, LISTS * k), _ENTRY)
     rank = F.row_number().over(Window.partitionBy("query", "node").orderBy(F.desc("score"), "uid"))
-    lists = local.where("uid is not null").withColumn("nth", rank).where(F.col("nth") <= k)
-    sums = lists.join(F.broadcast(lows), ["query", "node"]).groupBy("query", "uid").agg(
-        F.sum(F.col("score") - F.col("low")).alias("known")
-    )
-    cut = np.zeros(n, np.int64)
-    for r in _kth(F.col("known"), "kth", sums, k).collect():  # a number for each query
-        cut[r[0]] = -(-r[1] // m)  # rows below it at every node stay below the k-th sum
-
-    cuts = spark.sparkContext.broadcast((low, cut))
-    sent = written(narrow.mapInArrow(_sufficient(shared, cuts), _ENTRY), "topk-sent")
-    limits = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cut)], "query int, cut long")
-    bounds = written(
-        sent.groupBy("query", "uid").agg(F.sum("score").alias("known"), F.count("*").alias("nodes")), "topk-bounds"
-    )
-    least = _kth(F.col("known"), "least", bounds, k)
+    lists = local.withColumn("nth", rank).where(F.col("nth") <= LISTS * k).select("query", "uid").distinct()
+    known = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    bounds = _exact(lists, vectors, shared).withColumn("nth", known).where(F.col("nth") == k)
+    # a query with fewer than k rows has no bound: everything is sent
+    bound = np.full(n, np.iinfo(np.int64).min // 4)
+    for r in bounds.select("query", "score").collect():  # a number for each query of the block
+        bound[r[0]] = r[1]
+    cut = -(-bound // m)
+
+    sent = narrow.mapInArrow(_sufficient(shared, spark.sparkContext.broadcast(cut)), _ENTRY)
+    limits = spark.createDataFrame([(i, int(b), int(c)) for i, (b, c) in enumerate(zip(bound, cut))], "query int, bound long, cut long")
     # a score that was not sent is below the cutoff
-    upper = F.col("known") + (m - F.col("nodes")) * F.greatest(F.col("cut") - 1, F.lit(0))
+    upper = F.col("known") + (m - F.col("nodes")) * (F.col("cut") - 1)
     left = (
-        bounds.join(F.broadcast(limits), "query").join(F.broadcast(least), "query", "left")
-        .where(upper >= F.coalesce("least", F.lit(0))).select("query", "uid")
+        sent.groupBy("query", "uid").agg(F.sum("score").alias("known"), F.count("*").alias("nodes"))
+        .join(F.broadcast(limits), "query").where(upper >= F.col("bound")).select("query", "uid")
     )
-    exact = left.join(vectors, "uid").select("query", "uid", "vec_id", "vector").mapInArrow(
-        _resolve(shared), "query int, uid long, vec_id long, score long"
-    )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _exact(left, vectors, shared).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(
@@ -253,7 +239,7 @@ def top_k(
         if count:
             found = _search(own, queries, k).join(names, "query")
         else:
-            found = names.withColumns({"rank": F.lit(0), "vec_id": F.lit(0), "score": F.lit(0)})
+            found = names.withColumns({"rank": F.lit(0), "vec_id": F.lit(0), "score": F.lit(0)}).limit(0)
         found = found.select(
             "query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").cast("bigint").alias("vec_id"),
             F.col("score").cast("bigint").alias("score"),
