@@ -279,6 +279,35 @@ def test_jaccard_small_sets(spark):
     assert by_all(map(tuple, out.collect())) == by_all(brute.jaccard_components(rows, 1, 85))
 
 
+def test_jaccard_long_lists_in_blocks(spark, monkeypatch):
+    """Many near copies, most of them linked only through others, in blocks of a few rows."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 500)}"
+        rows.append((i, " ".join(w)))
+    for percent in (75, 85):
+        out = jaccard.link_components(frame(spark, rows), 3, percent).select("doc_id", "n_shingles", "component_id")
+        expected = brute.jaccard_components(rows, 3, percent)
+        assert by_all(map(tuple, out.collect())) == by_all(expected)
+        assert 1 < len({c for _, _, c in expected}) < 160
+
+
+def test_shapes_never_part_linked_sets():
+    r = np.random.RandomState(2)
+    for size in (1, 5, 60, 3000, 40_000):
+        one = np.unique(r.randint(0, 2**62, size).astype(np.uint64))
+        two = np.unique(np.r_[one[len(one) // 20 :], r.randint(0, 2**62, size // 30 + 1).astype(np.uint64)])
+        both = len(np.intersect1d(one, two))
+        percent = 100 * both // (len(one) + len(two) - both)
+        x, y = (np.frombuffer(jaccard.shape(s), np.uint8).astype(int) for s in (one, two))
+        assert np.abs(x - y).sum() <= (len(one) + len(two)) * (100 - percent) // (100 + percent)
+
+
 def test_jaccard_keeps_one(docs):
     kept = [r[0] for r in jaccard.keep_one(docs, ["doc_id", "text"], 5, 80).collect()]
     groups = {}
