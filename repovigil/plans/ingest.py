@@ -76,7 +76,7 @@ def archive_requests(spark, sf):
 
 
 def write_transcripts(spark, sf):
-    """Written as JSON by agent and run, then read back."""
+    """Written twice as one batch of JSON, then read back once."""
     folder = fresh_dir(spark, "transcripts")
     rows = from_sql(
         spark,
@@ -84,7 +84,8 @@ def write_transcripts(spark, sf):
         """SELECT 'checklists' AS agent, conv_id % 10 AS run_id, conv_id, turn, named_struct('role', role, 'content', text) AS message
            FROM conversations""",
     )
-    sinks.write_transcripts(rows, folder, ["agent", "run_id"])
+    for _ in range(2):
+        sinks.write_transcripts(rows, folder, "a")
     back = spark.read.schema(
         "agent string, run_id bigint, conv_id bigint, turn bigint, message struct<role string, content string>"
     ).json(folder)

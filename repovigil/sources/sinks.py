@@ -5,14 +5,24 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
 
-def write_transcripts(transcripts: DataFrame, folder: str, by: list[str]) -> bool:
-    """JSON rows partitioned by agent and run; a failed write is reported, never raised."""
+RUN_BUCKETS = 64
+
+
+def write_transcripts(transcripts: DataFrame, folder: str, batch: str) -> bool:
+    """JSON rows below ``folder/batch=...`` by agent and a bucket of ``run_id``.
+
+    Writing a batch again replaces it, so a repeated call doubles nothing; the number of folders does not
+    grow with the number of runs. A failed write is reported, never raised.
+    """
     try:
-        transcripts.write.mode("append").partitionBy(*by).json(folder)
+        bucket = F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int")
+        rows = transcripts.withColumn("run_bucket", bucket)
+        rows.write.mode("overwrite").partitionBy("agent", "run_bucket").json(f"{folder}/batch={batch}")
         return True
     except Exception as error:
         log.warning("transcripts not saved: %s", error)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,8 +36,9 @@ def write_state(states: DataFrame, folder: str, checkpoint: str):
 def read_state(spark: SparkSession, folder: str) -> DataFrame:
     """The last written state of each job."""
     rows = spark.read.parquet(folder)
-    newest = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("batch")))
-    return jobs._flat(rows.withColumn("_n", newest).filter("_n = 1").drop("_n", "batch"))
+    columns = [c for c in rows.columns if c not in ("job_id", "batch")]
+    newest = rows.groupBy("job_id").agg(F.max_by(F.struct(*columns), "batch").alias("last"))
+    return jobs._flat(newest.select("job_id", "last.*"))
 
 
 def write_frames(events: DataFrame, folder: str, checkpoint: str):

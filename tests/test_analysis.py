@@ -128,8 +128,12 @@ def test_files_and_results_round_trip(spark, files):
     assert sorted(map(str, file_source.read_files(spark, folder + "/json", "json").collect())) == sorted(map(str, rows.collect()))
     sinks.write_results({"files": rows}, folder + "/out")
     assert file_source.read_files(spark, folder + "/out/files").count() == 2
-    assert sinks.write_transcripts(rows, folder + "/t", ["repo_id"]) is True
-    assert sinks.write_transcripts(rows, folder + "/t", ["no such column"]) is False
+    said = rows.withColumns({"agent": F.lit("checklists"), "run_id": F.col("repo_id")})
+    assert sinks.write_transcripts(said, folder + "/t", "one") is True
+    assert sinks.write_transcripts(said, folder + "/t", "one") is True  # replaces itself
+    assert sinks.write_transcripts(said, folder + "/t", "two") is True
+    assert spark.read.json(folder + "/t").count() == 4
+    assert sinks.write_transcripts(rows, folder + "/t", "one") is False
 
 
 def test_routes_of_more_dialects(files):
