@@ -115,7 +115,7 @@ def test_expiry_timers_fire_across_batches(spark):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         live = spark.readStream.schema(SCHEMA).parquet(source)
         query = (
-            stream.expired_stream(live).writeStream.outputMode("append").format("parquet")
+            stream.expired_stream(live, "0 seconds").writeStream.outputMode("append").format("parquet")
             .option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
         )
         query.awaitTermination()
