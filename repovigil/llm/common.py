@@ -71,7 +71,7 @@ _BASE = 0xD6E8FEB86659FD93
 _IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE, np.uint8))
 #: A random value for each byte; A-Z have those of a-z.
 _BYTE = mix(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64), 12345)
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
@@ -100,10 +100,11 @@ def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[start]) * inverse[start], 0), start
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """For each text the 64-bit hashes of its words: A-Z lower-cased, split at ASCII white space.
+def word_hashes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """64-bit hashes of the words of texts: A-Z lower-cased, split at ASCII white space.
 
-    Texts are hashed together in buffers of about 2 MB; a longer text in pieces cut at white space.
+    Texts are hashed together in buffers of about 256 KB, in order: the hashes of a buffer, and where
+    its texts begin and end in them. A longer text goes in pieces cut at white space, as one buffer.
     """
     pending: list[bytes] = []
     size = 0
@@ -112,9 +113,7 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
             if pending:
                 h, start = _hash_words(np.frombuffer(b" ".join(pending), np.uint8))
                 ends = np.cumsum([len(t) + 1 for t in pending])
-                cuts = [0, *np.searchsorted(start, ends)]
-                for a, b in zip(cuts, cuts[1:]):
-                    yield h[a:b]
+                yield h, np.r_[0, np.searchsorted(start, ends)]
             pending, size = [], 0
         if text is None:
             return
@@ -125,10 +124,13 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
         data, parts, at = np.frombuffer(text, np.uint8), [], 0
         while at < len(data):
             stop = min(len(data), at + _PIECE)
-            if stop < len(data):  # on to the next white space
-                while stop < len(data) and not _IS_SPACE[data[stop : stop + _PIECE]].any():
-                    stop = min(len(data), stop + _PIECE)
-                stop += int(np.argmax(_IS_SPACE[data[stop : stop + _PIECE]])) if stop < len(data) else 0
+            while stop < len(data):  # on to the next white space
+                space = _IS_SPACE[data[stop : stop + _PIECE]]
+                if space.any():
+                    stop += int(np.argmax(space))
+                    break
+                stop = min(len(data), stop + _PIECE)
             parts.append(_hash_words(data[at:stop])[0])
             at = stop
-        yield np.concatenate(parts)
+        whole = np.concatenate(parts)
+        yield whole, np.array([0, len(whole)])
