@@ -7,19 +7,28 @@ rarest shingles, as many as a partner cannot miss. Both give rows (key, set), an
 meets under a key. T is where the number of subsets plus the expected cost of scanning lists is
 least; it comes from the sizes of all sets and from a sketch of all shingle counts.
 
-Lists are scanned without writing out all their pairs. Every list compares all its members with two
-of them that a hash chooses, and links found there merge most members of a list into one component.
-Then only members outside a list's main component are compared with its other components. A pair
-that is never compared is in one component already, so no link between different components is lost.
+Lists are scanned without writing out all their pairs, in three rounds. *Shapes*, the numbers of shingles in
+the cells of a division of the hash range, tell pairs that cannot be linked, and the likeliest ones.
 
-Shingles and sets are known by 64-bit hashes; a pair of sets is compared by its whole shingle sets.
-Equal hashes for different sets are expected n^2 / 2^65 times among n sets.
+1. Every list meets two of its members, which a hash chooses, with all others; each set is compared with the
+   likeliest of the members it met. The links merge most members of a list into one component. Lists of
+   three have all their pairs met.
+2. A member outside a list's main component is compared with the likeliest member of each other component.
+3. Members still outside are compared with all members of other components that shapes allow.
+
+A pair that is never compared is in one component already, or its shapes rule it out, so no link
+between different components is lost.
+
+Shingles and sets are known by 64-bit hashes; a pair of sets is compared by its whole shingle sets, of
+which 48 bits of each hash travel. Equal hashes are expected n^2 / 2^65 times among n sets, and m^2 / 2^48
+times between two sets of m shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,7 +48,10 @@ PERCENT = 80
 SALT_ROWS = 1_000_000
 MOST_LIGHT = 40
 _SEEN = 300_000
-_CELLS = 32
+_CELLS = 128
+_COARSE = 32
+SHORT_LIST = 3
+BLOCK_ROWS = 2048
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -47,14 +59,23 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
 
     A text of fewer words is one shingle, a text without words has none.
     """
-    for seq in word_hashes(texts):
-        k = min(words, len(seq))
-        rows = len(seq) - k + 1 if k else 0
-        h = np.zeros(rows, np.uint64)
-        for i in range(k):
-            h = mix(h ^ seq[i : i + rows], k)
-        h.sort()
-        yield h[np.r_[True, h[1:] != h[:-1]]] if rows > 1 else h
+    for seq, cuts in word_hashes(texts):
+        all_ = _shingles(seq, words)
+        for a, b in zip(cuts, cuts[1:]):
+            own = all_[a : b - words + 1] if b - a >= words else _shingles(seq[a:b], int(b - a))
+            if len(own) > 1:
+                own = np.sort(own)
+                own = own[np.r_[True, own[1:] != own[:-1]]]
+            yield own
+
+
+def _shingles(seq: np.ndarray, words: int) -> np.ndarray:
+    """A hash of every run of ``words`` words."""
+    rows = max(0, len(seq) - words + 1) if words else 0
+    h = np.zeros(rows, np.uint64)
+    for i in range(words if rows else 0):
+        h = mix(h ^ seq[i : i + rows], words)
+    return h
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -62,11 +83,102 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def shape(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of 32 cells of the hash range, 255 at most a cell."""
+    """How many shingles fall into each of 128 cells of the hash range, 255 at most a cell."""
     cells = np.bincount((shingles >> np.uint64(5)).astype(np.int64) % _CELLS, minlength=_CELLS)
     return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
+def _coarse(shapes: DataFrame) -> DataFrame:
+    """(sig, n, shape) with shapes of 32 cells, for the many pairs of the first comparison."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 20_000):
+            cells = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, _CELLS // _COARSE, _COARSE)
+            few = np.minimum(cells.sum(1, dtype=np.int64), 255).astype(np.uint8)
+            # a cell that was cut off at 255 stays at 255
+            few[(cells == 255).any(1)] = 255
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in few], pa.binary())], ["sig", "n", "shape"]
+            )
+
+    return shapes.select("sig", "n", "shape").mapInArrow(step, "sig long, n int, shape binary")
+
+
+def _across(percent: int, likeliest: bool):
+    """Rows (key, p, q, sig, n, label, rest, shape) sorted by (key, p, q): pairs (a, b) within such a group.
+
+    A set that is not in its list's main component (``rest``) is paired with the sets of other
+    components whose sizes and shapes allow a link, or with the likeliest of each component. A group
+    has at most about two blocks of rows.
+    """
+
+    def pairs(group: list[np.ndarray]) -> tuple[list, list]:
+        sig, n, label, rest, cells = (np.concatenate(c) for c in zip(*group))
+        a, b = [], []
+        for k in np.flatnonzero(rest):
+            other = np.flatnonzero(
+                (label != label[k]) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * percent)
+            )
+            differ = np.abs(cells[other] - cells[k]).sum(1)
+            fits = np.flatnonzero(differ <= (n[other] + n[k]) * (100 - percent) // (100 + percent))
+            if likeliest and len(fits):
+                fits = fits[np.lexsort((sig[other[fits]], differ[fits], label[other[fits]]))]
+                fits = fits[np.r_[True, label[other[fits[1:]]] != label[other[fits[:-1]]]]]
+            found = sig[other[fits]]
+            a.append(np.minimum(found, sig[k]))
+            b.append(np.maximum(found, sig[k]))
+        return a, b
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, a, b = None, [], [], []
+
+        def flush():
+            if not a:
+                return
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+            a.clear()
+            b.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, p, q, sig, n, label, rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            cells = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, _CELLS).astype(np.int16)
+            same = (key[1:] == key[:-1]) & (p[1:] == p[:-1]) & (q[1:] == q[:-1])
+            cuts = [0, *(np.flatnonzero(~same) + 1), len(key)]
+            for i, j in zip(cuts, cuts[1:]):
+                name = (key[i], p[i], q[i])
+                if now is not None and name != now:
+                    x, y = pairs(group)
+                    a += x
+                    b += y
+                    group = []
+                now = name
+                group.append((sig[i:j], n[i:j].astype(np.int64), label[i:j], rest[i:j], cells[i:j]))
+            if sum(map(len, a)) > 100_000:
+                yield from flush()
+        if group:
+            x, y = pairs(group)
+            a += x
+            b += y
+        yield from flush()
+
+    return step
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """A sorted set for travel: the upper 48 bits of its hashes, the uppermost 16 compressed."""
+    top, rest = (shingles >> np.uint64(48)).astype(np.uint16), (shingles >> np.uint64(16)).astype(np.uint32)
+    return rest.tobytes() + zlib.compress(np.diff(top, prepend=np.uint16(0)).tobytes(), 1) + len(rest).to_bytes(4, "little")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[-4:], "little")
+    top = np.cumsum(np.frombuffer(zlib.decompress(data[4 * n : -4]), np.uint16), dtype=np.uint16)
+    return top.astype(np.uint64) << np.uint64(32) | np.frombuffer(data[: 4 * n], np.uint32)
+
+
 def least_overlap(size: int, percent: int) -> int:
     """Shingles that a set of ``size`` shares with any linked set that is not larger."""
     return -(-percent * size // 100)
@@ -158,7 +270,9 @@ def _keys(words: int, percent: int, light: int, shared):
                         parts.append(np.zeros(len(h), np.int64))
                 if n >= least_overlap(light + 1, percent):
                     load = counts[sketch.bucket_of(own)]
-                    rare = np.lexsort((own, load))[: n - least_overlap(n, percent) + 1]
+                    # by load, then by hash: own is sorted and the sort keeps the order of equal keys
+                    order = load.astype(np.uint64) << np.uint64(32) | own >> np.uint64(32)
+                    rare = np.argsort(order, kind="stable")[: n - least_overlap(n, percent) + 1]
                     found.append(own[rare])
                     parts.append(salt % (1 + load[rare].astype(np.int64) // SALT_ROWS))
                 for h, p in zip(found, parts):
@@ -211,12 +325,12 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int, shared):
-    """Third pass: the shingles of texts whose digest the sketch of wanted digests knows."""
+    """(sig, items): the shingles of texts whose digest the sketch of wanted digests knows."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in slices(batches):
-            digests, texts = [], []
+            texts = []
             for text in as_bytes(batch.column(1)):
                 d = hashlib.md5(text).digest()
                 if d in seen or not counts[sketch.bucket_of(np.frombuffer(d[:8], np.uint64))[0]]:
@@ -224,12 +338,12 @@ def _sets(words: int, shared):
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(d)
-                digests.append(d)
                 texts.append(text)
-            if digests:
-                sets = [s.tobytes() for s in shingle_sets(texts, words)]
+            sets = [*shingle_sets(texts, words)]
+            if sets:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "items"]
+                    [pa.array([set_id(x) for x in sets], pa.int64()), pa.array([packed(x) for x in sets], pa.binary())],
+                    ["sig", "items"],
                 )
 
     return step
@@ -247,7 +361,7 @@ def _digest_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _possible(percent: int):
-    """Pairs (a, b, sizes, shapes) whose shapes do not differ by more shingles than linked sets may."""
+    """Pairs (sig, sig2, sizes, shapes) whose shapes do not differ by more shingles than linked sets may."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 20_000):
@@ -255,25 +369,30 @@ def _possible(percent: int):
                 continue
             n1, n2 = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
             one, two = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _CELLS).astype(np.int32)
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _COARSE).astype(np.int32)
                 for k in (4, 5)
             )
             differ = np.abs(one - two).sum(1)
             # both >= percent * all / 100 and all + both = n1 + n2: at most this many are in one set alone
             most = (n1 + n2) * (100 - percent) // (100 + percent)
             rows = pa.array(np.flatnonzero(differ <= most))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(differ[differ <= most])],
+                ["sig", "sig2", "differ"],
+            )
 
     return step
 
 
 def _compare(percent: int):
+    """Rows (a, b, one, two) with the sets of a pair: the pairs that are similar enough."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 200):
             linked = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                a, b = unpacked(x), unpacked(y)
+                both = len(np.intersect1d(a, b))
                 linked.append(100 * both >= percent * (len(a) + len(b) - both))
             rows = pa.array(np.flatnonzero(linked))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
@@ -281,36 +400,79 @@ def _compare(percent: int):
     return step
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are similar enough."""
+def _links(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose whole sets are similar enough.
+
+    Sets are dealt by their ids once; for each pair one of the two travels on to the other.
+    """
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = rows.join(sigs, "sig").groupBy("sig").agg(F.min("digest").alias("digest"))
+    few = sketch.merged(wanted.select("digest").mapInArrow(_digest_sketch, "slice int, counts binary"))
+    sets = texts.mapInArrow(_sets(words, texts.sparkSession.sparkContext.broadcast(few)), "sig long, items binary")
+    sets = sets.groupBy("sig").agg(F.first("items").alias("items"))
     one = sets.select(F.col("sig").alias("a"), F.col("items").alias("one"))
     two = sets.select(F.col("sig").alias("b"), F.col("items").alias("two"))
-    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return written(joined.mapInArrow(_compare(percent), "a long, b long"), "links")
+    both = pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two")
+    return written(both.mapInArrow(_compare(percent), "a long, b long"), "links")
+
+
+def _met(joined: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (sig, sig2, differ) of ``joined`` whose sizes and shapes allow a link."""
+    fits = (F.col("sig") != F.col("sig2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    met = joined.where(fits).select("sig", "sig2").distinct()
+    one = shapes.select("sig", F.col("n").alias("n1"), F.col("shape").alias("s1"))
+    two = shapes.select(F.col("sig").alias("sig2"), "n", F.col("shape").alias("s2"))
+    both = met.join(one, "sig").join(two, "sig2").select("sig", "sig2", "n1", "n", "s1", "s2")
+    return written(both.mapInArrow(_possible(percent), "sig long, sig2 long, differ long"), "met")
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
+
 
+def _likeliest(met: DataFrame) -> DataFrame:
+    """The pair of each ``sig`` with the ``sig2`` whose shape differs least."""
+    best = met.groupBy("sig").agg(F.min(F.struct("differ", "sig2"))["sig2"].alias("sig2"))
+    return _ordered(best)
 
-def _pairs(joined: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of (sig, n, sig2, n2) whose sizes and shapes allow a link, smaller id first."""
-    fits = (F.col("sig") != F.col("sig2")) & (
-        F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+
+def _apart(met: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of ``met`` whose two sets are in different components."""
+    one = label.select(F.col("id").alias("sig"), F.col("label").alias("l1"))
+    two = label.select(F.col("id").alias("sig2"), F.col("label").alias("l2"))
+    return met.join(one, "sig", "left").join(two, "sig2", "left").where(
+        F.coalesce("l1", "sig") != F.coalesce("l2", "sig2")
     )
-    pairs = joined.where(fits).select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
-    one = shapes.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("shape").alias("s1"))
-    two = shapes.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("shape").alias("s2"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2")
-    return written(both.mapInArrow(_possible(percent), "a long, b long"), "pairs")
-
-
-def _sets_of(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(sig, items): the shingles of the sets in ``pairs``, from one text each."""
-    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = written(
-        rows.join(sigs, "sig").groupBy("sig").agg(F.min("digest").alias("digest")), "wanted"
+
+
+def _between_components(
+    lists: DataFrame, label: DataFrame, shapes: DataFrame, percent: int, likeliest: bool
+) -> DataFrame:
+    """Distinct pairs (a, b) of one list, one of them outside the list's main component."""
+    placed = lists.join(label.withColumnRenamed("id", "sig"), "sig", "left").withColumn(
+        "label", F.coalesce("label", "sig")
     )
-    few = sketch.merged(wanted.select("digest").mapInArrow(_digest_sketch, "slice int, counts binary"))
-    shared = texts.sparkSession.sparkContext.broadcast(few)
-    found = texts.mapInArrow(_sets(words, shared), "digest binary, items binary").join(wanted, "digest")
-    return written(found.groupBy("sig").agg(F.first("items").alias("items")), "sets")
+    mixed = (
+        placed.groupBy("key", "label").count().groupBy("key")
+        .agg(
+            F.count("*").alias("labels"), F.max(F.struct("count", "label"))["label"].alias("main"),
+            F.ceil(F.sum("count") / BLOCK_ROWS).cast("int").alias("blocks"),
+        )
+        .where("labels > 1")
+    )
+    # long lists in blocks: a row meets those of its own block and of each other block in groups of their own
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    blocked = placed.join(mixed.select("key", "main", "blocks"), "key").select(
+        "key", "sig", "n", "label", (F.col("label") != F.col("main")).alias("rest"), block.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    grouped = blocked.join(shapes.select("sig", "shape"), "sig").select(
+        "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "sig", "n", "label", "rest", "shape"
+    )
+    return (
+        grouped.repartition(shuffle_partitions(lists.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+        .mapInArrow(_across(percent, likeliest), "a long, b long").distinct()
+    )
 
 
 def link_components(
@@ -361,27 +523,24 @@ def link_components(
     )
     shapes = rows.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("shape").alias("shape"))
     shapes = written(shapes.join(lists.select("sig").distinct(), "sig", "left_semi"), "shapes")
-    pairs = _pairs(lists.join(centers, "key"), shapes, percent)
-    links = _links(pairs, _sets_of(pairs, rows, texts, words), percent)
+    met = _met(lists.join(centers, "key"), _coarse(shapes), percent)
+    pairs = written(_likeliest(met), "pairs")
+    links = _links(pairs, rows, texts, words, percent)
     label = components(links)
 
-    # members outside the main component of their list against its other components
-    placed = lists.join(label.withColumnRenamed("id", "sig"), "sig", "left").withColumn(
-        "label", F.coalesce("label", "sig")
-    )
-    mixed = (
-        placed.groupBy("key", "label").count().groupBy("key")
-        .agg(F.count("*").alias("labels"), F.max(F.struct("count", "label"))["label"].alias("main"))
-        .where("labels > 1")
-    )
-    open_ = written(placed.join(mixed.select("key", "main"), "key"), "open-lists")
-    rest = open_.where("label <> main").select(
-        "key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2")
-    )
-    across = open_.join(rest, "key").where("label <> label2")
-    more = written(_pairs(across, shapes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        label = components(links.unionByName(_links(more, _sets_of(more, rows, texts, words), percent)))
+    sizes = lists.groupBy("key").count().where(F.col("count") > SHORT_LIST).select("key")
+    long_lists = written(lists.join(sizes, "key", "left_semi"), "long-lists")
+    for likeliest in (True, False):
+        apart = _apart(met, label)
+        more = _between_components(long_lists, label, shapes, percent, likeliest).unionByName(
+            _likeliest(apart) if likeliest else _ordered(apart)
+        )
+        more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        pairs = pairs.unionByName(more)
+        links = links.unionByName(_links(more, rows, texts, words, percent))
+        label = components(links)
 
     members = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     members = members.join(label.withColumnRenamed("id", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
