@@ -11,7 +11,7 @@ import re
 import time
 
 from repovigil.plans import registry
-from repovigil.session import local_session
+from repovigil.session import local_session, ship_package
 
 HEADLINE = [
     "detect_framework", "filter_files", "cleaning_stats", "sort_by_path", "render_tree", "lookup_files",
@@ -27,6 +27,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "bench")
+    ship_package(spark)
     # start the engine and read one table, so that the first query is not charged for it
     spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("sum(l_quantity)").collect()
     times = {}
