@@ -15,10 +15,18 @@ from repovigil.llm.queries import WORD_BPE
 from repovigil.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of text that a Python worker gets at once. Workers live through all stages and keep the memory of
+#: their largest batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier holds for good; junk and toxic texts go."""
+    small_batches(spark)
     model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
     return cotrain.keep_good(docs, model, COLUMNS)
 
@@ -28,17 +36,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal texts count once here: the next stage leaves one of them, with its lines.
     """
+    small_batches(spark)
     kept = lines.drop_frequent_lines(docs, keep=("lang", "source"), count_copies=False)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 over five-word shingles make."""
+    small_batches(spark)
     return jaccard.keep_one(docs, COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten words of a benchmark item (or a whole shorter item)."""
+    small_batches(spark)
     found = decontaminate.find_benchmark(
         docs, table(spark, sf_dir, "benchmark"), keep=("lang", "source", "n_chars")
     )
@@ -47,6 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, decoded) of all documents left."""
+    small_batches(spark)
     return bpe.encode(docs, WORD_BPE)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from repovigil.llm.common import id_text, slices
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_CHARS = 64
 _NEVER = 1 << 60
 #: str.split also splits at these four, which are not white space in Unicode.
