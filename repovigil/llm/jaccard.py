@@ -514,10 +514,9 @@ def link_components(
         .mapInArrow(_shared_only, "key long, sig long, n int"),
         "shingle-lists",
     )
-    # two members of each list against all
-    chosen = lists.groupBy("key").agg(
-        *(F.min(F.struct(F.xxhash64("sig", "key", F.lit(k)).alias("h"), "sig", "n")).alias(f"c{k}") for k in range(2))
-    )
+    # two members of each list against all: the smallest and the largest by a hash are never the same
+    by_hash = F.struct(F.xxhash64("sig", "key").alias("h"), "sig", "n")
+    chosen = lists.groupBy("key").agg(F.min(by_hash).alias("c0"), F.max(by_hash).alias("c1"))
     centers = chosen.select("key", F.explode(F.array_distinct(F.array("c0", "c1"))).alias("c")).select(
         "key", F.col("c.sig").alias("sig2"), F.col("c.n").alias("n2")
     )

@@ -297,6 +297,17 @@ def test_jaccard_long_lists_in_blocks(spark, monkeypatch):
         assert 1 < len({c for _, _, c in expected}) < 160
 
 
+def test_jaccard_lists_of_three(spark):
+    """Of each three sets, a linked pair shares one key alone, whose list holds the third set too."""
+    rows = []
+    for g in range(60):
+        both = [f"b{g}-{i}" for i in range(36)]
+        third = both + [f"common{i}" for i in range(20)]
+        rows += [(3 * g, " ".join(both + [f"own{g}-{i}" for i in range(9)])), (3 * g + 1, " ".join(both)), (3 * g + 2, " ".join(third))]
+    out = jaccard.link_components(frame(spark, rows), 1, 80).select("doc_id", "n_shingles", "component_id")
+    assert by_all(map(tuple, out.collect())) == by_all(brute.jaccard_components(rows, 1, 80))
+
+
 def test_shapes_never_part_linked_sets():
     r = np.random.RandomState(2)
     for size in (1, 5, 60, 3000, 40_000):
