@@ -245,7 +245,10 @@ def _describe(words: int):
 
 
 def _keys(words: int, percent: int, light: int, shared):
-    """Second pass: rows (key, salt, sig, n) for the subsets of light and the rarest shingles of heavy sets."""
+    """Second pass: rows (key, salt, sig, n) for the subsets of light and the rarest shingles of heavy sets.
+
+    A list's salt is 0, or from 1 on if the list is dealt into several parts.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -274,7 +277,8 @@ def _keys(words: int, percent: int, light: int, shared):
                     order = load.astype(np.uint64) << np.uint64(32) | own >> np.uint64(32)
                     rare = np.argsort(order, kind="stable")[: n - least_overlap(n, percent) + 1]
                     found.append(own[rare])
-                    parts.append(salt % (1 + load[rare].astype(np.int64) // SALT_ROWS))
+                    dealt = 1 + load[rare].astype(np.int64) // SALT_ROWS
+                    parts.append(np.where(dealt > 1, 1 + salt % dealt, 0))
                 for h, p in zip(found, parts):
                     keys.append(h.view(np.int64))
                     salts.append(p)

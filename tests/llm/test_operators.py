@@ -308,6 +308,16 @@ def test_jaccard_lists_of_three(spark):
     assert by_all(map(tuple, out.collect())) == by_all(brute.jaccard_components(rows, 1, 80))
 
 
+def test_jaccard_lists_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 1)
+    rows = []
+    for g in range(40):
+        words = [f"w{g}-{i}" for i in range(90)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words, "one", f"more{g}"]))]
+    out = jaccard.link_components(frame(spark, rows), 3, 80).select("doc_id", "n_shingles", "component_id")
+    assert by_all(map(tuple, out.collect())) == by_all(brute.jaccard_components(rows, 3, 80))
+
+
 def test_shapes_never_part_linked_sets():
     r = np.random.RandomState(2)
     for size in (1, 5, 60, 3000, 40_000):
