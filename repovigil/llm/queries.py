@@ -8,8 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repovigil.llm import bpe, cotrain, decontaminate, extract, jaccard, lattice, lines, passages, shards, topk
+from repovigil.llm import (
+    bpe,
+    cotrain,
+    decontaminate,
+    extract,
+    fill_middle,
+    jaccard,
+    lattice,
+    lines,
+    passages,
+    resample,
+    shards,
+    topk,
+)
 from repovigil.llm.common import table
+from repovigil.session import written
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -64,6 +78,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(found)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(fill_middle.store(table(spark, sf_dir, "documents")), "frames")
+    return fill_middle.digests(fill_middle.fill_middle(stored))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 # the same words, keys and windows as text functions
 _KEY = "translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SQL_OP6 = f"""
@@ -111,6 +135,55 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 10
 """
 
+_SQL_ID = "coalesce(CAST(doc_id AS VARCHAR), '')"
+_HEX8 = "CAST(('0x' || substr(h, {}, 8)) AS BIGINT)"
+_SQL_OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || {_SQL_ID}) AS h
+           FROM documents),
+     c AS (SELECT *, len(u) AS n, {_HEX8.format(1)} % (len(u) + 1) AS a, {_HEX8.format(9)} % (len(u) + 1) AS b,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                            OR {_HEX8.format(17)} % 100 >= 90 THEN 'plain'
+                       WHEN {_HEX8.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+           FROM d),
+     p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1 : least(a, b)], ''), '') AS prefix,
+                  coalesce(array_to_string(u[least(a, b) + 1 : greatest(a, b)], ''), '') AS middle,
+                  coalesce(array_to_string(u[greatest(a, b) + 1 : n], ''), '') AS suffix
+           FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+# CRC-32 byte by byte with a table that its polynomial gives
+_SQL_OP13 = f"""
+WITH z AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+                       ORDER BY i) AS z FROM range(256) r(i)),
+     d AS (SELECT doc_id, row_number() OVER () AS r, {_SQL_WORDS} AS w FROM documents),
+     f AS (SELECT 0 AS r, w FROM (SELECT unnest({_SQL_WORDS}) AS w FROM benchmark)
+           UNION ALL SELECT r, unnest(w) AS w FROM d),
+     x AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM f),
+     k AS (SELECT w, xor(list_reduce(
+               list_transform(range(1, len(h), 2), lambda i: CAST(('0x' || substr(h, CAST(i AS INTEGER), 2)) AS BIGINT)),
+               lambda c, b: xor(c >> 8, z[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+           FROM x, z),
+     n AS (SELECT bucket, count(*) FILTER (r > 0) AS s, count(*) FILTER (r = 0) AS t FROM f JOIN k USING (w) GROUP BY bucket),
+     g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000)
+                  / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM n),
+     y AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+     q AS (SELECT doc_id, r, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                  sha256('2024:' || {_SQL_ID}) AS h
+           FROM d LEFT JOIN y USING (r)),
+     o AS (SELECT doc_id, r, n_features, weight, weight + CAST(floor(-1000 * ln(-ln(({_HEX8.format(1)} + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM q),
+     e AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+                  10 * count(*) OVER () // 100 AS k FROM o WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END AS rank FROM o LEFT JOIN e USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_passages": op2_passages,
@@ -122,5 +195,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_lattice_score": op9_lattice_score,
     "op10_decontaminate": op10_decontaminate,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_resample": op13_resample,
+}
+SQL = {
+    "op6_line_dedup": _SQL_OP6,
+    "op8_top_k": _SQL_OP8,
+    "op10_decontaminate": _SQL_OP10,
+    "op12_fill_in_middle": _SQL_OP12,
+    "op13_resample": _SQL_OP13,
 }
-SQL = {"op8_top_k": _SQL_OP8, "op6_line_dedup": _SQL_OP6, "op10_decontaminate": _SQL_OP10}
