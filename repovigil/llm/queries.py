@@ -18,6 +18,7 @@ from repovigil.llm import (
     lattice,
     lines,
     passages,
+    pii,
     resample,
     shards,
     topk,
@@ -78,6 +79,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(found)
 
 
+def op11_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(fill_middle.store(table(spark, sf_dir, "documents")), "frames")
     return fill_middle.digests(fill_middle.fill_middle(stored))
@@ -195,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_lattice_score": op9_lattice_score,
     "op10_decontaminate": op10_decontaminate,
+    "op11_contextual_pii": op11_contextual_pii,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_resample": op13_resample,
 }
