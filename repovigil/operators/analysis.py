@@ -16,7 +16,8 @@ from repovigil.functions.skew import salted_lookup
 from repovigil.functions.tables import constant_table
 from repovigil.functions.text import any_of, contains_any, ends_with_any
 from repovigil.operators import rules
-from repovigil.session import materialize
+from repovigil.operators.code import SCRIPT, calls_of_route, code_of
+from repovigil.session import materialize, written
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -30,29 +31,65 @@ def _below(prefix: Column, route: Column) -> Column:
     return F.when(base != "", joined).otherwise(route)
 
 
-def route_hits() -> Column:
-    """Route definitions in one file, as an array; nothing for files that cannot define any."""
-    text, path = F.col("content"), F.col("path")
+def code(path: Column, text: Column) -> Column:
+    """The code that routes and imports are read from; null for files that can hold neither."""
+    useful = F.lower(path).rlike(rules.ROUTE_FILES) & text.rlike(rules.ROUTE_SIGNS)
+    return F.when(useful | contains_any(text, ["import", "require"]), code_of(path, text))
+
+
+def _first_of(array: Column, otherwise: Column) -> Column:
+    return F.when(F.size(array) > 0, array).otherwise(F.array(otherwise))
+
+
+def _with_prefix(name: str, code: Column, route: Column) -> Column:
+    if name not in rules.CLASS_PREFIX:
+        return route
+    return _below(F.regexp_extract(code, rules.CLASS_PREFIX[name], 1), route)
+
+
+def route_hits(code: Column) -> Column:
+    """Route definitions in one file's ``code``, as an array; nothing for files that cannot define any."""
+    path = F.col("path")
 
     def found(name: str, match: Column, method: Column, route: Column) -> Column:
+        method = F.when(F.upper(method) == "ALL", "ANY").otherwise(F.upper(method))
         return F.struct(F.lit(name).alias("rule"), match.alias("at"), method.alias("method"), route.alias("route"))
 
     per_rule = []
     for name, extensions, pattern, method_group, route_group in rules.ROUTE_RULES:
         def row(match: Column, at: Column) -> Column:  # called at once, inside this iteration
-            method = F.upper(F.regexp_extract(match, pattern, method_group)) if method_group else F.lit("ANY")
-            route = F.regexp_extract(match, pattern, route_group)
-            if name in rules.CLASS_PREFIX:
-                route = _below(F.regexp_extract(text, rules.CLASS_PREFIX[name], 1), route)
-            return found(name, at, method, route)
+            method = F.regexp_extract(match, pattern, method_group) if method_group else F.lit("ANY")
+            return found(name, at, method, _with_prefix(name, code, F.regexp_extract(match, pattern, route_group)))
+
+        per_rule.append(F.when(ends_with_any(path, extensions), F.transform(_matches(code, pattern), row)))
+    for name, extensions, pattern, method_group, arguments_group in rules.ANNOTATION_RULES:
+        def rows(match: Column, at: Column) -> Column:  # called at once, inside this iteration
+            arguments = F.regexp_extract(match, pattern, arguments_group)
+            paths = F.regexp_extract_all(
+                F.regexp_extract(arguments, rules.PATH_ARGUMENT, 1), F.lit(rules.QUOTED), F.lit(1)
+            )
+            if method_group:
+                method = F.regexp_extract(match, pattern, method_group)
+            else:
+                said = F.regexp_replace(F.regexp_extract(arguments, rules.METHOD_ARGUMENT, 1), r"RequestMethod\.", "")
+                method = F.when(said != "", said).otherwise("ANY" if name == "request_mapping" else "GET")
+            return F.transform(
+                _first_of(paths, F.lit("")), lambda route: found(name, at, method, _with_prefix(name, code, route))
+            )
 
-        per_rule.append(F.when(ends_with_any(path, extensions), F.transform(_matches(text, pattern), row)))
+        per_rule.append(F.when(ends_with_any(path, extensions), F.flatten(F.transform(_matches(code, pattern), rows))))
+    per_rule.append(
+        F.when(
+            ends_with_any(path, SCRIPT) & code.rlike(r"\.\s*route\s*\("),
+            F.transform(calls_of_route(code), lambda c, at: found("script_route", at, c["method"], c["route"])),
+        )
+    )
     folder = F.regexp_extract(path, rules.HANDLER_FILE, 1)
     per_rule.append(
         F.when(
             path.rlike(rules.HANDLER_FILE),
             F.transform(
-                _matches(text, rules.HANDLER_EXPORT),
+                _matches(code, rules.HANDLER_EXPORT),
                 lambda m, at: found(
                     "handler_export", at, F.regexp_extract(m, rules.HANDLER_EXPORT, 1), F.concat(F.lit("/"), folder)
                 ),
@@ -60,23 +97,104 @@ def route_hits() -> Column:
         )
     )
     hits = F.flatten(F.array_compact(F.array(*per_rule)))
-    return F.when(F.lower(path).rlike(rules.ROUTE_FILES), hits)
+    return F.when(code.isNotNull() & F.lower(path).rlike(rules.ROUTE_FILES), hits)
 
 
 def endpoints_of(rows: DataFrame) -> DataFrame:
     """``route_hits`` as rows, one per method and route."""
     hits = rows.select("repo_id", "ord", "path", F.inline("route_hits"))
-    # a python route names its methods in a list, GET if there is none
-    listed = F.regexp_extract_all("method", F.lit("[A-Z]+"), F.lit(0))
-    methods = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
+    # a route may name its methods in a list
+    listed = _first_of(F.regexp_extract_all("method", F.lit("[A-Z]+"), F.lit(0)), F.lit("GET"))
     return hits.select(
-        "repo_id", "ord", "path", "rule", F.col("at").cast("bigint").alias("pos"), F.explode(F.array_distinct(methods)).alias("method"), "route"
+        "repo_id", "ord", "path", "rule", F.col("at").cast("bigint").alias("pos"), F.explode(F.array_distinct(listed)).alias("method"), "route"
     )
 
 
+def mount_hits(code: Column) -> Column:
+    """Routers that one file's ``code`` puts below a path, ``(at, prefix, modules)``, and whether it listens.
+
+    ``modules`` are the modules that may define the router, likeliest first: what the name is bound to by an
+    import, or the module named on the spot.
+    """
+    path = F.col("path")
+    folder = _folder(path)
+    script = ends_with_any(path, SCRIPT)
+    bound = F.when(script, _script_bindings(folder, code)).when(path.endswith(".py"), _python_bindings(folder, code))
+
+    def modules(router: Column) -> Column:
+        named = F.regexp_extract(router, r"""['"]([^'"]*)""", 1)
+        on_the_spot = F.when(script, _script_module(folder, named)).otherwise(F.translate(named, ".", "/"))
+        name = F.split_part(router, F.lit("."), F.lit(1))
+        known = F.filter(bound, lambda b: b["name"] == name)
+        return F.when(named != "", F.array(on_the_spot)).otherwise(F.flatten(F.transform(known, lambda b: b["modules"])))
+
+    per_rule = []
+    for extensions, pattern, prefix_group, router_pattern, prefix_pattern in rules.MOUNT_RULES:
+        def row(match: Column, at: Column) -> Column:  # called at once, inside this iteration
+            prefix = F.regexp_extract(match, prefix_pattern or pattern, 1 if prefix_pattern else prefix_group)
+            return F.struct(
+                at.alias("at"), prefix.alias("prefix"), modules(F.regexp_extract(match, router_pattern, 1)).alias("modules")
+            )
+
+        per_rule.append(F.when(ends_with_any(path, extensions), F.transform(_matches(code, pattern), row)))
+    mounts = F.flatten(F.array_compact(F.array(*per_rule)))
+    listens = code.rlike(r"\.\s*listen\s*\(")
+    return F.when(
+        code.rlike(rules.MOUNT_SIGNS),
+        F.struct(F.filter(mounts, lambda m: F.size(m["modules"]) > 0).alias("mounts"), listens.alias("listens")),
+    )
+
+
+def mounts_of(rows: DataFrame) -> DataFrame:
+    """``(repo_id, ord, listens, prefix, target)``: file ``ord`` puts the routes of file ``target`` below ``prefix``."""
+    hits = rows.select("repo_id", "ord", "mount_hits.listens", F.posexplode("mount_hits.mounts").alias("nth", "m"))
+    wanted = hits.select("repo_id", "ord", "listens", "nth", "m.prefix", F.posexplode("m.modules").alias("choice", "module"))
+    best = wanted.join(_modules(rows), ["repo_id", "module"]).groupBy("repo_id", "ord", "listens", "nth", "prefix")
+    target = best.agg(F.min_by("target", "choice").alias("target")).filter(F.col("ord") != F.col("target"))
+    return target.select("repo_id", "ord", "listens", "prefix", "target").distinct()
+
+
+def mount_endpoints(endpoints: DataFrame, mounts: DataFrame, max_depth: int = rules.MAX_TRACE_DEPTH) -> DataFrame:
+    """Endpoints with the paths that their files are mounted below put before their routes.
+
+    Prefixes go from files that listen, or that nobody mounts, along the mounts, until no file gets a new one.
+    A file that is mounted several times has its routes below each path; one chain of mounts passes no file
+    twice, so cycles end. A file that only a cycle mounts keeps its own routes.
+    """
+    mounts = materialize(mounts)
+    targets = mounts.select("repo_id", F.col("target").alias("ord")).distinct()
+    parents = mounts.select("repo_id", "ord", "listens").distinct()
+    start = F.lit("").alias("prefix"), F.array("ord").alias("chain")
+    listening = parents.filter("listens").select("repo_id", "ord", *start)
+    unmounted = parents.filter("NOT listens").join(targets, ["repo_id", "ord"], "left_anti").select("repo_id", "ord", *start)
+    frontier, below = listening.unionByName(unmounted), listening
+    for _ in range(max_depth):
+        steps = frontier.withColumnRenamed("prefix", "upper").join(mounts, ["repo_id", "ord"])
+        steps = steps.filter(~F.array_contains("chain", F.col("target"))).select(
+            "repo_id", F.col("target").alias("ord"), _below(F.col("upper"), F.col("prefix")).alias("prefix"),
+            F.array_append("chain", F.col("target")).alias("chain"),
+        )
+        frontier = materialize(steps.distinct())
+        if frontier.isEmpty():
+            break
+        below = below.unionByName(frontier)
+    prefixes = below.select("repo_id", "ord", "prefix").distinct()
+    full = F.when(F.col("prefix").isNull(), F.col("route")).otherwise(_below(F.col("prefix"), F.col("route")))
+    return endpoints.join(prefixes, ["repo_id", "ord"], "left").withColumn("route", full).drop("prefix").select(endpoints.columns)
+
+
 def discover_endpoints(files: DataFrame) -> DataFrame:
-    """``(repo_id, ord, path, rule, pos, method, route)``, one row per method and route."""
-    return endpoints_of(files.select("repo_id", "ord", "path", route_hits().alias("route_hits")))
+    """``(repo_id, ord, path, rule, pos, method, route)``, one row per method and route.
+
+    Routes are read from code without comments, over any number of lines, and stand below the paths
+    that their files are mounted at.
+    """
+    read = files.select("repo_id", "ord", "path", code(F.col("path"), F.col("content")).alias("code"))
+    facts = read.select(
+        "repo_id", "ord", "path", route_hits(F.col("code")).alias("route_hits"), mount_hits(F.col("code")).alias("mount_hits")
+    )
+    facts = written(facts, "routes")
+    return mount_endpoints(endpoints_of(facts), mounts_of(facts))
 
 
 def route_entity(route: Column) -> Column:
@@ -129,39 +247,92 @@ def _resolve(folder: Column, spec: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def imported_modules() -> Column:
-    """Module names a file imports, resolved against its folder."""
-    path, text = F.col("path"), F.col("content")
-    folder = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
-    script = F.when(
-        ends_with_any(path, [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"]),
+def _folder(path: Column) -> Column:
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+
+
+def _script_module(folder: Column, spec: Column) -> Column:
+    return _without_extension(
+        F.when(
+            spec.startswith(rules.SOURCE_ALIAS),
+            F.concat(F.lit(rules.SOURCE_FOLDER + "/"), F.substr(spec, F.lit(len(rules.SOURCE_ALIAS) + 1))),
+        ).otherwise(_resolve(folder, spec))
+    )
+
+
+def _binding(name: Column, modules: Column) -> Column:
+    return F.struct(name.alias("name"), modules.alias("modules"))
+
+
+def _script_bindings(folder: Column, code: Column) -> Column:
+    """Names that imports of own modules bind, with the module."""
+    per_rule = []
+    for pattern, names_group, module_group in rules.SCRIPT_BINDING:
+        def rows(match: Column) -> Column:  # called at once, inside this iteration
+            module = _script_module(folder, F.regexp_extract(match, pattern, module_group))
+            names = F.split(F.translate(F.regexp_extract(match, pattern, names_group), "{}", "  "), ",")
+            last = F.transform(names, lambda n: F.regexp_extract(n, r"([\w$]+)\s*$", 1))
+            return F.transform(F.filter(last, lambda n: n != ""), lambda n: _binding(n, F.array(module)))
+
+        per_rule.append(F.flatten(F.transform(_matches(code, pattern), rows)))
+    return F.concat(*per_rule)
+
+
+def _python_package(folder: Column, match: Column) -> Column:
+    """The module that a ``from`` statement names."""
+    dots, base = (F.regexp_extract(match, rules.PYTHON_FROM, k) for k in (1, 2))
+    near = F.when(dots != "", _resolve(folder, F.repeat(F.lit("../"), F.greatest(F.length(dots) - 1, F.lit(0))))).otherwise(F.lit(""))
+    return F.array_join(F.filter(F.array(near, F.translate(base, ".", "/")), lambda p: p != ""), "/")
+
+
+def _inside(package: Column, name: Column) -> Column:
+    return F.regexp_replace(F.concat(package, F.lit("/"), name), "^/", "")
+
+
+def _python_bindings(folder: Column, code: Column) -> Column:
+    """Names that Python imports bind; a name may be a module of the package or be defined in it."""
+    def from_import(match: Column) -> Column:
+        package = _python_package(folder, match)
+        return F.transform(
+            _listed(F.regexp_extract(match, rules.PYTHON_FROM, 3)),
+            lambda n: _binding(n["alias"], F.array(_inside(package, n["name"]), package)),
+        )
+
+    modules = F.flatten(
         F.transform(
-            F.regexp_extract_all(text, F.lit(rules.SCRIPT_IMPORT), F.lit(1)),
-            lambda spec: _without_extension(
-                F.when(
-                    spec.startswith(rules.SOURCE_ALIAS),
-                    F.concat(F.lit(rules.SOURCE_FOLDER + "/"), F.substr(spec, F.lit(len(rules.SOURCE_ALIAS) + 1))),
-                ).otherwise(_resolve(folder, spec))
+            F.regexp_extract_all(code, F.lit(rules.PYTHON_MODULES), F.lit(1)),
+            lambda names: F.transform(
+                _listed(names), lambda n: _binding(n["alias"], F.array(F.translate(n["name"], ".", "/")))
             ),
+        )
+    )
+    return F.concat(F.flatten(F.transform(_matches(code, rules.PYTHON_FROM), from_import)), modules)
+
+
+def imported_modules(code: Column) -> Column:
+    """Module names that a file's ``code`` imports, resolved against its folder."""
+    path = F.col("path")
+    folder = _folder(path)
+    script = F.when(
+        ends_with_any(path, SCRIPT),
+        F.transform(
+            F.regexp_extract_all(code, F.lit(rules.SCRIPT_IMPORT), F.lit(1)), lambda spec: _script_module(folder, spec)
         ),
     )
+
     def from_import(match: Column) -> Column:
-        dots, base, names = (F.regexp_extract(match, rules.PYTHON_FROM, k) for k in (1, 2, 3))
-        near = _resolve(folder, F.repeat(F.lit("../"), F.greatest(F.length(dots) - 1, F.lit(0))))
-        package = F.array_join(
-            F.filter(F.array(F.when(dots != "", near).otherwise(F.lit("")), F.translate(base, ".", "/")), lambda p: p != ""), "/"
-        )
-        inside = F.transform(_listed(names), lambda n: F.regexp_replace(F.concat(package, F.lit("/"), n), "^/", ""))
+        package = _python_package(folder, match)
+        inside = F.transform(_listed(F.regexp_extract(match, rules.PYTHON_FROM, 3)), lambda n: _inside(package, n["name"]))
         return F.array_append(inside, package)
 
     python = F.when(
         path.endswith(".py"),
         F.concat(
-            F.flatten(F.transform(_matches(text, rules.PYTHON_FROM), from_import)),
+            F.flatten(F.transform(_matches(code, rules.PYTHON_FROM), from_import)),
             F.flatten(
                 F.transform(
-                    F.regexp_extract_all(text, F.lit(rules.PYTHON_MODULES), F.lit(1)),
-                    lambda names: F.transform(_listed(names), lambda n: F.translate(n, ".", "/")),
+                    F.regexp_extract_all(code, F.lit(rules.PYTHON_MODULES), F.lit(1)),
+                    lambda names: F.transform(_listed(names), lambda n: F.translate(n["name"], ".", "/")),
                 )
             ),
         ),
@@ -170,7 +341,7 @@ def imported_modules() -> Column:
         ends_with_any(path, [".java", ".kt"]),
         F.flatten(
             F.transform(
-                F.regexp_extract_all(text, F.lit(rules.JVM_IMPORT), F.lit(1)),
+                F.regexp_extract_all(code, F.lit(rules.JVM_IMPORT), F.lit(1)),
                 # a member may be imported: its class is one name shorter
                 lambda name: F.array(F.translate(name, ".", "/"), F.translate(F.regexp_replace(name, r"\.[^.]*$", ""), ".", "/")),
             )
@@ -180,22 +351,32 @@ def imported_modules() -> Column:
 
 
 def _listed(names: Column) -> Column:
-    """Names of a comma-separated list, without their aliases."""
-    return F.filter(F.transform(F.split(names, ","), lambda n: F.regexp_extract(n, r"^[ \t]*([A-Za-z0-9_.]+)", 1)), lambda n: n != "")
+    """``(name, alias)`` of each name in a comma-separated list, in brackets or not; no alias is the name itself."""
+    word = r"^[\s(\\]*([A-Za-z_][\w.]*)(?:\s+as\s+(\w+))?"
 
+    def one(item: Column) -> Column:
+        name, alias = (F.regexp_extract(item, word, k) for k in (1, 2))
+        return F.struct(name.alias("name"), F.when(alias != "", alias).otherwise(name).alias("alias"))
 
-def edges_of(rows: DataFrame) -> DataFrame:
-    """``imported_modules`` met with the paths they name."""
-    wanted = rows.select("repo_id", "ord", F.explode("imported_modules").alias("module"))
+    return F.filter(F.transform(F.split(names, ","), one), lambda n: n["name"] != "")
+
+
+def _modules(rows: DataFrame) -> DataFrame:
+    """``(repo_id, module, target)``: the names that a file can be imported by."""
     plain = _without_extension(F.col("path"))
     names = F.array_distinct(F.array(plain, F.regexp_replace(plain, rules.JVM_ROOT, "")))
-    modules = (
+    return (
         rows.select("repo_id", F.explode(names).alias("module"), F.col("ord").alias("target"))
         .groupBy("repo_id", "module")
         .agg(F.min("target").alias("target"))
     )
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """``imported_modules`` met with the paths they name."""
+    wanted = rows.select("repo_id", "ord", F.explode("imported_modules").alias("module"))
     return (
-        wanted.join(modules, ["repo_id", "module"])
+        wanted.join(_modules(rows), ["repo_id", "module"])
         .filter(F.col("ord") != F.col("target"))
         .select("repo_id", "ord", "target")
         .distinct()
@@ -204,7 +385,8 @@ def edges_of(rows: DataFrame) -> DataFrame:
 
 def import_edges(files: DataFrame) -> DataFrame:
     """``(repo_id, ord, target)``: file ``ord`` imports file ``target`` of the same repository."""
-    return edges_of(files.select("repo_id", "ord", "path", imported_modules().alias("imported_modules")))
+    read = files.select("repo_id", "ord", "path", code(F.col("path"), F.col("content")).alias("code"))
+    return edges_of(read.select("repo_id", "ord", "path", imported_modules(F.col("code")).alias("imported_modules")))
 
 
 def trace_imports(edges: DataFrame, flows: DataFrame, max_depth: int = rules.MAX_TRACE_DEPTH) -> DataFrame:

@@ -1,7 +1,7 @@
 """Rule tables of the rule-driven analysis: routes, risky patterns, controls and their evidence.
 
-Patterns are valid in Java regex and RE2 alike (no lookaround, no backreference) and never match
-across a line break, so that testing a whole file equals testing its lines.
+Patterns of risky lines and of evidence are valid in Java regex and RE2 alike (no lookaround, no
+backreference) and never match across a line break, so that testing a whole file equals testing its lines.
 """
 
 from __future__ import annotations
@@ -15,33 +15,65 @@ CONTROL_CAP = {"critical": 10, "high": 10, "medium": 7, "low": 4}
 # Files that may define routes.
 ROUTE_FILES = r"(?:route|controller|handler|api|app|server|main|index|urls|views)[^/]*(?:/|$)"
 
+# What a text holds if it may define or mount routes at all.
+ROUTE_SIGNS = (
+    r"\.\s*(?:route|use|register|get|post|put|patch|delete|options|head|all)\s*[(<]|@[A-Z][a-z]+|path\("
+    r"|_rule\(|_router?\(|_blueprint\(|function"
+)
+_SCRIPT = [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"]
+# The inside of a call, with strings and one more pair of brackets in it.
+_INSIDE = r"""(?:[^()"'`]|"[^"\n]*+"|'[^'\n]*+'|`[^`]*+`|\((?:[^()"']|"[^"\n]*+"|'[^'\n]*+')*+\))*+"""
+QUOTED = r"""['"`]([^'"`\n]*)['"`]"""
+
+# Route patterns are searched in code without comments (``operators/code.py``), so they may span lines.
 # (name, extensions, pattern, method group, route group); group 0 means "not in the text".
 ROUTE_RULES = [
-    ("script_router", [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"],
-     r"""(?:app|[rR]outer|server|fastify)\.(get|post|put|patch|delete)\([ \t]*['"`]([^'"`\n]*)['"`]""", 1, 2),
-    ("script_chain", [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"],
-     r"""\.route\([ \t]*['"`]([^'"`\n]*)['"`][ \t]*\)\.(get|post|put|patch|delete)\(""", 2, 1),
-    ("script_object", [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"],
-     r"""\.route\([ \t]*\{[^}\n]*method:[ \t]*['"]([A-Z]+)['"][^}\n]*url:[ \t]*['"]([^'"\n]*)['"]""", 1, 2),
-    ("decorator", [".ts"], r"""@(Get|Post|Put|Patch|Delete)\([ \t]*(?:['"]([^'"\n]*)['"])?""", 1, 2),
-    ("mapping", [".java", ".kt"],
-     r"""@(Get|Post|Put|Patch|Delete)Mapping(?:\([ \t]*(?:(?:value|path)[ \t]*=[ \t]*)?"([^"\n]*)\")?""", 1, 2),
-    ("request_mapping", [".java", ".kt"],
-     r"""@RequestMapping\([ \t]*(?:(?:value|path)[ \t]*=[ \t]*)?"([^"\n]*)"[^)\n]*RequestMethod\.([A-Z]+)""", 2, 1),
-    ("python_route", [".py"],
-     r"""@[a-z_]+\.route\([ \t]*['"]([^'"\n]*)['"](?:,[ \t]*methods[ \t]*=[ \t]*\[([^\]\n]*)\])?""", 2, 1),
-    ("python_verb", [".py"], r"""@[a-z_]+\.(get|post|put|patch|delete)\([ \t]*['"]([^'"\n]*)['"]""", 1, 2),
-    ("python_path", [".py"], r"""[^a-z_.A-Z](?:re_)?path\([ \t]*r?['"]([^'"\n]*)['"]""", 0, 1),
+    ("script_router", _SCRIPT,
+     r"(?:app|[rR]outer|server|fastify)\s*\.\s*(get|post|put|patch|delete|options|head|all)\s*(?:<[^<>()]*>\s*)?\(\s*" + QUOTED, 1, 2),
+    ("python_verb", [".py"],
+     r"""@[A-Za-z_][\w.]*\.(get|post|put|patch|delete|options|head)\(\s*(?:(?:path|rule)\s*=\s*)?[rfb]?['"]([^'"\n]*)['"]""", 1, 2),
+    ("python_path", [".py"], r"""(?<![\w.])(?:re_)?path\(\s*r?['"]([^'"\n]*)['"]\s*,\s*+(?!include\b)""", 0, 1),
+]
+# Annotations whose arguments name a path, several paths, or methods: (name, extensions, pattern, method group,
+# arguments group). Paths stand alone or under one of the keys.
+ANNOTATION_RULES = [
+    ("decorator", [".ts"], rf"@(Get|Post|Put|Patch|Delete|Options|Head|All)\s*\(({_INSIDE})\)", 1, 2),
+    ("mapping", [".java", ".kt"], rf"@(Get|Post|Put|Patch|Delete)Mapping\b(?:\s*\(({_INSIDE})\))?", 1, 2),
+    ("request_mapping", [".java", ".kt"], rf"@RequestMapping\s*\(({_INSIDE})\)(?![^;{{}}]*\b(?:class|interface)\b)", 0, 1),
+    ("python_route", [".py"], rf"(?:@[A-Za-z_][\w.]*\.(?:api_)?route|\.add_(?:url_rule|api_route))\(({_INSIDE})\)", 0, 1),
 ]
-# The path that a class puts before the routes of its methods, by rule.
+PATH_ARGUMENT = (
+    r"""(?:^\s*|\b(?:value|path|rule)\s*=\s*)"""
+    r"""([\[{](?:\s*,?\s*(?:"[^"\n]*"|'[^'\n]*'|`[^`]*`))*+\s*,?\s*[\]}]|[rf]?"[^"\n]*"|[rf]?'[^'\n]*'|`[^`]*`)"""
+)
+METHOD_ARGUMENT = r"""\bmethods?\s*=\s*([\[({][^\])}]*[\])}]|[\w.]+)"""
+# The path that a class puts before the routes of its methods, by rule; a file that calls itself a router may
+# have a path of its own too.
 CLASS_PREFIX = {
-    "decorator": r"""@Controller\([ \t]*['"]([^'"\n]*)['"]""",
-    "mapping": r"""@RequestMapping\([ \t]*(?:(?:value|path)[ \t]*=[ \t]*)?"([^"\n]*)"[ \t]*\)""",
+    "decorator": r"""@Controller\s*\(\s*(?:\{[^}]*\bpath\s*:\s*)?['"`]([^'"`\n]*)['"`]""",
+    "mapping": rf"""@RequestMapping\s*\(\s*(?:[^()]*\b(?:value|path)\s*=\s*)?\{{?\s*"([^"\n]*)"{_INSIDE}\)(?=[^;{{}}]*\b(?:class|interface)\b)""",
+    "python_verb": r"""(?:APIRouter|Blueprint)\([^()]*?\b(?:url_)?prefix\s*=\s*['"]([^'"\n]*)['"]""",
 }
 CLASS_PREFIX["request_mapping"] = CLASS_PREFIX["mapping"]
+CLASS_PREFIX["python_route"] = CLASS_PREFIX["python_verb"]
 # A route handler file names its route by its own directory.
 HANDLER_FILE = r"(?:^|/)app/(?:(.*)/)?route\.(?:ts|js)$"
-HANDLER_EXPORT = r"export[ \t]+(?:async[ \t]+)?function[ \t]+(GET|POST|PUT|PATCH|DELETE)[ \t]*\("
+HANDLER_EXPORT = r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD)\s*\("
+
+MOUNT_SIGNS = r"\.\s*(?:use|register)\s*\(|include_router|register_blueprint|include\("
+# Routers put below a path: (extensions, pattern, prefix group, router group, prefix pattern over the match).
+# A router is a name bound by an import, a module named on the spot, or a member of one.
+MOUNT_RULES = [
+    (_SCRIPT, rf"(?:app|[rR]outer|server)\s*\.\s*use\(\s*(?:['\"`]([^'\"`\n]*)['\"`]\s*,)?{_INSIDE}\)", 1, r"""([\w$.]+|require\(\s*['"][^'"]*['"]\s*\)(?:\.\w+)?)\s*\)$""", None),
+    (_SCRIPT, rf"(?:app|fastify|server|instance)\s*\.\s*register\({_INSIDE}\)", 0, r"""register\(\s*((?:require|import)\(\s*['"][^'"]*['"]\s*\)(?:\.\w+)?|[\w$.]+)""", r"""prefix\s*:\s*['"`]([^'"`\n]*)['"`]"""),
+    ([".py"], rf"\.(?:include_router|register_blueprint)\({_INSIDE}\)", 0, r"(?:include_router|register_blueprint)\(\s*([\w.]+)", r"""\b(?:url_)?prefix\s*=\s*['"]([^'"\n]*)['"]"""),
+    ([".py"], r"""(?<![\w.])(?:re_)?path\(\s*r?['"]([^'"\n]*)['"]\s*,\s*include\(\s*['"]?([\w.]+)['"]?""", 1, r"""include\(\s*(['"]?[\w.]+)['"]?$""", None),
+]
+# Names that imports bind: (pattern, names group, module group).
+SCRIPT_BINDING = [
+    (r"""import\s+(?:type\s+)?((?:[\w$]+\s*,\s*)?(?:[\w$]+|\*\s*as\s+[\w$]+|\{[^}]*\}))\s*from\s*['"]((?:\.|@/)[^'"\n]*)['"]""", 1, 2),
+    (r"""(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?(?:require|import)\(\s*['"]((?:\.|@/)[^'"\n]*)['"]""", 1, 2),
+]
 
 # Sensitivity, first match wins; everything else is medium.
 SENSITIVITY_RULES = [
@@ -51,10 +83,14 @@ SENSITIVITY_RULES = [
 ]
 
 # Relative module names and those below the alias of the source folder.
-SCRIPT_IMPORT = r"""(?:from[ \t]+|require\([ \t]*|import\([ \t]*|import[ \t]+)['"]((?:\.|@/)[^'"\n]*)['"]"""
+SCRIPT_IMPORT = r"""(?:from\s*|require\(\s*|import\(\s*|import\s*)['"]((?:\.|@/)[^'"\n]*)['"]"""
 SOURCE_ALIAS = "@/"
 SOURCE_FOLDER = "src"
-PYTHON_FROM = r"(?:^|\n)[ \t]*from[ \t]+(\.*)([A-Za-z0-9_.]*)[ \t]+import[ \t]+\(?[ \t]*([A-Za-z_][A-Za-z0-9_, \t]*)"
+# Names stand on one line, which a backslash may continue, or in brackets on any number of lines.
+PYTHON_FROM = (
+    r"(?:^|\n)[ \t]*from[ \t]+(\.*)([A-Za-z0-9_.]*)[ \t]+import[ \t]*"
+    r"(\([^()]*+\)|(?:[ \t]|\\\n)*+[A-Za-z_](?:[A-Za-z0-9_, \t]++|\\\n)*+)"
+)
 PYTHON_MODULES = r"(?:^|\n)[ \t]*import[ \t]+([A-Za-z_][A-Za-z0-9_., \t]*)"
 JVM_IMPORT = r"(?:^|\n)[ \t]*import[ \t]+(?:static[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*)"
 # Folders that a class name does not mention.

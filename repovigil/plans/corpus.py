@@ -45,25 +45,59 @@ SELECT repo_id, doc_id AS ord,
   CASE WHEN doc_id % 6 = 5 THEN '.py' WHEN doc_id % 6 = 3 THEN '.java' ELSE '.ts' END AS path,
   CASE doc_id % 6
     WHEN 0 THEN 'import x from ''../services/m' || CAST(doc_id + 20 AS STRING) || '''' || chr(10)
+      || '// app.get(''/dead'', h)' || chr(10) || 'const help = "try app.get(''/help'')"' || chr(10)
       || 'router.get(''/users/:id'', auth, h)' || chr(10) || 'router.post("/users", validate(body), h)' || chr(10)
-      || CASE doc_id % 4 WHEN 0 THEN 'router.post("/auth/login", rateLimit({max: 5}), h)'
-                         ELSE 'app.delete(''/orders/:oid'', h)' END || chr(10)
+      || CASE doc_id % 4 WHEN 0 THEN 'router.post("/auth/login", rateLimit({max: 5}), h)' || chr(10)
+           || 'fastify.route({' || chr(10) || '  url: ''/bulk'',' || chr(10) || '  schema: { body: { url: ''/no'' } },' || chr(10)
+           || '  method: [''GET'', "POST"],' || chr(10) || '  handler: h })'
+                         ELSE 'app.delete(' || chr(10) || '  ''/orders/:oid'',' || chr(10) || '  h)' || chr(10)
+           || 'router.route(''/tags'')' || chr(10) || '  .get(list({ a: 1 }), h)' || chr(10) || '  .put(h)' END || chr(10)
     WHEN 1 THEN 'const s = require("../handlers/m' || CAST(doc_id + 20 AS STRING) || '")' || chr(10)
       || '@Get(''health'')' || chr(10) || 'db.query("SELECT * FROM t WHERE id = " + req.params.id)' || chr(10)
       || 'app.use(helmet())' || chr(10)
     WHEN 2 THEN 'import y from ''../lib/m' || CAST(doc_id + 20 AS STRING) || '.ts''' || chr(10)
       || 'const h = await bcrypt.hash(password, 12)' || chr(10) || 'logger.info("audit")' || chr(10)
     WHEN 3 THEN CASE WHEN doc_id % 4 = 3 THEN '@RestController' || chr(10) ELSE '' END || '@GetMapping("/payments/{id}")' || chr(10) || '@PostMapping("/payments")' || chr(10)
+      || '/* @DeleteMapping("/dead") */' || chr(10) || '@PutMapping(' || chr(10) || '  value = {"/payments/{id}", "/payments/bulk"})' || chr(10)
       || 'MessageDigest.getInstance("MD5")' || chr(10)
     WHEN 4 THEN 'import z from ''./m' || CAST(doc_id + 60 AS STRING) || '''' || chr(10)
       || 'el.innerHTML = req.body.html' || chr(10) || 'try { run() } catch (e) { res.status(500) }' || chr(10)
     ELSE '@app.route("/uploads/<int:uid>", methods=["GET", "PUT"])' || chr(10)
       || 'os.system("convert " + request.args.get("f"))' || chr(10) || 'data = pickle.loads(request.data)' || chr(10)
-      || 'from src.controllers import m' || CAST(doc_id + 20 AS STRING) || chr(10)
+      || '# @app.get("/dead")' || chr(10) || '@app.post(' || chr(10) || '    "/uploads"' || chr(10) || ')' || chr(10)
+      || 'from src.controllers import (' || chr(10) || '    m' || CAST(doc_id + 20 AS STRING) || ',  # next' || chr(10) || ')' || chr(10)
   END || text AS content
 FROM (SELECT source AS repo_id, doc_id, text FROM documents) d
 """
 
+# Services whose routers are mounted below paths, by way of several files, with a cycle.
+MOUNT_CORPUS = """
+SELECT repo_id, n * 10 + k AS ord, 'svc' || CAST(n AS STRING) || '/' || CASE k
+    WHEN 0 THEN 'server.ts' WHEN 1 THEN 'api/index.ts' WHEN 2 THEN 'items/routes.ts' WHEN 3 THEN 'health/router.js'
+    WHEN 4 THEN 'admin/routes.js' WHEN 5 THEN 'plugin/routes.js' WHEN 6 THEN 'main.py' WHEN 7 THEN 'views/users.py'
+    WHEN 8 THEN 'views/orders.py' ELSE 'urls.py' END AS path,
+  CASE k
+    WHEN 0 THEN 'import {' || chr(10) || '  items,' || chr(10) || '  users as people,' || chr(10) || '} from ''./api''' || chr(10)
+      || 'import health from "./health/router"' || chr(10) || 'const admin = require(''./admin/routes'')' || chr(10)
+      || '// app.use(''/dead'', admin)' || chr(10) || 'app.use(helmet())' || chr(10) || 'app.use(''/api'', auth(), items)' || chr(10)
+      || 'app.use(' || chr(10) || '  ''/health'',' || chr(10) || '  health' || chr(10) || ')' || chr(10) || 'app.use(admin)' || chr(10)
+      || 'app.get(''/version'', h)' || chr(10) || 'app.listen(3000)' || chr(10)
+    WHEN 1 THEN 'import { list } from ''../items/routes''' || chr(10) || 'router.use(''/v' || CAST(n % 3 AS STRING) || ''', list)' || chr(10)
+      || 'router.use(''/again'', require(''../server''))' || chr(10) || 'router.get(''/'', h)' || chr(10)
+    WHEN 2 THEN 'router.get(''/items/:id'', h)' || chr(10) || 'router.post(''/items'', h)' || chr(10)
+    WHEN 3 THEN 'router.all(''/'', h)' || chr(10)
+    WHEN 4 THEN 'fastify.register(require(''../plugin/routes''), { prefix: ''/p'' })' || chr(10) || 'router.options(''/o'', h)' || chr(10)
+    WHEN 5 THEN 'fastify.route({ handler: h, url: ''/q'', method: ''HEAD'' })' || chr(10)
+    WHEN 6 THEN 'from svc' || CAST(n AS STRING) || '.views import (' || chr(10) || '    users,  # people' || chr(10) || '    orders as o,' || chr(10) || ')' || chr(10)
+      || 'app.include_router(' || chr(10) || '    users.router,' || chr(10) || '    prefix="/u"' || chr(10) || ')' || chr(10)
+      || 'app.register_blueprint(o.bp, url_prefix=''/o'')' || chr(10)
+      || 'urlpatterns = [path(''d/'', include(''svc' || CAST(n AS STRING) || '.urls'')), path(''x/'', v)]' || chr(10)
+    WHEN 7 THEN 'router = APIRouter(prefix=''/p'')' || chr(10) || '@router.get(' || chr(10) || '    ''/{id}''' || chr(10) || ')' || chr(10)
+    WHEN 8 THEN '@bp.route(''/x'', methods=[''POST''])' || chr(10)
+    ELSE 'urlpatterns = [path(''y/'', v)]' || chr(10) END AS content
+FROM (SELECT source AS repo_id, doc_id AS n FROM documents) d, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS parts(k)
+"""
+
 MODEL_RESPONSES = """
 SELECT conv_id, turn, text || chr(10) || CASE (conv_id + turn) % 6
   WHEN 0 THEN 'Sure: {"status":"completed","result":{"flow_name":"F' || CAST(conv_id AS STRING) || '","required_controls":[],"recommended_controls":[],"references":[]}} bye'
@@ -103,6 +137,7 @@ FROM events
 VIEWS = {
     "files_corpus": FILES_CORPUS,
     "app_corpus": APP_CORPUS,
+    "mount_corpus": MOUNT_CORPUS,
     "model_responses": MODEL_RESPONSES,
     "control_results": CONTROL_RESULTS,
     "vulnerabilities": VULNERABILITIES,

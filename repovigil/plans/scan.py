@@ -20,13 +20,15 @@ def file_facts(files: DataFrame) -> DataFrame:
     """One narrow row per file; files that every framework drops only give framework signals."""
     path = F.col("path")
     wanted = clean.kept_by_some(path)
-    return files.select(
+    code = F.when(wanted, analysis.code(path, F.col("content"))).alias("code")
+    return files.select("repo_id", "ord", "path", "content", code).select(
         "repo_id",
         "ord",
         "path",
         F.when(detect.may_signal(), detect.signal_hits()).alias("signal_hits"),
-        F.when(wanted, analysis.route_hits()).alias("route_hits"),
-        F.when(wanted, analysis.imported_modules()).alias("imported_modules"),
+        analysis.route_hits(F.col("code")).alias("route_hits"),
+        analysis.mount_hits(F.col("code")).alias("mount_hits"),
+        analysis.imported_modules(F.col("code")).alias("imported_modules"),
         F.when(wanted, analysis.evidence_hits()).alias("evidence_hits"),
         F.when(wanted, analysis.vulnerability_hits()).alias("vulnerability_hits"),
     )
@@ -44,7 +46,7 @@ def scan(files: DataFrame, forced: DataFrame | None = None) -> dict[str, DataFra
     )
     kept = judged.filter("kept")
 
-    flows = materialize(analysis.group_crud_flows(analysis.endpoints_of(kept)))
+    flows = materialize(analysis.group_crud_flows(analysis.mount_endpoints(analysis.endpoints_of(kept), analysis.mounts_of(kept))))
     checklists = analysis.build_checklists(flows)
     traces = analysis.trace_imports(analysis.edges_of(kept), flows)
     evidence = kept.select("repo_id", "ord", "path", F.inline("evidence_hits"))

@@ -207,3 +207,67 @@ def test_a_repository_without_findings_scores_100(files):
     out = scan(files([("bare", "a.ts", "const x = 1"), ("dropped", "a.bin", "?")]))
     assert {(r.run_id, r.score, r.grade) for r in out["scores"].collect()} == {("bare", 100, "A"), ("dropped", 100, "A")}
     assert {(r.repo_id, r.total, r.included) for r in out["stats"].collect()} >= {("bare", 1, 1)}
+
+
+def _routes(rows):
+    return sorted((r.path, r.method, r.route) for r in analysis.discover_endpoints(rows).collect())
+
+
+def test_routes_over_lines_and_in_any_order(files):
+    rows = files([
+        ("r", "src/routes/a.ts", "router.post(\n  '/users/:id',\n  h)\napp.all('/any', h); server.options(\"/o\", h)\n"
+         "fastify.route({\n  url: '/u', schema: { method: 'X', url: '/no' },\n  method: ['GET', 'PUT'], handler: (r) => { r.get('/in') } })\n"
+         "fastify.route({ handler: h, url: '/v', method: \"DELETE\" })\n"
+         "router\n  .route('/w')\n  .all(auth({ a: [1] }))\n  .get(h)\n  .patch(h);\napp.route('/lone')\nother.get('/not/chained')"),
+        ("r", "src/routes/dead.ts", "// app.get('/dead')\n/* router.put('/dead')\n*/\nconst s = \"use app.get('/quoted')\", t = `\napp.get('/t')`, u = 'http://x' // app.post('/dead')\napp.get('/live', /['\"]/)"),
+        ("r", "api/V.java", '@GetMapping({"/a", "/b/{id:[0-9]+}"})\nvoid a();\n@PostMapping(produces = "x", path = "/c")\nvoid c();\n// @GetMapping("/dead")\n@RequestMapping(value = "/m", method = {RequestMethod.GET, RequestMethod.PUT})\nvoid m();\n@RequestMapping("/plain")\nvoid p();'),
+        ("r", "api/v.py", '@app.post(\n    "/x",\n)\n@bp.route(\n  "/y", endpoint="(", methods=[\n "PUT",\n "DELETE"])\napp.add_url_rule("/z", view_func=f(1))\n# @app.get("/dead")\n"""\n@app.get("/doc")\n"""\n@app.head("/h")  # note'),
+        ("r", "src/x.controller.ts", "@Controller({ path: 'things', version: '1' })\nclass X { @Get(['a', 'b']) f() {} @All() g() {} }"),
+    ])
+    assert _routes(rows) == [
+        ("api/V.java", "ANY", "/plain"), ("api/V.java", "GET", "/a"), ("api/V.java", "GET", "/b/{id:[0-9]+}"), ("api/V.java", "GET", "/m"),
+        ("api/V.java", "POST", "/c"), ("api/V.java", "PUT", "/m"),
+        ("api/v.py", "DELETE", "/y"), ("api/v.py", "GET", "/z"), ("api/v.py", "HEAD", "/h"), ("api/v.py", "POST", "/x"), ("api/v.py", "PUT", "/y"),
+        ("src/routes/a.ts", "ANY", "/any"), ("src/routes/a.ts", "ANY", "/w"), ("src/routes/a.ts", "DELETE", "/v"), ("src/routes/a.ts", "GET", "/u"),
+        ("src/routes/a.ts", "GET", "/w"), ("src/routes/a.ts", "OPTIONS", "/o"), ("src/routes/a.ts", "PATCH", "/w"), ("src/routes/a.ts", "POST", "/users/:id"),
+        ("src/routes/a.ts", "PUT", "/u"), ("src/routes/dead.ts", "GET", "/live"),
+        ("src/x.controller.ts", "ANY", "/things"), ("src/x.controller.ts", "GET", "/things/a"), ("src/x.controller.ts", "GET", "/things/b"),
+    ]
+
+
+def test_long_and_broken_code_ends(files):
+    rows = files([
+        ("r", "src/routes/a.ts", "app.get('/a')\n" + "'" * 9999 + "\n" + '"' + '\\"' * 30_000 + "\n/*" + "*" * 50_000),
+        ("r", "src/routes/b.ts", "(" * 20_000 + ".route({" + "{" * 5_000 + " url: '/no'"),
+        ("r", "src/routes/c.ts", "app.use(" + "x, " * 20_000 + "\napp.get('/c')"),
+        ("r", "api/d.py", "from a import (" + "b,\n" * 20_000 + ")\n" + '"""' * 3 + "\n@app.get('/d')\n"),
+    ])
+    assert _routes(rows) == [("api/d.py", "GET", "/d"), ("src/routes/a.ts", "GET", "/a"), ("src/routes/c.ts", "GET", "/c")]
+
+
+def test_mounted_routers(files):
+    rows = files([
+        ("r", "server.js", "import users, { admin as boss } from './users/routes'\nimport * as v2 from '@/v2/routes'\napp.use('/u', users)\napp.use('/boss/', limit(3), boss)\napp.use('/v2', v2.router)\napp.use(cors())\napp.get('/', h)\napp.listen(1)"),
+        ("r", "users/routes.js", "router.get('/:id', h)\nrouter.use('/more', require('./more/routes'))\nrouter.use('/up', require('../server'))"),
+        ("r", "users/more/routes.js", "router.get('/x', h)\nrouter.use('/again', require('../routes'))"),
+        ("r", "src/v2/routes.ts", "fastify.get('/y', h)"),
+        ("r", "ring/a/routes.js", "router.use('/b', require('../b/routes'))\nrouter.get('/a', h)"),
+        ("r", "ring/b/routes.js", "router.use('/a', require('../a/routes'))\nrouter.get('/b', h)"),
+        ("q", "users/routes.js", "router.get('/other', h)"),
+    ])
+    assert _routes(rows) == [
+        ("ring/a/routes.js", "GET", "/a"), ("ring/b/routes.js", "GET", "/b"),
+        ("server.js", "GET", "/"),
+        ("src/v2/routes.ts", "GET", "/v2/y"),
+        ("users/more/routes.js", "GET", "/boss/more/x"), ("users/more/routes.js", "GET", "/u/more/x"),
+        ("users/routes.js", "GET", "/boss/:id"), ("users/routes.js", "GET", "/other"), ("users/routes.js", "GET", "/u/:id"),
+    ]
+
+
+def test_imports_in_brackets(files):
+    rows = files([
+        ("r", "pkg/main.py", "from pkg.views import (  # both\n    users,\n    orders as o,  # renamed\n)\nfrom . import \\\n    tools\n# from pkg import dead\nimport pkg.last as l"),
+        ("r", "pkg/views/users.py", ""), ("r", "pkg/views/orders.py", ""), ("r", "pkg/tools.py", ""), ("r", "pkg/dead.py", ""), ("r", "pkg/last.py", ""),
+        ("r", "a.ts", "import {\n  b,\n  c\n} from\n  './b'\n// import x from './dead'\n/* require('./dead') */"), ("r", "b.ts", ""), ("r", "dead.ts", ""),
+    ])
+    assert {(r.ord, r.target) for r in analysis.import_edges(rows).collect()} == {(0, 1), (0, 2), (0, 3), (0, 5), (6, 7)}
