@@ -8,15 +8,18 @@ the scan are small hit rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repovigil.functions.skew import salted_lookup
 from repovigil.functions.tables import constant_table
-from repovigil.functions.text import any_of, contains_any, ends_with_any
+from repovigil.functions.text import contains_any, ends_with_any
 from repovigil.operators import rules
 from repovigil.operators.code import SCRIPT, calls_of_route, code_of
+from repovigil.operators.needles import needle_bits, protective, risky
+from repovigil.operators.order import ordered_positions
 from repovigil.session import materialize, written
 
 
@@ -389,31 +392,76 @@ def import_edges(files: DataFrame) -> DataFrame:
     return edges_of(read.select("repo_id", "ord", "path", imported_modules(F.col("code")).alias("imported_modules")))
 
 
-def trace_imports(edges: DataFrame, flows: DataFrame, max_depth: int = rules.MAX_TRACE_DEPTH) -> DataFrame:
-    """``(repo_id, entry, ord, depth)``: files reached from each entry file, each once, entry at 0.
+@dataclass
+class Traces:
+    """Files reached from entry files, 64 entries of a repository to a row.
+
+    ``blocks``: ``(repo_id, block, ord, depth, bits)``, the entries of a block that reach file ``ord`` first at
+    ``depth``. ``entries``: ``(repo_id, block, names)``, the entry of each bit.
+    """
+
+    blocks: DataFrame
+    entries: DataFrame
+
+    def rows(self) -> DataFrame:
+        """``(repo_id, entry, ord, depth)``."""
+        return self.unpacked(self.blocks).select("repo_id", "entry", "ord", "depth")
+
+    def unpacked(self, blocks: DataFrame) -> DataFrame:
+        """One row per set bit, with its ``entry``."""
+        named = blocks.join(self.entries, ["repo_id", "block"])
+        set_bits = F.filter("names", lambda n: F.col("bits").bitwiseAND(n["bit"]) != 0)
+        return named.select("*", F.explode(F.transform(set_bits, lambda n: n["entry"])).alias("entry")).drop("names", "bits")
+
+
+def trace_blocks(edges: DataFrame, flows: DataFrame, max_depth: int = rules.MAX_TRACE_DEPTH) -> Traces:
+    """Breadth first from all entry files at once, entries as bits of one number.
 
-    Breadth first; every round joins the frontier with the edges and drops what was seen. Rounds
-    are written to the shared checkpoint folder, so a lost executor repeats one round at most.
+    Edges are shuffled once and keep their partitions; a round moves the frontier's numbers to them and adds
+    what it reached by ``bit_or``, combined per task, to what was seen. So a file that everything imports is
+    one row per block of 64 entries, and cycles end when no bit is new. Rounds are written to the shared
+    checkpoint folder, so a lost executor repeats one round at most.
     """
-    edges = materialize(edges)
-    frontier = materialize(
-        flows.select("repo_id", F.col("ord").alias("entry"), "ord").distinct().withColumn("depth", F.lit(0))
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = materialize(edges.repartition(parts, "repo_id", "ord"))
+    numbered = ordered_positions(flows.select("repo_id", "ord").distinct(), ["repo_id"], [F.asc("ord")], "nth")
+    entries = materialize(
+        numbered.select(
+            "repo_id", F.col("ord").alias("entry"), F.expr("nth div 64").alias("block"),
+            F.expr("shiftleft(1L, CAST(nth % 64 AS INT))").alias("bit"),
+        )
+    )
+    state = entries.select(
+        "repo_id", "block", F.col("entry").alias("ord"), F.col("bit").alias("fresh"), F.col("bit").alias("seen")
     )
-    seen = frontier
+    frontier = state.select("repo_id", "block", "ord", F.lit(0).alias("depth"), F.col("fresh").alias("bits"))
+    blocks = frontier
     for depth in range(1, max_depth):
-        step = (
-            frontier.select("repo_id", "entry", "ord")
-            .join(edges, ["repo_id", "ord"])
-            .select("repo_id", "entry", F.col("target").alias("ord"))
-            .distinct()
-            .join(seen, ["repo_id", "entry", "ord"], "left_anti")
-            .withColumn("depth", F.lit(depth))
+        step = frontier.join(edges, ["repo_id", "ord"]).select(
+            "repo_id", "block", F.col("target").alias("ord"), F.col("bits").alias("fresh"), F.lit(0).cast("bigint").alias("seen")
+        )
+        before = state.select("repo_id", "block", "ord", F.lit(0).cast("bigint").alias("fresh"), "seen")
+        both = step.unionAll(before).groupBy("repo_id", "block", "ord").agg(
+            F.bit_or("fresh").alias("reached"), F.bit_or("seen").alias("had")
         )
-        frontier = materialize(step)
+        state = materialize(
+            both.select(
+                "repo_id", "block", "ord", F.col("reached").bitwiseAND(F.bitwise_not("had")).alias("fresh"),
+                F.col("reached").bitwiseOR(F.col("had")).alias("seen"),
+            )
+        )
+        frontier = state.filter("fresh <> 0").select("repo_id", "block", "ord", F.lit(depth).alias("depth"), F.col("fresh").alias("bits"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        blocks = blocks.unionAll(frontier)
+    names = entries.groupBy("repo_id", "block").agg(F.collect_list(F.struct("bit", "entry")).alias("names"))  # 64 at most
+    return Traces(blocks, names)
+
+
+def trace_imports(edges: DataFrame, flows: DataFrame, max_depth: int = rules.MAX_TRACE_DEPTH) -> DataFrame:
+    """``(repo_id, entry, ord, depth)``: files reached from each entry file, each once, entry at 0."""
+    return trace_blocks(edges, flows, max_depth).rows()
 
 
 def _control(entry: tuple) -> Column:
@@ -485,13 +533,13 @@ def _hit(lines: Column, index: Column) -> Column:
     return F.struct((index + 1).cast("bigint").alias("line_no"), _snippet(lines, index).alias("snippet"))
 
 
-def vulnerability_hits() -> Column:
-    """Risky lines of one file, as an array."""
+def vulnerability_hits(bits: Column) -> Column:
+    """Risky lines of one file, as an array; ``bits`` are its ``needle_bits``."""
     text = F.col("content")
 
     def rows(lines: Column) -> Column:
         per_rule = []
-        for kind, severity, needed, pattern, title, advice in rules.VULNERABILITY_RULES:
+        for k, (kind, severity, _, pattern, title, advice) in enumerate(rules.VULNERABILITY_RULES):
             def row(index: Column) -> Column:  # called at once, inside this iteration
                 hit = _hit(lines, index)
                 return F.struct(
@@ -500,25 +548,26 @@ def vulnerability_hits() -> Column:
                 )
 
             found = F.transform(_passing(lines, lambda line: line.rlike(pattern)), row)
-            per_rule.append(F.when(contains_any(text, needed) & text.rlike(pattern), found))
+            per_rule.append(F.when(risky(bits, k) & text.rlike(pattern), found))
         return F.flatten(F.array_compact(F.array(*per_rule)))
 
-    some = any_of([contains_any(text, rule[2]) for rule in rules.VULNERABILITY_RULES])
+    some = bits.bitwiseAND((1 << len(rules.VULNERABILITY_RULES)) - 1) != 0
     return F.when(some, _with_lines(text, rows))
 
 
 def scan_vulnerabilities(files: DataFrame) -> DataFrame:
     """``(repo_id, ord, path, line_no, type, severity, title, snippet, recommendation)``."""
-    return files.select("repo_id", "ord", "path", F.inline(vulnerability_hits()))
+    searched = files.select("repo_id", "ord", "path", "content", needle_bits(F.col("content")).alias("bits"))
+    return searched.select("repo_id", "ord", "path", F.inline(vulnerability_hits(F.col("bits"))))
 
 
-def evidence_hits() -> Column:
-    """The first line of one file that shows each control, as an array."""
+def evidence_hits(bits: Column) -> Column:
+    """The first line of one file that shows each control, as an array; ``bits`` are its ``needle_bits``."""
     text = F.col("content")
 
     def rows(lines: Column) -> Column:
         per_control = []
-        for entry in rules.CONTROLS:
+        for k, entry in enumerate(rules.CONTROLS):
             cid, signs = entry[0], entry[-1]
 
             def row(index: Column) -> Column:  # called at once, inside this iteration
@@ -526,27 +575,31 @@ def evidence_hits() -> Column:
                 return F.struct(F.lit(cid).alias("control_id"), hit["line_no"].alias("line_no"), hit["snippet"].alias("snippet"))
 
             first = F.slice(_passing(lines, lambda line: contains_any(line, signs)), 1, 1)
-            per_control.append(F.when(contains_any(text, signs), F.transform(first, row)))
+            per_control.append(F.when(protective(bits, k), F.transform(first, row)))
         return F.flatten(F.array_compact(F.array(*per_control)))
 
-    some = any_of([contains_any(text, entry[-1]) for entry in rules.CONTROLS])
+    some = F.shiftright(bits, len(rules.VULNERABILITY_RULES)) != 0
     return F.when(some, _with_lines(text, rows))
 
 
 def control_evidence(files: DataFrame) -> DataFrame:
     """``(repo_id, ord, path, control_id, line_no, snippet)``: first line that shows a control."""
-    return files.select("repo_id", "ord", "path", F.inline(evidence_hits()))
+    searched = files.select("repo_id", "ord", "path", "content", needle_bits(F.col("content")).alias("bits"))
+    return searched.select("repo_id", "ord", "path", F.inline(evidence_hits(F.col("bits"))))
 
 
-def match_controls(controls: DataFrame, traces: DataFrame, evidence: DataFrame, frameworks: DataFrame) -> DataFrame:
+def match_controls(controls: DataFrame, traces: Traces, evidence: DataFrame, frameworks: DataFrame) -> DataFrame:
     """Each flow's control as implemented (file, snippet), auto_handled (by what) or missing (severity).
 
     Evidence is scanned once per file and met with the flows that reached the file; nearest file
     first. Evidence in a flow wins over the framework's default.
     """
     spark = controls.sparkSession
-    nearest = traces.join(evidence.select("repo_id", "ord", "control_id"), ["repo_id", "ord"])
-    nearest = nearest.groupBy("repo_id", "entry", "control_id").agg(F.min(F.struct("depth", "ord"))["ord"].alias("ord"))
+    evidence = written(evidence, "evidence")
+    shown = traces.blocks.join(evidence.select("repo_id", "ord", "control_id"), ["repo_id", "ord"])
+    nearest = traces.unpacked(shown).groupBy("repo_id", "entry", "control_id").agg(
+        F.min(F.struct("depth", "ord"))["ord"].alias("ord")
+    )
     # one line of each control and file: only the nearest file's text is fetched
     reached = nearest.join(evidence, ["repo_id", "ord", "control_id"]).select(
         "repo_id", "entry", "control_id", F.struct("path", "snippet").alias("evidence")

@@ -55,7 +55,7 @@ def _matched(spark, sf):
     app, flows = _app(spark, sf), _flows(spark, sf)
     controls = analysis.checklist_controls(analysis.build_checklists(flows))
     frameworks = detect.detect_frameworks(app)
-    traces = analysis.trace_imports(analysis.import_edges(app), flows)
+    traces = analysis.trace_blocks(analysis.import_edges(app), flows)
     return analysis.match_controls(controls, traces, analysis.control_evidence(app), frameworks)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from repovigil.functions.severity import finding_level
 from repovigil.functions.skew import salted_lookup
 from repovigil.operators import analysis, clean, detect, report
+from repovigil.operators.needles import needle_bits
 from repovigil.session import materialize, written
 
 
@@ -21,7 +22,8 @@ def file_facts(files: DataFrame) -> DataFrame:
     path = F.col("path")
     wanted = clean.kept_by_some(path)
     code = F.when(wanted, analysis.code(path, F.col("content"))).alias("code")
-    return files.select("repo_id", "ord", "path", "content", code).select(
+    bits = needle_bits(F.when(wanted, F.col("content"))).alias("bits")
+    return files.select("repo_id", "ord", "path", "content", code, bits).select(
         "repo_id",
         "ord",
         "path",
@@ -29,8 +31,8 @@ def file_facts(files: DataFrame) -> DataFrame:
         analysis.route_hits(F.col("code")).alias("route_hits"),
         analysis.mount_hits(F.col("code")).alias("mount_hits"),
         analysis.imported_modules(F.col("code")).alias("imported_modules"),
-        F.when(wanted, analysis.evidence_hits()).alias("evidence_hits"),
-        F.when(wanted, analysis.vulnerability_hits()).alias("vulnerability_hits"),
+        analysis.evidence_hits(F.col("bits")).alias("evidence_hits"),
+        analysis.vulnerability_hits(F.col("bits")).alias("vulnerability_hits"),
     )
 
 
@@ -48,13 +50,13 @@ def scan(files: DataFrame, forced: DataFrame | None = None) -> dict[str, DataFra
 
     flows = materialize(analysis.group_crud_flows(analysis.mount_endpoints(analysis.endpoints_of(kept), analysis.mounts_of(kept))))
     checklists = analysis.build_checklists(flows)
-    traces = analysis.trace_imports(analysis.edges_of(kept), flows)
+    traces = analysis.trace_blocks(analysis.edges_of(kept), flows)
     evidence = kept.select("repo_id", "ord", "path", F.inline("evidence_hits"))
     controls = materialize(
         analysis.match_controls(analysis.checklist_controls(checklists), traces, evidence, frameworks)
     )
     risky = kept.select("repo_id", "ord", "path", F.inline("vulnerability_hits"))
-    reached = traces.join(flows.select("repo_id", F.col("ord").alias("entry"), "flow_name"), ["repo_id", "entry"])
+    reached = traces.rows().join(flows.select("repo_id", F.col("ord").alias("entry"), "flow_name"), ["repo_id", "entry"])
     vulnerabilities = materialize(risky.join(reached.select("repo_id", "ord", "flow_name"), ["repo_id", "ord"]))
 
     outcomes = report.outcomes(
