@@ -29,7 +29,7 @@ QUOTED = r"""['"`]([^'"`\n]*)['"`]"""
 # (name, extensions, pattern, method group, route group); group 0 means "not in the text".
 ROUTE_RULES = [
     ("script_router", _SCRIPT,
-     r"(?:app|[rR]outer|server|fastify)\s*\.\s*(get|post|put|patch|delete|options|head|all)\s*(?:<[^<>()]*>\s*)?\(\s*" + QUOTED, 1, 2),
+     r"(?=[arRsf])(?:app|[rR]outer|server|fastify)\s*+\.\s*+(get|post|put|patch|delete|options|head|all)\s*(?:<[^<>()]*>\s*)?\(\s*" + QUOTED, 1, 2),
     ("python_verb", [".py"],
      r"""@[A-Za-z_][\w.]*\.(get|post|put|patch|delete|options|head)\(\s*(?:(?:path|rule)\s*=\s*)?[rfb]?['"]([^'"\n]*)['"]""", 1, 2),
     ("python_path", [".py"], r"""(?<![\w.])(?:re_)?path\(\s*r?['"]([^'"\n]*)['"]\s*,\s*+(?!include\b)""", 0, 1),
@@ -60,12 +60,12 @@ CLASS_PREFIX["python_route"] = CLASS_PREFIX["python_verb"]
 HANDLER_FILE = r"(?:^|/)app/(?:(.*)/)?route\.(?:ts|js)$"
 HANDLER_EXPORT = r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD)\s*\("
 
-MOUNT_SIGNS = r"\.\s*(?:use|register)\s*\(|include_router|register_blueprint|include\("
+MOUNT_SIGNS = r"(?=[.ri])(?:\.\s*(?:use|register)\s*\(|register_blueprint|include(?:_router)?\()"
 # Routers put below a path: (extensions, pattern, prefix group, router group, prefix pattern over the match).
 # A router is a name bound by an import, a module named on the spot, or a member of one.
 MOUNT_RULES = [
-    (_SCRIPT, rf"(?:app|[rR]outer|server)\s*\.\s*use\(\s*(?:['\"`]([^'\"`\n]*)['\"`]\s*,)?{_INSIDE}\)", 1, r"""([\w$.]+|require\(\s*['"][^'"]*['"]\s*\)(?:\.\w+)?)\s*\)$""", None),
-    (_SCRIPT, rf"(?:app|fastify|server|instance)\s*\.\s*register\({_INSIDE}\)", 0, r"""register\(\s*((?:require|import)\(\s*['"][^'"]*['"]\s*\)(?:\.\w+)?|[\w$.]+)""", r"""prefix\s*:\s*['"`]([^'"`\n]*)['"`]"""),
+    (_SCRIPT, rf"(?=[arRs])(?:app|[rR]outer|server)\s*+\.\s*+use\(\s*(?:['\"`]([^'\"`\n]*)['\"`]\s*,)?{_INSIDE}\)", 1, r"""([\w$.]+|require\(\s*['"][^'"]*['"]\s*\)(?:\.\w+)?)\s*\)$""", None),
+    (_SCRIPT, rf"(?=[afsi])(?:app|fastify|server|instance)\s*+\.\s*+register\({_INSIDE}\)", 0, r"""register\(\s*((?:require|import)\(\s*['"][^'"]*['"]\s*\)(?:\.\w+)?|[\w$.]+)""", r"""prefix\s*:\s*['"`]([^'"`\n]*)['"`]"""),
     ([".py"], rf"\.(?:include_router|register_blueprint)\({_INSIDE}\)", 0, r"(?:include_router|register_blueprint)\(\s*([\w.]+)", r"""\b(?:url_)?prefix\s*=\s*['"]([^'"\n]*)['"]"""),
     ([".py"], r"""(?<![\w.])(?:re_)?path\(\s*r?['"]([^'"\n]*)['"]\s*,\s*include\(\s*['"]?([\w.]+)['"]?""", 1, r"""include\(\s*(['"]?[\w.]+)['"]?$""", None),
 ]
