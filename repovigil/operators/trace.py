@@ -49,7 +49,7 @@ def start_state(trees: DataFrame, model: str, system: str) -> DataFrame:
     )
 
 
-def _read_requests(parsed: DataFrame, files: DataFrame) -> DataFrame:
+def _read_requests(parsed: DataFrame, files: DataFrame | lookup.TextStore) -> DataFrame:
     """Replies to the next file (1) and, for tracing, to the head of the queue (2) per repository."""
     wanted = F.array_compact(
         F.array(
@@ -71,7 +71,9 @@ def _read_requests(parsed: DataFrame, files: DataFrame) -> DataFrame:
     return replies.groupBy("repo_id").agg(reply(1), reply(2))  # at most two rows per repository
 
 
-def trace_step(state: DataFrame, files: DataFrame, responder: Responder, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def trace_step(
+    state: DataFrame, files: DataFrame | lookup.TextStore, responder: Responder, max_depth: int = MAX_DEPTH
+) -> tuple[DataFrame, DataFrame]:
     """One round: ``(next state, log)``. ``log`` has the parsed answer of every active row."""
     answered = materialize(responder(state.filter(F.col("status") == "active")))
     parsed = parse_trace(answered.withColumnRenamed("status", "_state")).withColumnRenamed("status", "status_now")
@@ -151,20 +153,22 @@ def trace_rounds(
     state = start_state(trees, model, system)
     ends, logs = fresh_dir(spark, "trace-ends"), fresh_dir(spark, "trace-log")
     log_schema = None
-    # every round reads the paths again, never more of the text than the files asked for
+    # texts are clustered once; a round moves requests, not texts
+    store = lookup.TextStore.of(files)
     while True:
         active = materialize(state.filter(F.col("status") == "active"))
         if active.isEmpty():
             break
-        state, log = trace_step(active, files, responder, max_depth)
+        state, log = trace_step(active, store, responder, max_depth)
         log_schema = log.schema
         log.write.mode("append").parquet(logs)
         state.filter(F.col("status") != "active").write.mode("append").parquet(ends)
     if log_schema is None:  # no repository at all
-        empty, log = trace_step(active, files, responder, max_depth)
+        empty, log = trace_step(active, store, responder, max_depth)
         empty.write.parquet(ends)
         log.write.parquet(logs)
         log_schema = log.schema
+    store.forget()
     final = spark.read.schema(active.schema).parquet(ends)
     logs = spark.read.schema(log_schema).parquet(logs)
     profiles = (

@@ -56,8 +56,16 @@ def similar_files(spark, sf):
     return lookup.similar_files(_requests(spark, sf), view(spark, sf, "files_corpus"))
 
 
+def file_messages_stored(spark, sf):
+    """The same messages from texts that were clustered once."""
+    return _messages(lookup.file_messages(_requests(spark, sf), lookup.TextStore.of(view(spark, sf, "files_corpus"))))
+
+
 def file_messages(spark, sf):
-    out = lookup.file_messages(_requests(spark, sf), view(spark, sf, "files_corpus"))
+    return _messages(lookup.file_messages(_requests(spark, sf), view(spark, sf, "files_corpus")))
+
+
+def _messages(out):
     return out.select("repo_id", "request_id", "found", F.md5("message").alias("message_md5"))
 
 
@@ -126,4 +134,6 @@ QUERIES = {
     "lookup_files": lookup_files,
     "similar_files": similar_files,
     "file_messages": file_messages,
+    "file_messages_stored": file_messages_stored,
 }
+SQL["file_messages_stored"] = SQL["file_messages"]

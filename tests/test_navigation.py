@@ -144,3 +144,64 @@ def test_intermediate_tables_can_be_removed(spark, tmp_path):
     kept, session._MADE[:] = session._MADE[:-1], session._MADE[-1:]  # only this one: others still in use
     assert session.remove_intermediate(spark) == 1 and not os.path.exists(folder)
     session._MADE[:] = kept
+
+
+def test_similar_files_random(spark, files):
+    """Segments shorter and longer than a piece, components of many pieces, empty ones, two repositories."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abÄ.") for _ in range(n))
+    paths = ["/".join(word(rng.choice([0, 1, 2, 3, 5, 9, 40])) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    wanted = ["/".join(word(rng.choice([1, 2, 3, 4, 6])) for _ in range(rng.randint(1, 2))) for _ in range(120)] + ["", "/", paths[0].upper()]
+    other = [("q", "/".join(word(3) for _ in range(2)), "") for _ in range(50)]
+    got = lookup.similar_files(ask(spark, [(w, False) for w in wanted]), files([("r", p, "") for p in paths] + other))
+    found = {}
+    for r in got.orderBy("request_id", "ord").collect():
+        found.setdefault(r.request_id, []).append(r.path)
+    for i, want in enumerate(wanted):
+        parts = want.lower().split("/")
+        assert found.get(i, []) == [p for p in paths if any(s in p.lower() for s in parts)][:5], want
+
+
+def exchanges(df):
+    """Output columns of every exchange of the plan before it runs."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text, [line for line in text.split("\n") if "Exchange" in line]
+
+
+def test_store_answers_as_lookup(spark, files):
+    rng = random.Random(9)
+    rows = [(rng.choice("rq"), rng.choice(["", "./", "/"]) + rng.choice("abcdef") + ".ts", rng.choice(["", f"text {i}"])) for i in range(60)]
+    wanted = ask(spark, [(rng.choice(["", "./", "/", "//"]) + rng.choice("abcdefg") + ".ts", i % 3 == 0) for i in range(80)])
+    frame = files(rows)
+    store = lookup.TextStore.of(frame)
+    assert store.texts.count() == len({(r, p.removeprefix(".").removeprefix("/")) for r, p, _ in rows})
+    for direct, stored in ((lookup.lookup_files(wanted, frame), store.lookup(wanted)), (lookup.file_messages(wanted, frame), lookup.file_messages(wanted, store))):
+        assert stored.columns == direct.columns
+        assert sorted(map(str, stored.collect())) == sorted(map(str, direct.collect()))
+    store.forget()
+    assert not spark.catalog.tableExists(store.name)
+
+
+def test_store_never_moves_texts(spark, files):
+    """Without broadcasts: texts are scanned by bucket, only requests are exchanged and sorted."""
+    store = lookup.TextStore.of(files([("r", f"f{i}.ts", "x" * 50) for i in range(200)]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = spark.range(200_000).selectExpr("if(id >= 0, 'r', 'q') AS repo_id", "id AS request_id", "concat('f', id, '.ts') AS file")
+        out = store.lookup(wanted)
+        plan, moved = exchanges(out)
+        assert plan.count("SortMergeJoin") == 1 and len(moved) == 1 and "Bucketed: true" in plan
+        below = plan[plan.index("Exchange"):]
+        assert "content" not in below.split("FileScan")[0]
+        assert out.filter("found").count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        store.forget()
+
+
+def test_unmatched_texts_stay_outside_the_exchange(spark, files):
+    rows = files([("r", f"f{i}.ts", "x") for i in range(3000)])
+    wanted = ask(spark, [(f"f{i}.ts", False) for i in range(0, 3000, 300)])
+    assert lookup.lookup_files(wanted, rows).filter("found").count() == 10
+    assert lookup.lookup_files(wanted, files([("q", "a", "x")])).filter("found").count() == 0
