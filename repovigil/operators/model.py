@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repovigil.operators.turns import SLICE, TREE, with_trees
+
+#: A responder that sets ``reads_messages`` to False is asked without the conversation.
 Responder = Callable[[DataFrame], DataFrame]
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -54,7 +57,11 @@ def replay(responses: DataFrame, keys: list[str] | None = None) -> Responder:
     by = keys or ["prompt_hash"]
     known = responses.groupBy(*by).agg(F.min("text").alias("text"))
     if keys:
-        return lambda prompts: _answered(prompts.join(known, keys, "left"))
+        def by_keys(prompts: DataFrame) -> DataFrame:
+            return _answered(prompts.join(known, keys, "left"))
+
+        by_keys.reads_messages = False
+        return by_keys
 
     def by_hash(prompts: DataFrame) -> DataFrame:
         return _answered(
@@ -66,27 +73,39 @@ def replay(responses: DataFrame, keys: list[str] | None = None) -> Responder:
     return by_hash
 
 
-def live(call: Callable[[str, str, list[dict]], str], parallelism: int) -> Responder:
+def live(
+    call: Callable[[str, str, list[dict]], str], parallelism: int, trees: DataFrame | None = None, per_slice: int = SLICE
+) -> Responder:
     """Call ``call(model, system, messages)`` once per row on ``parallelism`` partitions.
 
     A raised error becomes ``call_error``; callers materialize the result before they use it
-    twice, so that a retried plan does not ask the model again.
+    twice, so that a retried plan does not ask the model again. With ``trees(repo_id, part_no, text)``
+    messages that name their repository's tree get it in the task that makes the call, ``per_slice`` rows of one
+    repository at a time.
     """
+    def answers(batch: pd.DataFrame, tree: str | None = None) -> pd.DataFrame:
+        texts, errors = [], []
+        for model, system, messages in zip(batch["model"], batch["system"], batch["messages"]):
+            said = [dict(m) for m in messages]
+            if tree is not None:
+                said = [{**m, "content": m["content"].replace(TREE, tree)} for m in said]
+            try:
+                texts.append(call(model, system, said))
+                errors.append(None)
+            except Exception as error:  # a failed call is data, not a failed task
+                texts.append(None)
+                errors.append(str(error) or NO_ANSWER)
+        return batch.assign(text=pd.Series(texts, batch.index, object), call_error=pd.Series(errors, batch.index, object))
+
     def respond(prompts: DataFrame) -> DataFrame:
         schema = f"{_ddl(prompts)}, text string, call_error string"
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                texts, errors = [], []
-                for model, system, messages in zip(batch["model"], batch["system"], batch["messages"]):
-                    try:
-                        texts.append(call(model, system, [dict(m) for m in messages]))
-                        errors.append(None)
-                    except Exception as error:  # a failed call is data, not a failed task
-                        texts.append(None)
-                        errors.append(str(error) or NO_ANSWER)
-                yield batch.assign(text=texts, call_error=errors)
+                yield answers(batch)
 
+        if trees is not None:
+            return with_trees(prompts, trees, answers, schema, per_slice)
         return prompts.repartition(parallelism).mapInPandas(ask, schema)
 
     return respond

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repovigil.functions.skew import salted_lookup
+from repovigil.operators.turns import TREE
+
 # ---------------------------------------------------------------------------------------------
 # The request formats. ``{name}`` stands for a value.
 # ---------------------------------------------------------------------------------------------
@@ -122,22 +125,25 @@ def _flow_values() -> dict[str, Column]:
     return {c: F.col(c) for c in ("flow_name", "purpose", "entry_point", "sensitivity_level")}
 
 
-def render_checklist_prompts(flows: DataFrame, frameworks: DataFrame, trees: DataFrame) -> DataFrame:
-    """Flows (``repo_id``, profile fields) with ``prompt``."""
-    facts = frameworks.select("repo_id", "framework", "confidence", "indicators").join(
-        trees.select("repo_id", "tree"), "repo_id"
-    )
+def render_checklist_prompts(flows: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """Flows (``repo_id``, profile fields) with ``prompt``.
+
+    The prompt holds ``turns.TREE`` where its repository's tree belongs; ``turns.with_trees`` and ``model.live``
+    put the tree there in the task that calls the model.
+    """
+    facts = frameworks.select("repo_id", "framework", "confidence", "indicators")
     prompt = render(
         CHECKLIST_PROMPT,
         **_flow_values(),
         framework=F.col("framework"),
         confidence=F.col("confidence"),
         indicators=F.array_join("indicators", ", "),
-        tree=F.col("tree"),
+        tree=F.lit(TREE),
         input_types=_list(F.col("input_types"), "None specified"),
         output_types=_list(F.col("output_types"), "None specified"),
     )
-    return flows.join(facts, "repo_id").select(*flows.columns, prompt.alias("prompt"))
+    joined = salted_lookup(flows, facts, "repo_id", ["flow_name"])
+    return joined.select(*flows.columns, prompt.alias("prompt"))
 
 
 def render_inspection_prompts(inputs: DataFrame) -> DataFrame:
@@ -166,6 +172,7 @@ def trace_prompt(tree: Column, processed: Column) -> Column:
 
 
 def render_trace_prompts(trees: DataFrame, processed: DataFrame) -> DataFrame:
-    """``trees(repo_id, tree)`` with ``prompt``; ``processed(repo_id, endpoints array)``."""
+    """``prompt`` of each repository of ``trees``, with ``turns.TREE`` for its tree; ``processed(repo_id, endpoints array)``."""
     done = F.coalesce("endpoints", F.array().cast("array<string>"))
-    return trees.join(processed, "repo_id", "left").select("repo_id", trace_prompt(F.col("tree"), done).alias("prompt"))
+    repos = trees.select("repo_id").distinct()
+    return repos.join(processed, "repo_id", "left").select("repo_id", trace_prompt(F.lit(TREE), done).alias("prompt"))

@@ -133,21 +133,21 @@ def render_tree(files: DataFrame, max_depth: int = TREE_DEPTH) -> DataFrame:
     return ordered_positions(lines, ["repo_id"], [F.col("keys")], "line_no").select("repo_id", "line_no", "line")
 
 
-def tree_text(lines: DataFrame) -> DataFrame:
-    """``(repo_id, tree, tree_chars)``: the lines of each tree as one text.
+def _joined(column: str, order: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]), "")
+
+
+def tree_parts(lines: DataFrame) -> DataFrame:
+    """``(repo_id, part_no, text)``: the text of each tree in parts of ``CHUNK_LINES`` lines.
 
-    A model prompt is one value, so a tree of any size becomes one here; whether it is too long is
-    for the model to say. Lines are joined in chunks that many tasks share, and the chunks then meet.
+    The form that prompts are made from: no row holds a whole tree (``operators/turns.py``).
     """
-    chunk = F.floor(F.col("line_no") / CHUNK_LINES)
+    chunk = F.floor(F.col("line_no") / CHUNK_LINES).alias("part_no")
+    ended = lines.select("repo_id", "line_no", chunk, F.concat("line", F.lit("\n")).alias("line"))
+    return ended.groupBy("repo_id", "part_no").agg(_joined("line", "line_no").alias("text"))
 
-    def joined(column: str, order: str) -> Column:
-        return F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]), "\n"
-        ).alias("text")
 
-    chunks = lines.groupBy("repo_id", chunk.alias("chunk")).agg(joined("line", "line_no"))
-    tree = chunks.groupBy("repo_id").agg(joined("text", "chunk"))
-    return tree.select("repo_id", F.concat("text", F.lit("\n")).alias("tree")).withColumn(
-        "tree_chars", F.length("tree").cast("bigint")
-    )
+def tree_text(lines: DataFrame) -> DataFrame:
+    """``(repo_id, tree, tree_chars)``: the lines of each tree as one text, for trees that fit a row."""
+    tree = tree_parts(lines).groupBy("repo_id").agg(_joined("text", "part_no").alias("tree"))
+    return tree.withColumn("tree_chars", F.length("tree").cast("bigint"))

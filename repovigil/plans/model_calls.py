@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from repovigil.functions.answers import first_json
-from repovigil.operators import detect, model, parse, prompts, rounds, trace, tree
+from repovigil.operators import detect, model, parse, prompts, rounds, trace, tree, turns
 from repovigil.plans import cleaning, navigation
 from repovigil.plans.corpus import FILES_CORPUS, from_sql, view, with_views
+from repovigil.session import materialize
 
 FLOWS = """
 SELECT source AS repo_id, doc_id AS pos, 'flow-' || CAST(doc_id AS STRING) AS flow_name, 'Handles ' || lang AS purpose,
@@ -86,14 +89,20 @@ def _flows(spark, sf):
 
 
 def _trees(spark, sf):
-    return tree.tree_text(tree.render_tree(view(spark, sf, "files_corpus").select("repo_id", "ord", "path")))
+    return tree.tree_parts(tree.render_tree(view(spark, sf, "files_corpus").select("repo_id", "ord", "path")))
+
+
+def _digest(rows, text):
+    """The prompts of some rows with their tree, as digests."""
+    whole = rows["prompt"].map(lambda prompt: hashlib.md5(prompt.replace(turns.TREE, text).encode()).hexdigest())
+    return rows.drop(columns="prompt").assign(prompt_md5=whole)
 
 
 def render_checklist_prompts(spark, sf):
     flows = _flows(spark, sf).drop("mark_down", "required_controls", "recommended_controls")
     frameworks = detect.detect_frameworks(view(spark, sf, "files_corpus"))
-    out = prompts.render_checklist_prompts(flows, frameworks, _trees(spark, sf))
-    return out.select("repo_id", "flow_name", F.md5("prompt").alias("prompt_md5"))
+    out = prompts.render_checklist_prompts(flows, frameworks).select("repo_id", "flow_name", "prompt")
+    return turns.with_trees(out, _trees(spark, sf), _digest, "repo_id string, flow_name string, prompt_md5 string")
 
 
 def render_inspection_prompts(spark, sf):
@@ -105,7 +114,9 @@ def render_trace_prompts(spark, sf):
     done = view(spark, sf, "files_corpus").select("repo_id").distinct().select(
         "repo_id", F.slice(F.array(F.lit("GET /a"), F.lit("POST /b")), F.lit(1), number).alias("endpoints")
     )
-    return prompts.render_trace_prompts(_trees(spark, sf), done).select("repo_id", F.md5("prompt").alias("prompt_md5"))
+    trees = materialize(_trees(spark, sf))
+    out = prompts.render_trace_prompts(trees, done)
+    return turns.with_trees(out, trees, _digest, "repo_id string, prompt_md5 string")
 
 
 def _calls(spark, sf):
@@ -212,8 +223,7 @@ def flow_profiles(spark, sf):
 
 
 def trace_transcripts(spark, sf):
-    _, _, log = _traced(spark, sf)
-    return trace.trace_transcripts(log).select(
+    return trace.trace_transcripts(_traced(spark, sf)).select(
         "repo_id", F.col("endpoint_no").cast("bigint").alias("endpoint_no"), "endpoint",
         F.size("conversation").cast("bigint").alias("n_messages"), F.array_join("files_read", ",").alias("files_read"),
     )

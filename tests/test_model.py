@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repovigil.functions.answers import first_json
-from repovigil.operators import model, parse, rounds, trace, tree
+from repovigil.operators import model, parse, rounds, trace, tree, turns
 from repovigil.session import materialize
 
 
@@ -116,8 +116,8 @@ def traced(files, answer, max_depth=10):
         out = answer([dict(m) for m in messages])
         return out if isinstance(out, str) else json.dumps(out)
 
-    profiles, final, log = trace.trace_rounds(rows, trees, model.live(call, 1), "gpt", "s", max_depth)
-    return profiles.collect(), final.first(), log
+    out = trace.trace_rounds(rows, trees, model.live(call, 1), "gpt", "s", max_depth)
+    return out.profiles.collect(), out.states.first(), out
 
 
 def test_depth_limit_warns_and_ends(files):
@@ -186,3 +186,74 @@ def test_failed_call_discards_profiles(files):
 
     profiles, final, _ = traced(files, answer)
     assert profiles == [] and final.status == "failed"
+
+
+def test_conversations_are_told_in_full_and_written_once(spark, files):
+    """Seven calls about a large file: turns hold its text as often as it was said, whatever the rounds."""
+    rows = files([("r", "a.ts", "A" * 50_000), ("r", "b.ts", "B")])
+    seen = []
+
+    def answer(name, system, messages):
+        n = len(messages)
+        if n == 1:
+            return json.dumps({"status": "pick_endpoint", "file_to_read_next": "a.ts"})
+        if n < 13:
+            return json.dumps({"status": "tracing_endpoint", "endpoint_being_traced": "E", "file_to_read_next": "b.ts"})
+        if "- GET /x" in messages[0]["content"]:
+            return json.dumps({"status": "not_found"})
+        assert sum(m["content"].count("A" * 50_000) for m in messages) == 1
+        return json.dumps({"status": "not_found"})
+
+    parts = materialize(tree.tree_parts(tree.render_tree(rows)))
+    out = trace.trace_rounds(rows, parts, model.live(answer, 1, parts), "gpt", "s")
+    state = out.states.first()
+    assert state.status == "finished" and state.call_no == 8
+    assert [m.role for m in state.messages] == ["user"] + ["assistant", "user"] * 6 + ["assistant"]
+    stored = spark.read.parquet(out.turns.folder)
+    assert stored.count() == 14 and stored.selectExpr("sum(length(content))").first()[0] < 60_000
+    told = trace.trace_transcripts(out).first().conversation
+    assert [m.role for m in told] == ["user"] + ["assistant", "user"] * 6 + ["assistant"] and "A" * 50_000 in told[2].content
+
+
+def test_messages_name_the_tree_and_calls_see_it(spark, files, monkeypatch):
+    monkeypatch.setattr(tree, "CHUNK_LINES", 1000)
+    rows = files([("r", f"src/f{i}.ts", "") for i in range(4500)] + [("q", "x.ts", "")])
+    parts = materialize(tree.tree_parts(tree.render_tree(rows)))
+    assert parts.filter("repo_id = 'r'").count() > 1
+    whole = {r.repo_id: r.tree for r in tree.tree_text(tree.render_tree(rows)).collect()}
+
+    def answer(name, system, messages):
+        assert messages[0]["content"].count("```\n" + whole["r" if "f4499" in messages[0]["content"] else "q"] + "\n```") == 1
+        return json.dumps({"status": "not_found"})
+
+    out = trace.trace_rounds(rows, parts, model.live(answer, 2, parts), "gpt", "s")
+    for state in out.states.collect():
+        assert state.status == "finished" and turns.TREE in state.messages[0].content
+    prompts_ = spark.createDataFrame([("r", i) for i in range(50)] + [("q", 0), ("none", 0)], "repo_id string, n int")
+    lengths = turns.with_trees(prompts_, parts, lambda rows, text: rows.assign(length=len(text)), "repo_id string, n int, length int", per_slice=7)
+    got = sorted(map(tuple, lengths.collect()))
+    assert got == sorted([("r", i, len(whole["r"])) for i in range(50)] + [("q", 0, len(whole["q"])), ("none", 0, 0)])
+
+
+def test_cancelled_jobs_leave_between_rounds(spark, files):
+    rows = files([("a", "a.ts", "A"), ("b", "a.ts", "A"), ("c", "a.ts", "A")])
+    trees = materialize(tree.tree_text(tree.render_tree(rows)))
+    rounds_ = []
+
+    def answer(name, system, messages):
+        done = messages[0]["content"].count("- GET /")
+        if done == 3:
+            return json.dumps({"status": "not_found"})
+        return json.dumps({"status": "completed", "result": {"flow_name": f"F{done}", "entry_point": f"GET /{done}"}})
+
+    def cancelled():
+        rounds_.append(None)
+        gone = {1: ["c"], 3: ["c", "b", "zz"]}.get(len(rounds_), ["c", "b"] if len(rounds_) > 3 else ["c"])
+        return spark.createDataFrame([(g,) for g in gone], "repo_id string")
+
+    out = trace.trace_rounds(rows, trees, model.live(answer, 1), "gpt", "s", cancelled=cancelled)
+    assert {r.repo_id: (r.status, r.call_no) for r in out.states.collect()} == {"a": ("finished", 5), "b": ("cancelled", 3), "c": ("cancelled", 1)}
+    assert sorted((p.repo_id, p.pos) for p in out.profiles.collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    everyone = lambda: spark.createDataFrame([("a",), ("b",), ("c",)], "repo_id string")
+    none = trace.trace_rounds(rows, trees, model.live(answer, 1), "gpt", "s", cancelled=everyone)
+    assert {r.status for r in none.states.collect()} == {"cancelled"} and none.profiles.count() == 0
