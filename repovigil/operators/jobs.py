@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repovigil.session import materialize
+
 # Job life cycle, retention, share of the progress bar per stage.
 FINAL = ["completed", "failed", "cancelled"]
 RETENTION = "INTERVAL 1 HOUR"
@@ -22,9 +24,6 @@ STAGE_SPANS = {
 }
 DISCOVERY_STEPS = 10
 
-# Rows of one job that one task ranks at a time.
-CHUNK = 1 << 16
-
 
 def state_aggregates() -> list[Column]:
     """The fold of one job's events; also used as a streaming aggregation."""
@@ -163,9 +162,10 @@ def progress_from_logs(logs: DataFrame) -> DataFrame:
     """``(job_id, stage, seq, done, total, percent)`` for each log line that moves the bar.
 
     ``logs(job_id, stage, seq, message)``. A ``[i/n]`` line sets the count to i-1, a success line
-    adds one; in discovery every line about an endpoint or flow adds one. The running count is
-    taken in chunks of ``seq``: counts inside a chunk, plus what earlier chunks carry over, so
-    the lines of one job never have to meet in one task.
+    adds one; in discovery every line about an endpoint or flow adds one. The running count is a
+    segmented prefix scan: rows are range partitioned on job, stage and ``seq``, counted inside each
+    part, and what earlier parts carry over is added. Parts follow the position of the lines, whatever
+    numbers ``seq`` has, so the lines of one job never have to meet in one task.
     """
     stage, text = F.col("stage"), F.col("message")
     number = r"\[(\d+)/(\d+)\]"
@@ -180,12 +180,14 @@ def progress_from_logs(logs: DataFrame) -> DataFrame:
         "job_id",
         "stage",
         "seq",
-        F.floor(F.col("seq") / CHUNK).alias("chunk"),
         F.when(marker, F.regexp_extract(text, number, 1).cast("bigint")).alias("i"),
         F.when(marker, F.regexp_extract(text, number, 2).cast("bigint")).alias("n"),
         done.cast("bigint").alias("is_done"),
     )
     group = ["job_id", "stage"]
+    parts = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the part is stored with the rows: the sampled bounds must not be drawn twice
+    rows = materialize(rows.repartitionByRange(parts, *group, "seq").withColumn("chunk", F.spark_partition_id()))
     inside = Window.partitionBy(*group, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("i").isNotNull(), F.struct("i", "n", (F.col("local") - F.col("is_done")).alias("at")))
     rows = rows.withColumn("local", F.sum("is_done").over(inside)).withColumn("mark", F.last(mark, True).over(inside))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from repovigil.plans.job_log import _LOG, JOB_LOG, job_log
 from repovigil.session import fresh_dir
 from repovigil.streaming import jobs as stream
+from repovigil.streaming import live
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -60,7 +61,31 @@ def expire_jobs_stream(spark, sf):
     return rows.select("job_id", F.col("completed_at").cast("timestamp_ntz").alias("completed_at"))
 
 
+def _live(spark, sf, lateness):
+    """The log in time order, a quarter of its time at a time, with a version of the state after each."""
+    log = job_log(spark, sf).withColumn("_at", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    low, high = log.agg(F.min("_at"), F.max("_at")).first()
+    source, out, checkpoint = fresh_dir(spark, "log"), fresh_dir(spark, "live"), fresh_dir(spark, "cp")
+    quarter = F.least(F.floor((F.col("_at") - low) * 4 / max(high - low, 1)), F.lit(3))
+    for k in range(4):
+        log.filter(quarter == k).drop("_at").write.mode("append").parquet(source)
+        events = spark.readStream.schema(log.drop("_at").schema).parquet(source)
+        _finish(live.write_live(events, out, checkpoint, lateness))
+    return out
+
+
+def job_state_live(spark, sf):
+    """All jobs, as the lateness allowed is longer than the log."""
+    return live.live_jobs(spark, _live(spark, sf, "INTERVAL 1000 DAYS"))
+
+
+def expire_jobs_live(spark, sf):
+    return live.expired_jobs(spark, _live(spark, sf, "INTERVAL 0 SECONDS"))
+
+
 SQL = {
+    "job_state_live": f"{_LOG} SELECT * FROM state JOIN times USING (job_id)",
+    "expire_jobs_live": f"{_LOG} SELECT job_id, completed_at FROM times, clock WHERE now - completed_at > INTERVAL 1 HOUR",
     "job_state_stream": f"{_LOG} SELECT * FROM state JOIN times USING (job_id)",
     "job_frames_stream": f"""{_LOG} SELECT job_id, seq, 'data: {{"type":"' || type || '","timestamp":' || (epoch_us(ts) // 1000) || ',"data":' || CASE type
           WHEN 'status' THEN '{{"status":"' || status || '"}}' WHEN 'error' THEN '{{' || coalesce('"error":"' || error || '"', '') || '}}'
@@ -70,6 +95,8 @@ SQL = {
         WHERE now - completed_at > INTERVAL 1 HOUR""",
 }
 QUERIES = {
+    "job_state_live": job_state_live,
+    "expire_jobs_live": expire_jobs_live,
     "job_state_stream": job_state_stream,
     "job_frames_stream": job_frames_stream,
     "expire_jobs_stream": expire_jobs_stream,

@@ -41,8 +41,8 @@ def read_state(spark: SparkSession, folder: str) -> DataFrame:
     return jobs._flat(newest.select("job_id", "last.*"))
 
 
-def write_frames(events: DataFrame, folder: str, checkpoint: str):
-    """The live tail: each event as a ``data:`` frame, in append mode."""
+def frames_of(events: DataFrame) -> DataFrame:
+    """``(job_id, seq, ts, type, frame)``: each event as a ``data:`` frame."""
     at = jobs._epoch_ms(F.col("ts"), dict(events.dtypes)["ts"] == "timestamp")
     data = (
         F.when(F.col("type").isin("status", "error"), F.to_json(F.struct("status", "error")))
@@ -51,9 +51,13 @@ def write_frames(events: DataFrame, folder: str, checkpoint: str):
         .otherwise(F.col("result"))
     )
     head = F.concat(F.lit('data: {"type":"'), F.col("type"), F.lit('","timestamp":'), at.cast("string"), F.lit(',"data":'))
-    frames = events.select("job_id", "seq", F.concat(head, data, F.lit("}\n\n")).alias("frame"))
+    return events.select("job_id", "seq", "ts", "type", F.concat(head, data, F.lit("}\n\n")).alias("frame"))
+
+
+def write_frames(events: DataFrame, folder: str, checkpoint: str):
+    """The live tail as frames, in append mode."""
     return (
-        frames.writeStream.outputMode("append")
+        frames_of(events).select("job_id", "seq", "frame").writeStream.outputMode("append")
         .format("parquet")
         .option("path", folder)
         .option("checkpointLocation", checkpoint)

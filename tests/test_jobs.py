@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repovigil.operators import jobs
 from repovigil.session import fresh_dir
 from repovigil.streaming import jobs as stream
+from repovigil.streaming import live
 
 SCHEMA = (
     "job_id bigint, seq bigint, ts timestamp, type string, status string, error string, progress bigint, total bigint, "
@@ -53,15 +54,15 @@ def counted(lines):
         yield seq, done
 
 
-def test_counts_carry_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jobs, "CHUNK", 4)
+def test_counts_carry_over_parts(spark):
+    """Lines of one job lie in several range partitions, whatever gaps their numbers have."""
     rng = random.Random(5)
     rows, expect = [], {}
     for job in (1, 2):
         lines = []
-        for seq in range(60):
+        for seq in sorted(rng.sample(range(10**12), 60)):
             kind = rng.choice(["mark", "ok", "ok", "noise"])
-            if seq == 0 or kind == "mark":
+            if not lines or kind == "mark":
                 i = rng.randint(1, 9)
                 rows.append((job, "checklists", seq, f"  [{i}/9] Analyzing: x"))
                 lines.append((seq, i, 0))
@@ -121,3 +122,59 @@ def test_expiry_timers_fire_across_batches(spark):
         query.awaitTermination()
     got = spark.read.schema("job_id bigint, completed_at timestamp").parquet(out).collect()
     assert [(r.job_id, r.completed_at.minute) for r in got] == [(1, 0)]
+
+
+def run_live(spark, batches, lateness="INTERVAL 0 SECONDS"):
+    """One version per batch; yields the folder after each."""
+    source, out, cp = fresh_dir(spark, "in"), fresh_dir(spark, "live"), fresh_dir(spark, "cp")
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        query = live.write_live(spark.readStream.schema(SCHEMA).parquet(source), out, cp, lateness)
+        query.awaitTermination()
+        assert query.exception() is None
+        yield out
+
+
+def test_live_state_in_any_order_equals_the_fold(spark):
+    rows = random_log(random.Random(4), 200)
+    mixed = random.Random(1).sample(rows, len(rows))
+    *_, out = run_live(spark, [mixed[k::4] for k in range(4)], "INTERVAL 9 HOURS")
+    batch = jobs.job_view(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(str, live.live_jobs(spark, out).select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert live.late_events(spark, out).count() == 0 and live.expired_jobs(spark, out).count() == 0
+
+
+def test_live_state_ends_and_late_events_are_kept(spark):
+    batches = [
+        [event(1, 1, 10, "status", status="completed"), event(2, 2, 5, "status", status="running"), event(3, 3, 6, "log", message="a")],
+        [event(1, 4, 9, "status", status="failed"), event(2, 5, 60, "log", message="b")],  # an earlier end, out of order
+        [event(2, 6, 70, "log", message="c")],
+        [event(1, 7, 8, "log", message="too late"), event(3, 8, 71, "status", status="completed")],
+        [event(3, 9, 140, "log", message="still here")],
+    ]
+    alive, gone, size = [], [], []
+    for out in run_live(spark, batches):
+        alive.append({r.job_id for r in live.live_jobs(spark, out).collect()})
+        gone.append({(r.job_id, r.completed_at.minute) for r in live.expired_jobs(spark, out).collect()})
+        size.append(spark.read.parquet(f"{out}/state").select("v").distinct().count())
+    assert alive == [{1, 2, 3}, {1, 2, 3}, {2, 3}, {2, 3}, {2}]
+    assert gone == [set(), set(), {(1, 9)}, {(1, 9)}, {(1, 9), (3, 11)}]
+    assert [r.message for r in live.late_events(spark, out).collect()] == ["too late"]
+    assert max(size) <= 2
+
+
+def test_subscriber_between_batches_gets_each_frame_once(spark):
+    rows = [event(1, i, i, "log", message=f"m{i}") for i in range(30)] + [event(1, 30, 30, "status", status="running"), event(2, 31, 31, "log", message="other")]
+    rows += [event(1, 32 + i, 32 + i, "progress", progress=i, total=9, stage="s") for i in range(4)]
+    now = F.lit(START)
+    seen = []
+    for k, out in enumerate(run_live(spark, [rows[:12], rows[12:33], rows[33:]])):
+        if k == 1:
+            joined = live.newest(spark, out)
+            seen = live.snapshot(spark, out, joined, now).filter("job_id = 1").orderBy("section", "ts", "seq").collect()
+    assert [r.section for r in seen] == [0, 1] + [2] * 30
+    assert '"status":"running"' in seen[0].frame and '"current":0' in seen[1].frame
+    assert [f"m{i}" in r.frame for i, r in enumerate(seen[2:])] == [True] * 30
+    more = live.tail(spark, out, joined).filter("job_id = 1").orderBy("nth").collect()
+    assert [r.seq for r in more] == [33, 34, 35] and [r.nth for r in more] == [1, 2, 3]
+    assert live.snapshot(spark, out, live.newest(spark, out), now).filter("section = 2").count() == 31
