@@ -16,6 +16,8 @@ from repovigil.functions.skew import salted_lookup
 from repovigil.functions.text import contains_any, utf16_length, within_utf16
 from repovigil.operators import configs as cfg
 from repovigil.operators.detect import detect_frameworks
+from repovigil.operators.order import ordered_positions
+from repovigil.session import written
 
 MAX_FILE_UNITS = 1024 * 1024
 
@@ -180,6 +182,17 @@ def clean_files(files: DataFrame, forced: DataFrame | None = None) -> tuple[Data
     return filter_files(files, frameworks), frameworks, cleaning_stats(files, frameworks)
 
 
+def in_path_order(kept: DataFrame) -> DataFrame:
+    """``(repo_id, ord, path, entry)``: kept files with ``ord`` their place in path order, ``entry`` their old one.
+
+    Trees and lookups that take this table follow the cleaned list's order; texts are not moved for it.
+    """
+    rows = kept.select("repo_id", F.col("ord").alias("entry"), "path")
+    return ordered_positions(rows, ["repo_id"], [F.collate("path", "UNICODE"), F.col("entry")], "ord").select(
+        "repo_id", "ord", "path", "entry"
+    )
+
+
 def admit_entries(entries: DataFrame, strip: bool = False, max_units: int = MAX_FILE_UNITS) -> DataFrame:
     """Archive entries that enter detection: path rules first, content size last."""
     rows = strip_first_dir(entries) if strip else entries
@@ -189,7 +202,10 @@ def admit_entries(entries: DataFrame, strip: bool = False, max_units: int = MAX_
 def clean_archives(
     entries: DataFrame, forced: DataFrame | None = None, strip: bool = False, max_units: int = MAX_FILE_UNITS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Archive entries -> (kept files, frameworks, stats)."""
-    files = admit_entries(entries, strip, max_units)
+    """Archive entries -> (kept files, frameworks, stats).
+
+    Admitted entries are written once, so that detection, filter and counts do not inflate archives again.
+    """
+    files = written(admit_entries(entries, strip, max_units), "entries")
     frameworks = resolve_framework(detect_frameworks(files), forced, keep_unknown=False)
     return filter_files(files, frameworks), frameworks, cleaning_stats(files, frameworks)

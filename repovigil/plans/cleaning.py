@@ -100,22 +100,23 @@ def cleaning_stats(spark, sf):
 
 
 def clean_archives(spark, sf):
-    kept, frameworks, stats = clean.clean_archives(_files(spark, sf))
-    size = kept.groupBy("repo_id").agg(F.sum(utf16_length(F.col("content"))).alias("kept_units"))
-    return (
-        stats.join(frameworks.select("repo_id", "framework", "confidence"), "repo_id")
-        .join(size, "repo_id", "left")
-        .withColumn("kept_units", F.coalesce("kept_units", F.lit(0)))
-    )
+    return _cleaned(*clean.clean_archives(_files(spark, sf)))
 
 
 def clean_files(spark, sf):
-    kept, frameworks, stats = clean.clean_files(_files(spark, sf), _forced(spark, sf))
+    return _cleaned(*clean.clean_files(_files(spark, sf), _forced(spark, sf)))
+
+
+def _cleaned(kept, frameworks, stats):
+    """Counts per repository, with one number that the order of its paths decides."""
     size = kept.groupBy("repo_id").agg(F.sum(utf16_length(F.col("content"))).alias("kept_units"))
+    place = (F.col("ord") + 1) * (F.length("path") + 7 * F.ascii(F.substring("path", -4, 1)))
+    order = clean.in_path_order(kept).groupBy("repo_id").agg(F.sum(place).alias("path_order"))
     return (
         stats.join(frameworks.select("repo_id", "framework", "confidence"), "repo_id")
         .join(size, "repo_id", "left")
-        .withColumn("kept_units", F.coalesce("kept_units", F.lit(0)))
+        .join(order, "repo_id", "left")
+        .na.fill(0, ["kept_units", "path_order"])
     )
 
 
@@ -226,8 +227,10 @@ verdicts AS (SELECT *, NOT dir_hit AND NOT file_hit AND (special OR ext_ok) AS k
 def _clean_sql(fw, source=_FILES):
     return f"""{source}, {_RULES}, {_DETECT}, {fw[1]} {_flags(fw[0])}
 SELECT repo_id, count(*) AS total, count(*) FILTER (keep) AS included, count(*) FILTER (NOT keep) AS ignored,
-  framework, any_value(confidence) AS confidence, coalesce(CAST(sum(length(content)) FILTER (keep) AS BIGINT), 0) AS kept_units
-FROM verdicts JOIN (SELECT repo_id, confidence FROM {fw[0]}) USING (repo_id) GROUP BY repo_id, framework"""
+  framework, any_value(confidence) AS confidence, coalesce(CAST(sum(length(content)) FILTER (keep) AS BIGINT), 0) AS kept_units,
+  coalesce(CAST(sum(place * (length(path) + 7 * ascii(substring(path, -4, 1)))) FILTER (keep) AS BIGINT), 0) AS path_order
+FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, keep ORDER BY path COLLATE en, ord) AS place FROM verdicts)
+JOIN (SELECT repo_id, confidence FROM {fw[0]}) USING (repo_id) GROUP BY repo_id, framework"""
 
 
 _QUICK = "regexp_matches(lower(path), 'node_modules/|[.]git/|__pycache__/|venv/|dist/|build/|target/|[.]next/|[.]gradle/')"

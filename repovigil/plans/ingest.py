@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import os
+import re
 import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from repovigil.operators import clean, report
+from repovigil.operators import clean, report, tree
 from repovigil.plans import reporting
 from repovigil.plans.corpus import from_sql, table, view, with_views
 from repovigil.session import fresh_dir
@@ -41,6 +43,33 @@ def read_archives(spark, sf):
     return clean.admit_entries(entries, strip=True).select("repo_id", "ord", "path", F.md5("content").alias("content_md5"))
 
 
+def _write_zips(folder):
+    """Archives as files below ``folder``, written by the tasks that make them; one in ten is broken."""
+    def step(batches):
+        for batch in batches:
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                where = os.path.join(folder, f"g{page_id % 3}")
+                os.makedirs(where, exist_ok=True)
+                with open(os.path.join(where, f"p{page_id}.zip"), "wb") as out:
+                    if page_id % 10 == 0:
+                        out.write(b"not a zip")
+                        continue
+                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                        for name in ("src/b.ts", "node_modules/x/index.js", "src/A.ts", "README.md", "logo.png", "lib/x.py"):
+                            z.writestr(f"root/{name}", html)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return step
+
+
+def archive_trees(spark, sf):
+    """From a folder of archives to the trees of the cleaned repositories, in path order."""
+    folder = re.sub("^file:(//)?", "", fresh_dir(spark, "zips"))
+    table(spark, sf, "pages").select("page_id", "html").mapInPandas(_write_zips(folder), "n long").agg(F.sum("n")).collect()
+    kept, _, _ = clean.clean_archives(archives.read_archives(spark, folder, strip=True), strip=True)
+    return tree.render_tree(clean.in_path_order(kept))
+
+
 def archive_gate(spark, sf):
     rows = from_sql(
         spark,
@@ -113,7 +142,11 @@ def write_results(spark, sf):
 
 # ------------------------------------------------------------------------------------------ SQL
 
+# The kept files of every archive as a tree, by hand.
+_TREE = """(0, '├── lib'), (1, '│   └── x.py'), (2, '├── README.md'), (3, '└── src'), (4, '    ├── A.ts'), (5, '    └── b.ts')"""
 SQL = {
+    "archive_trees": f"""SELECT 'g' || page_id % 3 || '/p' || page_id AS repo_id, CAST(line_no AS BIGINT) AS line_no, line
+        FROM pages, (VALUES {_TREE}) t(line_no, line) WHERE page_id % 10 <> 0""",
     "read_archives": """SELECT 'p' || page_id AS repo_id, v.ord::BIGINT AS ord, v.path,
           md5(CASE v.ord WHEN 1 THEN html WHEN 3 THEN url ELSE '��' END) AS content_md5
         FROM pages, (VALUES (1, 'site/page.html'), (3, 'url.txt'), (4, 'logo.png')) v(ord, path) WHERE page_id % 10 <> 0""",
@@ -148,5 +181,5 @@ SQL = {
 }
 QUERIES = {
     name: globals()[name]
-    for name in "read_archives archive_gate admit_requests archive_requests write_transcripts write_results".split()
+    for name in "read_archives archive_trees archive_gate admit_requests archive_requests write_transcripts write_results".split()
 }
