@@ -121,8 +121,8 @@ def write_transcripts(spark, sf):
     return back.select("agent", "run_id", "conv_id", "turn", "message.role", F.md5("message.content").alias("content_md5"))
 
 
-def write_results(spark, sf):
-    """All parts of the result written as tables; the read-back counts them per run."""
+def _written_results(spark, sf):
+    """The folder with all parts of the result written as tables."""
     folder = fresh_dir(spark, "results")
     reports = from_sql(spark, sf, reporting.REPORTS)
     parts = {
@@ -133,6 +133,12 @@ def write_results(spark, sf):
         "reports": reports,
     }
     sinks.write_results(parts, folder)
+    return folder, list(parts)
+
+
+def write_results(spark, sf):
+    """The read-back of all parts, counted per run."""
+    folder, parts = _written_results(spark, sf)
     counted = None
     for name in parts:
         one = spark.read.parquet(f"{folder}/{name}").groupBy("run_id").agg(F.count("*").alias("n")).withColumn("part", F.lit(name))
@@ -140,6 +146,17 @@ def write_results(spark, sf):
     return counted
 
 
+def written_findings(spark, sf):
+    """Every finding of the written result, row by row, with the columns that give their order."""
+    folder, _ = _written_results(spark, sf)
+    return spark.read.parquet(f"{folder}/findings").withColumn("kind", F.col("kind").cast("bigint"))
+
+
+def written_metrics(spark, sf):
+    folder, _ = _written_results(spark, sf)
+    return spark.read.parquet(f"{folder}/metrics")
+
+
 # ------------------------------------------------------------------------------------------ SQL
 
 # The kept files of every archive as a tree, by hand.
@@ -173,6 +190,8 @@ SQL = {
           CASE WHEN error IS NULL THEN 'https://github.com/' || ow || '/' || re || '/archive/refs/heads/' || coalesce(branch, ['main', 'master'][t.n]) || '.zip' END AS archive_url, error
         FROM e, (VALUES (1), (2)) t(n) WHERE t.n = 1 OR (error IS NULL AND branch IS NULL)""",
     "write_transcripts": "SELECT 'checklists' AS agent, conv_id % 10 AS run_id, conv_id, turn, role, md5(text) AS content_md5 FROM conversations",
+    "written_findings": reporting.SQL["findings"],
+    "written_metrics": reporting.SQL["run_metrics"],
     "write_results": f"""SELECT run_id, count(*) AS n, 'metrics' AS part FROM range(50) t(run_id) GROUP BY 1
         UNION ALL SELECT run_id, count(*), 'findings' FROM ({reporting.SQL['findings']}) f GROUP BY 1
         UNION ALL SELECT o_orderkey % 50, count(*), 'profiles' FROM orders GROUP BY 1
@@ -181,5 +200,5 @@ SQL = {
 }
 QUERIES = {
     name: globals()[name]
-    for name in "read_archives archive_trees archive_gate admit_requests archive_requests write_transcripts write_results".split()
+    for name in "read_archives archive_trees archive_gate admit_requests archive_requests write_transcripts write_results written_findings written_metrics".split()
 }
