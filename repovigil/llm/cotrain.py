@@ -5,6 +5,9 @@ length and layout. Each view is a logistic regression. In every round each view
 documents it is surest of, for the other view to learn from. Afterwards each view is calibrated on
 labelled rows kept aside, and a last regression on the two calibrated scores gives one probability.
 
+The text view has a few hundred words as features of their own, and counts of all words that mark a label:
+junk and toxic texts have different words, and there may be thousands of each.
+
 Fitting takes a bounded sample: ``SAMPLE_ROWS`` labelled and as many unlabelled documents, the ones
 with the smallest hashes of their ids; its features are collected as bits and a few numbers. Scoring
 is one pass over all documents with the fitted model, a few hundred numbers, as a broadcast.
@@ -25,9 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repovigil.llm.common import as_bytes, slices
+from repovigil.session import written
 
 SAMPLE_ROWS = 12_000
+#: Words that are features of their own. Words that mark a label are counted together, however many there are.
 WORD_FEATURES = 512
+#: A word marks toxic or junk documents if this many labelled ones hold it, at a share this many times the others'.
+MARK_DOCS, MARK_RATIO = 3, 20
+LABELS = ("toxic", "junk")
 LEAST_DOCS = 4
 ROUNDS = 3
 SURE = 0.98
@@ -39,12 +47,19 @@ _CLASSES = [
     b"#$%&*+/<=>@\\^_`{}~", b"\"'()-[]", b"\n", b" \t", bytes(range(128, 256)),
 ]
 _TEXT_NUMBERS = len(_CLASSES) + 7
+_MARK_NUMBERS = 3 * len(LABELS)
+_EDGES = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _bare(word: bytes) -> bytes:
+    """A word without the signs around it."""
+    return word.strip(_EDGES)
+
+
 def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
@@ -113,9 +128,10 @@ def _sigmoid(x):
 
 @dataclass
 class Model:
-    """Word features, both views, their calibration and the final combination."""
+    """Word features, marking words by label, both views, their calibration and the final combination."""
 
     words: dict[int, int] = field(default_factory=dict)
+    marks: dict[int, int] = field(default_factory=dict)
     text: Logistic | None = None
     meta: Logistic | None = None
     platt: list[tuple[float, float]] = field(default_factory=list)
@@ -131,14 +147,16 @@ class Model:
 class _Features:
     """Feature rows of documents; word lookups are remembered in a bounded table."""
 
-    def __init__(self, words: dict[int, int]):
-        self.words, self.cache = words, {}
+    def __init__(self, words: dict[int, int], marks: dict[int, int]):
+        self.words, self.marks, self.cache = words, marks, {}
 
-    def _place(self, word: bytes) -> int:
+    def _place(self, word: bytes) -> tuple[int, int]:
+        """The word's own feature, if any, and the labels that it marks, as bits."""
         if len(self.cache) >= 300_000:
             self.cache.clear()
-        k = self.cache[word] = self.words.get(word_key(word), -1)
-        return k
+        found = self.words.get(word_key(word), -1), self.marks.get(word_key(_bare(word)), 0)
+        self.cache[word] = found
+        return found
 
     def rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Of a batch whose first columns are text, lang, source, n_chars."""
@@ -146,13 +164,19 @@ class _Features:
         for text, *rest in zip(as_bytes(batch.column(0)), *(batch.column(k).to_pylist() for k in range(1, 4))):
             words = _words(text)
             distinct = {*words}
-            row = np.zeros(size + _TEXT_NUMBERS, np.float32)
-            row[size:] = text_numbers(text, words, distinct)
+            row = np.zeros(size + _TEXT_NUMBERS + _MARK_NUMBERS, np.float32)
+            row[size : size + _TEXT_NUMBERS] = text_numbers(text, words, distinct)
             get, new = self.cache.get, self._place
+            marked: set[tuple[bytes, int]] = set()
             for w in distinct:
-                k = get(w)
-                if (new(w) if k is None else k) >= 0:
-                    row[self.cache[w]] = 1
+                place, mark = get(w) or new(w)
+                if place >= 0:
+                    row[place] = 1
+                if mark:
+                    marked.add((_bare(w), mark))
+            for k in range(len(LABELS)):
+                n = sum(mark >> k & 1 for _, mark in marked)
+                row[size + _TEXT_NUMBERS + 3 * k :][:3] = n > 0, n > 1, math.log1p(n)
             texts.append(row)
             metas.append(meta_features(text, *rest))
         return np.array(texts, np.float32), np.array(metas, np.float32)
@@ -164,14 +188,16 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality"), F.col("toxic")).where(
         "doc_id is not null and quality is not null"
     )
+    toxic, junk = F.max(F.coalesce("toxic", F.lit(0))) != 0, F.min("quality") != 1
     marks = marks.groupBy("doc_id").agg(
-        ((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).cast("int").alias("good")
+        (~toxic & ~junk).cast("int").alias("good"), (toxic.cast("int") + 2 * junk.cast("int")).alias("labels")
     )
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
     labelled = ids.join(marks, "doc_id").orderBy(chosen, "doc_id").limit(rows)
     others = ids.join(marks, "doc_id", "left_anti").orderBy(chosen, "doc_id").limit(rows)
-    both = labelled.unionByName(others.withColumn("good", F.lit(None).cast("int")))
-    one = docs.join(F.broadcast(both), "doc_id").select(*COLUMNS, "doc_id", "good")  # 2 * rows ids
+    unknown = F.lit(None).cast("int")
+    both = labelled.unionByName(others.withColumns({"good": unknown, "labels": unknown}))
+    one = docs.join(F.broadcast(both), "doc_id").select(*COLUMNS, "doc_id", "good", "labels")  # 2 * rows ids
     return one.dropDuplicates(["doc_id"]).withColumn("rank", F.xxhash64("doc_id", F.lit("fold")))
 
 
@@ -206,9 +232,45 @@ def _telling_words(sample: DataFrame, features: int) -> dict[int, int]:
     return {r[0]: k for k, r in enumerate(top)}
 
 
-def _feature_rows(words: dict[int, int]):
+def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each combination of labels hold each bare word."""
+    for batch in slices(batches, 500):
+        counts: dict[bytes, list[int]] = {}
+        for text, labels in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            for w in {_bare(w) for w in _words(text)}:
+                counts.setdefault(w, [0, 0, 0, 0])[labels] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([word_key(w) for w in counts], pa.int64()),
+             *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(4))],
+            ["word", "n0", "n1", "n2", "n3"],
+        )
+
+
+def _marking_words(sample: DataFrame) -> dict[int, int]:
+    """Every word that marks a label, as word: bits of the labels.
+
+    All of them: words of the bounded sample that pass ``MARK_DOCS`` and ``MARK_RATIO``.
+    """
+    seen = sample.where("labels is not null")
+    totals = {r[0]: r[1] for r in seen.groupBy("labels").count().collect()}
+    counts = seen.select("text", "labels").mapInArrow(_label_counts, "word long, n0 long, n1 long, n2 long, n3 long")
+    counts = counts.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    bits = F.lit(0)
+    for k in range(len(LABELS)):
+        inside = [c for c in range(4) if c >> k & 1]
+        with_, without = (sum(totals.get(c, 0) for c in range(4) if (c in inside) == own) for own in (True, False))
+        if not with_ or not without:
+            continue
+        here = sum((F.col(f"n{c}") for c in inside), F.lit(0))
+        there = sum((F.col(f"n{c}") for c in range(4) if c not in inside), F.lit(0))
+        marks = (here >= MARK_DOCS) & (here / with_ >= MARK_RATIO * (there + 0.5) / without)
+        bits = bits + F.when(marks, 1 << k).otherwise(0)
+    return {r[0]: r[1] for r in counts.select("word", bits.alias("bits")).where("bits > 0").collect()}
+
+
+def _feature_rows(words: dict[int, int], marks: dict[int, int]):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _Features(words)
+        features = _Features(words, marks)
         for batch in slices(batches, 200):
             if not batch.num_rows:
                 continue
@@ -230,14 +292,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
 
     None if the labelled documents of the sample are not of both classes.
     """
-    # the narrow sample is read twice; it is bounded, and the same each time
+    # the bounded sample is written once: words and features are those of the same texts
     sample = _sample(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *COLUMNS), labels, sample_rows)
+    sample = written(sample, "cotrain-sample")
     words = _telling_words(sample, WORD_FEATURES)
     if not words:
         return None
+    marks = _marking_words(sample)
     rows = (
         sample.select(*COLUMNS, "good", "rank")
-        .mapInArrow(_feature_rows(words), "bits binary, numbers binary, meta binary, good int, rank long")
+        .mapInArrow(_feature_rows(words, marks), "bits binary, numbers binary, meta binary, good int, rank long")
         .orderBy("rank")
         .collect()  # at most 2 * sample_rows rows of a few hundred bytes
     )
@@ -250,10 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
     # every fifth labelled row calibrates, the others train
     fold = np.zeros(len(rows), bool)
     fold[np.flatnonzero(label >= 0)[::5]] = True
-    return _co_train(words, views, label, fold, rounds)
+    return _co_train(words, marks, views, label, fold, rounds)
 
 
-def _co_train(words, views, label, fold, rounds) -> Model:
+def _co_train(words, marks, views, label, fold, rounds) -> Model:
     models = (Logistic(), Logistic())
     taught = [np.where(fold, -1, label) for _ in models]  # what each view may learn from
     for k in range(rounds + 1):
@@ -280,7 +344,7 @@ def _co_train(words, views, label, fold, rounds) -> Model:
         platt.append((float(s[0]), t))
         logits.append(raw[:, 0] * s[0] + t)
     w, c = _line(np.stack(logits, 1), y, one)
-    return Model(words, *models, platt, (float(w[0]), float(w[1]), c), added)
+    return Model(words, marks, *models, platt, (float(w[0]), float(w[1]), c), added)
 
 
 def _line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -296,7 +360,7 @@ def _apply(shared, columns: list[str], only_kept: bool, threshold: float):
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
-        features = _Features(model.words) if model else None
+        features = _Features(model.words, model.marks) if model else None
         for batch in slices(batches, 500):
             rows = batch.num_rows
             if not rows:
