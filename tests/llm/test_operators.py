@@ -222,6 +222,30 @@ def test_classifier_held_out(spark):
     assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in cotrain.score(docs, model).where("keep").collect()}
 
 
+def test_every_marking_word_counts(spark):
+    """Far more toxic words than there are word features, each in three labelled documents."""
+    r = random.Random(6)
+    plain = [f"{a}{b}" for a in ("stone", "river", "light", "under") for b in ("", "s", "ly", "ing")]
+    bad = [f"ugly{k}" for k in range(600)]
+    rows, labels = [], []
+    for i in range(6000):
+        words = [r.choice(plain) for _ in range(30)]
+        if i < 5400 and i % 9 == 0:
+            words[5] = bad[i // 9] + ","
+            words[9] = bad[(i // 9 + 1) % 600].upper() + "!"
+            words[11] = bad[(i // 9 + 2) % 600]
+        elif i >= 5400 and i % 9 == 0:
+            words[7], words[8] = r.sample(bad, 2)
+        rows.append((i, " ".join(words), "en", "s", 200))
+        labels.append((i, 1, int(i % 9 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = cotrain.fit(docs, marks.where("doc_id < 5400"))
+    assert {k for k, v in model.marks.items() if v == 1} == {cotrain.word_key(w.encode()) for w in bad}
+    out = cotrain.score(docs, model).where("doc_id >= 5400").collect()
+    assert np.mean([r["keep"] == (r["doc_id"] % 9 != 0) for r in out]) > 0.99
+
+
 def test_classifier_edges(spark):
     docs, labels = labelled(spark, 2, 300)
     model = cotrain.fit(docs, labels)

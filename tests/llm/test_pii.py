@@ -199,3 +199,11 @@ def test_nothing(spark):
     assert out.count() == 0 and out.columns[-1] == "spans"
     none = pii.report(pii.find_personal_data(frame(spark, [(1, "Call me on 333-9999")]), rounds=0)).collect()
     assert none[0]["spans"] == ""
+
+
+def test_no_python_in_the_plan(spark):
+    out = pii.find_personal_data(frame(spark, planted()))
+    found = pii.find_instances(frame(spark, planted()))
+    for df in (out, found, pii.report(out), pii.accepted_instances(found)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|MapInArrow", plan)
