@@ -36,6 +36,8 @@ WORD_FEATURES = 512
 #: A word marks toxic or junk documents if this many labelled ones hold it, at a share this many times the others'.
 MARK_DOCS, MARK_RATIO = 3, 20
 LABELS = ("toxic", "junk")
+#: Words that a task remembers the features of.
+CACHED_WORDS = 100_000
 LEAST_DOCS = 4
 ROUNDS = 3
 SURE = 0.98
@@ -149,13 +151,14 @@ class _Features:
 
     def __init__(self, words: dict[int, int], marks: dict[int, int]):
         self.words, self.marks, self.cache = words, marks, {}
+        self.plain = (-1, 0)  # one value for nearly all words
 
     def _place(self, word: bytes) -> tuple[int, int]:
         """The word's own feature, if any, and the labels that it marks, as bits."""
-        if len(self.cache) >= 300_000:
+        if len(self.cache) >= CACHED_WORDS:
             self.cache.clear()
         found = self.words.get(word_key(word), -1), self.marks.get(word_key(_bare(word)), 0)
-        self.cache[word] = found
+        found = self.cache[word] = self.plain if found == self.plain else found
         return found
 
     def rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +237,7 @@ def _telling_words(sample: DataFrame, features: int) -> dict[int, int]:
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of each combination of labels hold each bare word."""
-    for batch in slices(batches, 500):
+    for batch in slices(batches, 100):
         counts: dict[bytes, list[int]] = {}
         for text, labels in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
             for w in {_bare(w) for w in _words(text)}:
