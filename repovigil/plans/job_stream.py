@@ -15,8 +15,8 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 def _log_stream(spark, sf):
     """The event table as a stream, through the same view text as the batch log."""
     source = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{sf}/events*.parquet")
-    source.createOrReplaceTempView("event_stream")
-    return spark.sql(JOB_LOG.replace("FROM events", "FROM event_stream"))
+    source.createOrReplaceTempView("repovigil_event_stream")
+    return spark.sql(JOB_LOG.replace("FROM events", "FROM repovigil_event_stream"))
 
 
 def _split_log_stream(spark, sf):
