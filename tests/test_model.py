@@ -1,12 +1,15 @@
 """Answer parsing, retries and tracing."""
 
+import hashlib
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from repovigil.functions.answers import first_json
 from repovigil.operators import model, parse, rounds, trace, tree, turns
+from repovigil.plans import model_calls
 from repovigil.session import materialize
 
 
@@ -257,3 +260,20 @@ def test_cancelled_jobs_leave_between_rounds(spark, files):
     everyone = lambda: spark.createDataFrame([("a",), ("b",), ("c",)], "repo_id string")
     none = trace.trace_rounds(rows, trees, model.live(answer, 1), "gpt", "s", cancelled=everyone)
     assert {r.status for r in none.states.collect()} == {"cancelled"} and none.profiles.count() == 0
+
+
+def test_prompt_digests_encode_the_tree_once():
+    read = []
+
+    class Tree(str):
+        def encode(self, *_):
+            read.append(1)
+            return super().encode()
+
+    said = [f"a{turns.TREE}b{k}" for k in range(50)] + [turns.TREE * 2, "none", f"x{turns.TREE}", f"a{turns.TREE}é{turns.TREE}z"]
+    tree = Tree("├── f\n" * 100)
+    rows = pd.DataFrame({"repo_id": "r", "flow_name": [str(k) for k in range(len(said))], "prompt": said})
+    plain = [hashlib.md5(p.replace(turns.TREE, str(tree)).encode()).hexdigest() for p in said]
+    read.clear()
+    assert model_calls._digest(rows, tree)["prompt_md5"].tolist() == plain
+    assert len(read) == 1
