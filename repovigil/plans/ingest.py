@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from repovigil.operators import clean, report, tree
 from repovigil.plans import reporting
 from repovigil.plans.corpus import from_sql, table, view, with_views
-from repovigil.session import fresh_dir
+from repovigil.session import fresh_dir, written
 from repovigil.sources import archives, requests, sinks
 
 
@@ -54,7 +54,7 @@ def _write_zips(folder):
                     if page_id % 10 == 0:
                         out.write(b"not a zip")
                         continue
-                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
                         for name in ("src/b.ts", "node_modules/x/index.js", "src/A.ts", "README.md", "logo.png", "lib/x.py"):
                             z.writestr(f"root/{name}", html)
             yield pd.DataFrame({"n": [len(batch)]})
@@ -67,7 +67,8 @@ def archive_trees(spark, sf):
     folder = re.sub("^file:(//)?", "", fresh_dir(spark, "zips"))
     table(spark, sf, "pages").select("page_id", "html").mapInPandas(_write_zips(folder), "n long").agg(F.sum("n")).collect()
     kept, _, _ = clean.clean_archives(archives.read_archives(spark, folder, strip=True), strip=True)
-    return tree.render_tree(clean.in_path_order(kept))
+    # the tree is made from several readings of the paths; archives are inflated for none of them
+    return tree.render_tree(written(clean.in_path_order(kept).select("repo_id", "ord", "path"), "archive-paths"))
 
 
 def archive_gate(spark, sf):

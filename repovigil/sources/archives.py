@@ -70,12 +70,12 @@ def unpack_archives(archives: DataFrame, strip: bool = False, max_units: int = M
     """
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, size = [], 0  # of many small archives together
             for repo_id, content in zip(batch["repo_id"], batch["content"]):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
                     continue
-                rows, size = [], 0
                 for ord_, entry in enumerate(archive.infolist()):
                     if entry.is_dir() or entry.file_size > 3 * max_units or _skip(entry.filename, strip):
                         continue
@@ -88,8 +88,8 @@ def unpack_archives(archives: DataFrame, strip: bool = False, max_units: int = M
                     if size > OUTPUT_CHARS:  # hand on what is inflated; a large archive never sits in memory whole
                         yield pd.DataFrame(rows, columns=ENTRY_COLUMNS)
                         rows, size = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=ENTRY_COLUMNS)
+            if rows:
+                yield pd.DataFrame(rows, columns=ENTRY_COLUMNS)
 
     return archives.select("repo_id", "content").mapInPandas(unpack, ENTRY_SCHEMA)
 

@@ -1,8 +1,13 @@
 """Traps of the path filters and of framework detection."""
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from repovigil.operators import clean, detect
+from repovigil.sources import archives
 
 
 def kept_paths(spark, framework, paths):
@@ -112,3 +117,28 @@ def test_results_do_not_depend_on_partitions(files):
     one = sorted(map(str, detect.detect_frameworks(rows.coalesce(1)).collect()))
     many = sorted(map(str, detect.detect_frameworks(rows.repartition(7)).collect()))
     assert one == many
+
+
+def packed(*names):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in names:
+            z.writestr(name, f"text of {name}")
+    return out.getvalue()
+
+
+def test_small_archives_are_handed_on_together():
+    class Table:  # gives the step that would run on partitions
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, step, _):
+            return step
+
+    rows = [(f"r{k}", packed("a.ts", "node_modules/x.js", f"b{k}.ts") if k % 5 else b"no zip") for k in range(40)]
+    frames = [*archives.unpack_archives(Table())([pd.DataFrame(rows, columns=["repo_id", "content"])])]
+    found = [tuple(x) for frame in frames for x in frame.itertuples(index=False)]
+    assert found == [
+        (f"r{k}", at, name, f"text of {name}") for k in range(40) if k % 5 for at, name in ((0, "a.ts"), (2, f"b{k}.ts"))
+    ]
+    assert len(frames) == 1
