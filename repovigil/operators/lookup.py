@@ -32,6 +32,8 @@ MISSING_TAIL = (
 BUCKETS_A_HIT, MOST_BUCKETS = 32, 1 << 20
 #: Length of the pieces by which path components are indexed.
 GRAM = 3
+#: Hash buckets of the pieces that are asked for.
+GRAM_BUCKETS = 1 << 18
 
 
 def first_k(df: DataFrame, group: list[str], k: int, order: str = "ord") -> DataFrame:
@@ -77,11 +79,12 @@ class TextStore:
 
     ``texts`` is a table bucketed and sorted by ``(repo_id, key)``, the first file of each path; its files take
     part in a join as they lie, so a lookup moves the requests to the texts and never the other way.
-    ``paths`` is the narrow index ``(repo_id, ord, path)`` of all files.
+    ``paths`` is the narrow index ``(repo_id, ord, path)`` of all files, ``parts`` that of their path components.
     """
 
     texts: DataFrame
     paths: DataFrame
+    parts: DataFrame
     name: str
 
     @classmethod
@@ -105,7 +108,8 @@ class TextStore:
             .option("path", fresh_dir(spark, "texts"))
             .saveAsTable(name)
         )
-        return cls(spark.table(name), written(files.select("repo_id", "ord", "path"), "paths"), name)
+        paths = written(files.select("repo_id", "ord", "path"), "paths")
+        return cls(spark.table(name), paths, written(path_parts(paths, SIMILAR_FILES), "path-parts"), name)
 
     def lookup(self, requests: DataFrame) -> DataFrame:
         """As ``lookup_files``."""
@@ -122,14 +126,26 @@ def _grams(text: Column, size: int) -> Column:
     return F.coalesce(F.array_distinct(F.transform(starts, lambda at: F.substr(text, at, F.lit(size)))), F.array())
 
 
-def similar_files(requests: DataFrame, files: DataFrame, k: int = SIMILAR_FILES) -> DataFrame:
+def path_parts(files: DataFrame, k: int) -> DataFrame:
+    """``(repo_id, ord, path, part)``: the first ``k`` files of each distinct path component, in lower case."""
+    named = files.select("repo_id", "ord", "path", F.explode(F.array_distinct(F.split(F.lower("path"), "/"))).alias("part"))
+    return first_k(named, ["repo_id", "part"], k)
+
+
+def similar_files(
+    requests: DataFrame, files: DataFrame, k: int = SIMILAR_FILES, components: DataFrame | None = None
+) -> DataFrame:
     """``(repo_id, request_id, ord, path)``: first ``k`` files whose path contains a request segment.
 
     A segment has no slash, so it lies inside one path component. Distinct components are indexed by
     their pieces of ``GRAM`` characters and fewer, as far as segments ask for them: a row per character, however
     long they are. A segment is met with the components of its rarest piece, which are then searched for the
     whole of it; a segment that is no longer than a piece needs no search. Components stand for their first
-    ``k`` files, and no request is ever paired with a whole repository.
+    ``k`` files, and no request is ever paired with a whole repository. ``components`` are the ``path_parts`` of
+    ``files``, if they are known already.
+
+    Pieces that nobody asks for are dropped where they are made, by a broadcast of the asked ones' hash buckets,
+    ``GRAM_BUCKETS`` numbers at most; the few that pass are written once, for counts and matches alike.
     """
     segments = requests.select(
         "repo_id", "request_id", F.explode(F.array_distinct(F.split(F.lower("file"), "/"))).alias("segment")
@@ -139,16 +155,16 @@ def similar_files(requests: DataFrame, files: DataFrame, k: int = SIMILAR_FILES)
     pieces = F.when(short, F.array("segment")).otherwise(_grams(F.col("segment"), GRAM))
     wanted = asked.filter(F.col("segment") != "").select("repo_id", "segment", F.explode(pieces).alias("gram"))
 
-    components = first_k(
-        files.select("repo_id", "ord", "path", F.explode(F.array_distinct(F.split(F.lower("path"), "/"))).alias("part")),
-        ["repo_id", "part"],
-        k,
-    )
+    wanted = materialize(wanted)
+    if components is None:
+        components = materialize(path_parts(files, k))
     parts = components.select("repo_id", "part").distinct()
     every = F.concat(*[_grams(F.col("part"), size) for size in range(1, GRAM + 1)])
-    postings = parts.select("repo_id", "part", F.explode(every).alias("gram")).join(
-        wanted.select("repo_id", "gram").distinct(), ["repo_id", "gram"], "left_semi"
-    )
+    bucket = F.pmod(F.xxhash64("repo_id", "gram"), F.lit(GRAM_BUCKETS)).alias("_bucket")
+    few = F.broadcast(wanted.select(bucket).distinct())
+    pieces = parts.select("repo_id", "part", F.explode(every).alias("gram"))
+    near = pieces.select("*", bucket).join(few, "_bucket", "left_semi").drop("_bucket")
+    postings = written(near.join(wanted.select("repo_id", "gram").distinct(), ["repo_id", "gram"], "left_semi"), "postings")
     counts = postings.groupBy("repo_id", "gram").agg(F.count("*").alias("n"))
     rarest = (
         wanted.join(counts, ["repo_id", "gram"], "left")
@@ -187,7 +203,7 @@ def file_messages(requests: DataFrame, files: DataFrame | TextStore) -> DataFram
     looked = files.lookup(requests) if stored else lookup_files(requests, files)
     missing = looked.filter(~F.col("found")).select("repo_id", "request_id", "file")
     suggestions = (
-        similar_files(missing, files.paths if stored else files)
+        (similar_files(missing, files.paths, components=files.parts) if stored else similar_files(missing, files))
         .groupBy("repo_id", "request_id")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("similar"))  # at most k entries
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repovigil.operators.turns import SLICE, TREE, with_trees
+from repovigil.session import written
 
 #: A responder that sets ``reads_messages`` to False is asked without the conversation.
 Responder = Callable[[DataFrame], DataFrame]
@@ -57,6 +58,8 @@ def replay(responses: DataFrame, keys: list[str] | None = None) -> Responder:
     by = keys or ["prompt_hash"]
     known = responses.groupBy(*by).agg(F.min("text").alias("text"))
     if keys:
+        known = written(known, "known-answers")  # every round of a loop reads them
+
         def by_keys(prompts: DataFrame) -> DataFrame:
             return _answered(prompts.join(known, keys, "left"))
 

@@ -198,7 +198,8 @@ def trace_rounds(
     what it writes grows with the number of rounds.
     """
     spark = files.sparkSession
-    state, turns = start_state(trees, model, system), Turns.start(spark)
+    # written, so that the trees are made once for the first turns and the first round
+    state, turns = written(start_state(trees, model, system), "trace-start"), Turns.start(spark)
     first = new_turns(F.col("chain"), F.col("said")).alias("said")
     turns.append(state.select(first), "said")
     state = state.select(*STATE)

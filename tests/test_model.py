@@ -167,6 +167,15 @@ def test_repeated_keys_and_repeated_answers(spark):
     assert [r.text for r in model.replay(twice, ["id", "attempt"])(asked).collect()] == ["a"]
 
 
+def test_known_answers_are_worked_out_once(spark, tmp_path):
+    """Every round of a loop asks the responder; the answers' source is not read again."""
+    spark.createDataFrame([(0, 0, "a"), (0, 1, "b")], "id int, attempt int, text string").write.parquet(f"{tmp_path}/answers")
+    respond = model.replay(spark.read.parquet(f"{tmp_path}/answers"), ["id", "attempt"])
+    asked = spark.createDataFrame([(0, 1), (0, 2)], "id int, attempt int")
+    assert not any(str(tmp_path) in f for f in respond(asked).inputFiles())
+    assert [(r.attempt, r.text) for r in respond(asked).orderBy("attempt").collect()] == [(1, "b"), (2, None)]
+
+
 def test_missing_file_serves_the_queue(files):
     def answer(messages):
         if len(messages) == 1 and "- GET /a" in messages[0]["content"]:

@@ -205,3 +205,15 @@ def test_unmatched_texts_stay_outside_the_exchange(spark, files):
     wanted = ask(spark, [(f"f{i}.ts", False) for i in range(0, 3000, 300)])
     assert lookup.lookup_files(wanted, rows).filter("found").count() == 10
     assert lookup.lookup_files(wanted, files([("q", "a", "x")])).filter("found").count() == 0
+
+
+def test_path_parts_of_a_store_are_made_once(spark, files):
+    """A lookup reads the store's path components, and asked pieces only leave the tasks that make them."""
+    frame = files([("r", f"src/{name}{i % 7}/f{i}.ts", "x") for i, name in enumerate(["users", "orders", "a"] * 20)])
+    wanted = ask(spark, [(f, False) for f in ("rders3/none", "f5", "SRC/x", "", "zzzz")])
+    store = lookup.TextStore.of(frame)
+    again = lookup.similar_files(wanted, store.paths, components=store.parts)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(again) == rows(lookup.similar_files(wanted, frame)) and again.count() > 0
+    assert any("path-parts-" in f for f in again.inputFiles()) and any("postings-" in f for f in again.inputFiles())
+    store.forget()
