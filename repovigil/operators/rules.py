@@ -52,7 +52,7 @@ METHOD_ARGUMENT = r"""\bmethods?\s*=\s*([\[({][^\])}]*[\])}]|[\w.]+)"""
 CLASS_PREFIX = {
     "decorator": r"""@Controller\s*\(\s*(?:\{[^}]*\bpath\s*:\s*)?['"`]([^'"`\n]*)['"`]""",
     "mapping": rf"""@RequestMapping\s*\(\s*(?:[^()]*\b(?:value|path)\s*=\s*)?\{{?\s*"([^"\n]*)"{_INSIDE}\)(?=[^;{{}}]*\b(?:class|interface)\b)""",
-    "python_verb": r"""(?:APIRouter|Blueprint)\([^()]*?\b(?:url_)?prefix\s*=\s*['"]([^'"\n]*)['"]""",
+    "python_verb": r"""(?=[AB])(?:APIRouter|Blueprint)\([^()]*?\b(?:url_)?prefix\s*=\s*['"]([^'"\n]*)['"]""",
 }
 CLASS_PREFIX["request_mapping"] = CLASS_PREFIX["mapping"]
 CLASS_PREFIX["python_route"] = CLASS_PREFIX["python_verb"]
@@ -83,7 +83,7 @@ SENSITIVITY_RULES = [
 ]
 
 # Relative module names and those below the alias of the source folder.
-SCRIPT_IMPORT = r"""(?:from\s*|require\(\s*|import\(\s*|import\s*)['"]((?:\.|@/)[^'"\n]*)['"]"""
+SCRIPT_IMPORT = r"""(?=[fri])(?:from\s*|require\(\s*|import\(\s*|import\s*)['"]((?:\.|@/)[^'"\n]*)['"]"""
 SOURCE_ALIAS = "@/"
 SOURCE_FOLDER = "src"
 # Names stand on one line, which a backslash may continue, or in brackets on any number of lines.

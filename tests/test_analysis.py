@@ -69,6 +69,16 @@ def test_checklist_caps(spark, files):
         assert {c.category for c in row.required_controls + row.recommended_controls} <= set(rules.CATEGORIES)
 
 
+def test_risky_lines_are_searched_once(files):
+    """Patterns read the lines that hold a needle of their rule, and never the whole text."""
+    rows = files([("r", "a.ts", "check the role\nverify = false // here\nplain\nx.innerHTML = y\nrole = req.x"), ("r", "b.ts", "role\n= req.y")])
+    found = analysis.scan_vulnerabilities(rows)
+    assert sorted((r.path, r.line_no, r.type) for r in found.collect()) == [
+        ("a.ts", 2, "authentication_bypass"), ("a.ts", 4, "xss"), ("a.ts", 5, "authorization_flaw"),
+    ]
+    assert "RLIKE(content" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vulnerability_lines_and_snippets(files):
     rows = files([("r", "a.ts", "first\nel.innerHTML = x\nlast\nnext"), ("r", "b.ts", "eval(req.body)"), ("r", "c", 'x\nAPI_KEY: "0123456789abcdefgh"')])
     got = {(r.path, r.line_no, r.type, r.snippet) for r in analysis.scan_vulnerabilities(rows).collect()}
