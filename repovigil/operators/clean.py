@@ -8,6 +8,7 @@ framework keeps never reach a shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,12 +201,17 @@ def admit_entries(entries: DataFrame, strip: bool = False, max_units: int = MAX_
 
 
 def clean_archives(
-    entries: DataFrame, forced: DataFrame | None = None, strip: bool = False, max_units: int = MAX_FILE_UNITS
+    entries: DataFrame | Iterable[DataFrame],
+    forced: DataFrame | None = None,
+    strip: bool = False,
+    max_units: int = MAX_FILE_UNITS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Archive entries -> (kept files, frameworks, stats).
 
-    Admitted entries are written once, so that detection, filter and counts do not inflate archives again.
+    Admitted entries are written once, so that detection, filter and counts do not inflate archives again; of entries
+    that come in several tables, one after the other.
     """
-    files = written(admit_entries(entries, strip, max_units), "entries")
+    tables = [entries] if isinstance(entries, DataFrame) else entries
+    files = written((admit_entries(table, strip, max_units) for table in tables), "entries")
     frameworks = resolve_framework(detect_frameworks(files), forced, keep_unknown=False)
     return filter_files(files, frameworks), frameworks, cleaning_stats(files, frameworks)

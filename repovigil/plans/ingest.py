@@ -66,7 +66,7 @@ def archive_trees(spark, sf):
     """From a folder of archives to the trees of the cleaned repositories, in path order."""
     folder = re.sub("^file:(//)?", "", fresh_dir(spark, "zips"))
     table(spark, sf, "pages").select("page_id", "html").mapInPandas(_write_zips(folder), "n long").agg(F.sum("n")).collect()
-    kept, _, _ = clean.clean_archives(archives.read_archives(spark, folder, strip=True), strip=True)
+    kept, _, _ = clean.clean_archives(archives.archive_turns(spark, folder, strip=True), strip=True)
     # the tree is made from several readings of the paths; archives are inflated for none of them
     return tree.render_tree(written(clean.in_path_order(kept).select("repo_id", "ord", "path"), "archive-paths"))
 

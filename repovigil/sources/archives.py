@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ ENTRY_SCHEMA = "repo_id string, ord bigint, path string, content string"
 ENTRY_COLUMNS = ["repo_id", "ord", "path", "content"]
 MAX_FILE_UNITS = 1024 * 1024
 OUTPUT_CHARS = 4 * 1024 * 1024
+#: Archives of one turn: the driver holds a few kilobytes for each file of a scan.
+LISTED = 20_000
 
 
 def gate_errors(length: Column, name: Column | None = None, mimetype: Column | None = None) -> Column:
@@ -39,13 +42,76 @@ def archive_gate(archives: DataFrame) -> DataFrame:
     return archives.withColumn("error", gate_errors(F.col("length"), F.col("name"), F.col("mimetype")))
 
 
-def scan_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _hidden(name: str) -> bool:
+    """Files and folders that Spark's own listing passes over."""
+    odd = name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+    return odd and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def _entries_of(fs, jvm, folder: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what lies in a folder, as it is read."""
+    if fs.getUri().getScheme() == "file":  # Hadoop lists a local folder whole
+        with os.scandir(jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()) as found:
+            for entry in found:
+                yield entry.name, entry.is_dir()
+        return
+    found = fs.listStatusIterator(jvm.org.apache.hadoop.fs.Path(folder))
+    while found.hasNext():
+        status = found.next()
+        yield status.getPath().getName(), status.isDirectory()
+
+
+def listed(spark: SparkSession, folder: str, most: int) -> Iterator[list[str]]:
+    """Paths of all files below a folder, at most ``most`` at a time."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    waiting, paths = [fs.makeQualified(path).toString()], []
+    while waiting:
+        where = waiting.pop()
+        for name, is_dir in _entries_of(fs, jvm, where):
+            if _hidden(name):
+                continue
+            if is_dir:
+                waiting.append(f"{where}/{name}")
+                continue
+            paths.append(f"{where}/{name}")
+            if len(paths) == most:
+                yield paths
+                paths = []
+    if paths:
+        yield paths
+
+
+def _binary_files(spark: SparkSession, folder: str, paths: list[str] | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if paths is None:
+        return reader.load(folder)
+    parallel = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    settings = {
+        # else there is a task for each file
+        parallel: str(min(int(spark.conf.get(parallel)), 4 * spark.sparkContext.defaultParallelism)),
+        # no listing is asked for twice, and the session would keep them all
+        "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        return reader.option("__globPaths__", "false").load(paths)  # names are no patterns
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def scan_archives(spark: SparkSession, folder: str, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(accepted, refused)`` files of a folder as ``(repo_id, length, content)`` and ``(repo_id, length, error)``.
 
     ``repo_id`` is the path below ``folder`` without ``.zip``, so equal names in different folders stay
-    apart. Name and size tests are predicates of the scan: bytes of refused files are not read.
+    apart. Name and size tests are predicates of the scan: bytes of refused files are not read. Of ``paths`` only
+    these files of the folder are scanned.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = _binary_files(spark, folder, paths)
     below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/") + "/"
     inside = F.expr("substring(path, instr(path, {0}) + length({0}))".format("'" + below.replace("'", "\\'") + "'"))
     error = gate_errors(F.col("length"), F.col("path"))
@@ -97,6 +163,23 @@ def unpack_archives(archives: DataFrame, strip: bool = False, max_units: int = M
 def read_archives(
     spark: SparkSession, folder: str, strip: bool = False, max_units: int = MAX_FILE_UNITS
 ) -> DataFrame:
-    """All entries of the accepted archives below ``folder``; pass a cleaning's own ``max_units`` on."""
+    """All entries of the accepted archives below ``folder``; pass a cleaning's own ``max_units`` on.
+
+    One table, so the driver knows all files at once; ``archive_turns`` is for folders of more than it can hold.
+    """
     accepted, _ = scan_archives(spark, folder)
     return unpack_archives(accepted, strip, max_units)
+
+
+def archive_turns(
+    spark: SparkSession, folder: str, strip: bool = False, max_units: int = MAX_FILE_UNITS
+) -> Iterator[DataFrame]:
+    """``read_archives`` of a folder of any size, in tables of ``LISTED`` archives: the driver lists and plans one at a time."""
+    none = True
+    for paths in listed(spark, folder, LISTED):
+        none = False
+        accepted, _ = scan_archives(spark, folder, paths)
+        # few files a turn: what reads the tables later lists them again
+        yield unpack_archives(accepted, strip, max_units).coalesce(spark.sparkContext.defaultParallelism)
+    if none:
+        yield read_archives(spark, folder, strip, max_units)

@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from repovigil.operators import analysis, detect, report, rules
+from repovigil.operators import analysis, clean, detect, report, rules
 from repovigil.plans.corpus import view
 from repovigil.plans.scan import scan
 from repovigil.sources import archives, files as file_source, sinks
@@ -281,3 +281,26 @@ def test_imports_in_brackets(files):
         ("r", "a.ts", "import {\n  b,\n  c\n} from\n  './b'\n// import x from './dead'\n/* require('./dead') */"), ("r", "b.ts", ""), ("r", "dead.ts", ""),
     ])
     assert {(r.ord, r.target) for r in analysis.import_edges(rows).collect()} == {(0, 1), (0, 2), (0, 3), (0, 5), (6, 7)}
+
+
+def test_archives_in_turns_equal_one_reading(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="zips-")
+    names = [f"g{i % 2}/p{i}.zip" for i in range(5)] + ["one.zip", "a [b]* {c}?.zip", "x%20y ü.zip", "g0/_hidden.zip", "_work/z.zip", ".tmp/z.zip", "_a=b/z.zip"]
+    for name in names:
+        os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
+        with zipfile.ZipFile(os.path.join(folder, name), "w") as z:
+            z.writestr("root/a.ts", name)
+            z.writestr("root/b.md", "b")
+    os.makedirs(os.path.join(folder, "g1", "empty"))
+    with open(os.path.join(folder, "g1", "notes.txt"), "w") as f:
+        f.write("no archive")
+    monkeypatch.setattr(archives, "LISTED", 4)
+    turns = list(archives.archive_turns(spark, folder, strip=True))
+    assert [len(t.inputFiles()) for t in turns] == [4, 4, 2]  # what the driver knows at once
+    got = sorted(tuple(r) for t in turns for r in t.collect())
+    assert got == sorted(tuple(r) for r in archives.read_archives(spark, folder, strip=True).collect())
+    assert {r[0] for r in got} == {"g0/p0", "g1/p1", "g0/p2", "g1/p3", "g0/p4", "one", "a [b]* {c}?", "x%20y ü", "_a=b/z"}
+    kept, frameworks, _ = clean.clean_archives(archives.archive_turns(spark, folder, strip=True), strip=True)
+    assert kept.count() == 18 and frameworks.count() == 9
+    empty = tempfile.mkdtemp(prefix="zips-")
+    assert [t.count() for t in archives.archive_turns(spark, empty)] == [0]
